@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from casewright.llm.chat import chat_digests, probe
 from casewright.llm.common import table
+from casewright.llm.html_text import extract_text
 from casewright.llm.mixing import mixed_words
 from casewright.llm.token_count import count_tokens
 from casewright.llm.topk import top_k
+from casewright.llm.toxicity import toxicity
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,14 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(table(spark, sf_dir, "documents"))
 
@@ -36,6 +46,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_topk_search": op4_topk_search,
+    "op5_toxicity": op5_toxicity,
+    "op7_html_text": op7_html_text,
     "op8_source_mixing": op8_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
