@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casewright.llm.chat import chat_digests, probe
 from casewright.llm.common import table
 from casewright.llm.html_text import extract_text
+from casewright.llm.language import host_parts, identify
 from casewright.llm.mixing import mixed_words
 from casewright.llm.token_count import count_tokens
 from casewright.llm.topk import top_k
@@ -21,6 +23,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+
+
+def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
+    texts = extract_text(pages.select("page_id", F.struct("url", declared.alias("declared")).alias("url"), "html"))
+    host, domain, suffix = host_parts(F.col("url.url"))
+    return identify(texts, declared=F.col("url.declared"), host=host, domain=domain, suffix=suffix, id_col="page_id")
+
+
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -45,6 +59,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_language_id": op3_language_id,
+    "language_id_of_pages": language_id_of_pages,
     "op4_topk_search": op4_topk_search,
     "op5_toxicity": op5_toxicity,
     "op7_html_text": op7_html_text,
