@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casewright.llm.chat import chat_digests, probe
 from casewright.llm.common import table
 from casewright.llm.html_text import extract_text
+from casewright.llm.jaccard import near_groups
 from casewright.llm.language import host_parts, identify
 from casewright.llm.mixing import mixed_words
 from casewright.llm.token_count import count_tokens
@@ -44,6 +45,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "language_id_of_pages": language_id_of_pages,
     "op4_topk_search": op4_topk_search,
     "op5_toxicity": op5_toxicity,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_html_text": op7_html_text,
     "op8_source_mixing": op8_source_mixing,
     "op10_chat_format": op10_chat_format,
