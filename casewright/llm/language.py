@@ -6,6 +6,7 @@ import string
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,35 +139,29 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     signal = lambda c: by(c).where(f"{c} IS NOT NULL").select(c, F.zip_with(F.zip_with(F.col("n"), arr(whole), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), arr(spread), lambda x, _: (x.a + SIGNAL_STRENGTH * (total(F.col("n")) + 1) / F.lit(float(whole.sum() + 1))) / (x.b + SIGNAL_STRENGTH)).alias(f"{c}_says"))
     rows = base.join(small(hosts), "host", "left").join(small(domains), "domain", "left").join(small(signal("declared")), "declared", "left").join(small(signal("suffix")), "suffix", "left")
     prior = F.coalesce("host_prior", "domain_prior", arr(spread))
-    rows = rows.select("id", *(f"keep_{c}" for c in keep), "text", prior.alias("prior"), "declared_says", "suffix_says")
-    at_text = 1 + len(keep)
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*languages, UNKNOWN]
-        for b in sub_batches(batches, "text"):
-            out = []
-            for t, p, *says in zip(*(b.column(at_text + i).to_pylist() for i in range(4))):
-                like = log_likelihood(t, shared.value) if k else None
-                if like is None:
-                    out.append((UNKNOWN, 1.0, UNKNOWN))
-                    continue
-                post = like.copy()
-                post[:-1] += np.log(np.asarray(p) * (1 - NONE_PRIOR))
-                post[-1] += np.log(NONE_PRIOR)
-                for s in says:
-                    if s is not None:
-                        post[:-1] += np.log(s)
-                        post[-1] += np.log(np.dot(s, spread))
-                q = np.exp(post - post.max())
-                q /= q.sum()
-                i = int(np.argmax(q))
-                out.append((names[i], float(q[i]), names[int(np.argmax(like))]))
-            cols = list(zip(*out)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at_text)), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.string())))], [*b.schema.names[:at_text], "lang_id", "probability", "text_lang"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    # the text itself is among the columns kept only if it is asked for
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in ("id", *(f"keep_{c}" for c in keep)))
-    done = rows.mapInArrow(decide, f"{head}, lang_id string, probability double, text_lang string")
+    names = [*languages, UNKNOWN]
+
+    @F.pandas_udf("lang_id string, probability double, text_lang string")
+    def decide(texts: pd.Series, priors: pd.Series, declared_says: pd.Series, suffix_says: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, p, *says in zip(texts, priors, declared_says, suffix_says):
+            like = log_likelihood(t, shared.value) if k else None
+            if like is None:
+                out.append((UNKNOWN, 1.0, UNKNOWN))
+                continue
+            post = like.copy()
+            post[:-1] += np.log(np.asarray(p) * (1 - NONE_PRIOR))
+            post[-1] += np.log(NONE_PRIOR)
+            for s in says:
+                if s is not None:
+                    post[:-1] += np.log(s)
+                    post[-1] += np.log(np.dot(s, spread))
+            q = np.exp(post - post.max())
+            q /= q.sum()
+            i = int(np.argmax(q))
+            out.append((names[i], float(q[i]), names[int(np.argmax(like))]))
+        return pd.DataFrame(out, columns=["lang_id", "probability", "text_lang"])
+
+    done = rows.select("id", *(f"keep_{c}" for c in keep), decide("text", prior, "declared_says", "suffix_says").alias("found")).select("id", *(f"keep_{c}" for c in keep), "found.*")
     accepted = (F.col("lang_id") != UNKNOWN) & (F.col("probability") >= ACCEPT)
     return done.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep if c != id_col), "lang_id", "probability", "text_lang", accepted.alias("accepted"))

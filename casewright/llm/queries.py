@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.chat import chat_digests, probe
 from casewright.llm.common import table
+from casewright.llm.decontaminate import find_leaks
 from casewright.llm.html_text import extract_text
 from casewright.llm.jaccard import near_groups
 from casewright.llm.language import host_parts, identify
@@ -18,6 +19,10 @@ from casewright.llm.topk import top_k
 from casewright.llm.toxicity import toxicity
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -63,6 +68,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
     "op3_language_id": op3_language_id,
     "language_id_of_pages": language_id_of_pages,

@@ -30,6 +30,8 @@ TOXIC_AT = 0.7
 LONGEST_WORD = 40
 WORD = re.compile(r"[^\W_]{1,%d}" % LONGEST_WORD)
 WORD_MEMORY = 1 << 19
+#: What is added to the evidence before its logarithm is taken.
+LEAST_EVIDENCE = 0.003
 START, END = "\x02", "\x03"
 
 
@@ -125,7 +127,7 @@ class KneserNey:
 
 
 def feature(evidence: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(evidence, 0.0) + 0.003)
+    return np.log(np.maximum(evidence, 0.0) + LEAST_EVIDENCE)
 
 
 def fit_scale(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -209,15 +211,22 @@ def evidence_of(text, model):
     return run(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``docs``, and its columns ``keep``.
+def toxicity_score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"):
+    """A column with the score of each whole text of ``docs``; the models are fitted when this is called.
 
-    The score is of the whole text and of nothing else.  Null, empty and wordless texts have evidence 0 and so the
-    lowest score; without any label of one of the classes all scores are 0 or 1, or near it; repeated rows stay.
-    Scoring has no shuffle; the broadcast models have a size bounded by FIT_ROWS.
+    The broadcast models have a size bounded by FIT_ROWS, and scoring has no shuffle.
     """
-    model, slope, base = fit(docs, labels)
+    model, slope, base = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select("doc_id", *keep, evidence_of(F.col("text"), shared).alias("_evidence"))
-    score = 1 / (1 + F.exp(-(F.log(F.col("_evidence") + 0.003) * slope + base)))
-    return rows.withColumn("score", score).select("doc_id", *keep, held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+    return 1 / (1 + F.exp(-(F.log(evidence_of(F.col(text_col), shared) + LEAST_EVIDENCE) * slope + base)))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted (score >= TOXIC_AT) of every row of ``docs``.
+
+    The score is of the whole text and of nothing else.  Null, empty and wordless texts have evidence 0 and so the
+    lowest score; without a label of class 1 all scores are near 0, without one of class 0 near 1; repeated rows and
+    null ids stay.
+    """
+    rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity_score(docs, labels).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
