@@ -11,7 +11,7 @@ from casewright.llm.common import written
 
 #: Rows of a block of candidates, and queries of a block, on average.
 BLOCK, QUERIES = 8192, 512
-#: Places of every list that are read before the bound is taken again.
+#: Places of every list that are read before the bound is first taken; each later step reads as many as all before.
 STEP = 64
 
 
@@ -35,16 +35,20 @@ def threshold_topk(lists: np.ndarray, rows: np.ndarray, ids: np.ndarray, query:
         dims = np.arange(min(1, rows.shape[1]))
     at = 0
     while at < n:
-        step = slice(at, min(n, at + STEP))
+        step = slice(at, min(n, max(STEP, 2 * at)))
         down = lists[dims[query[dims] < 0], step]
         up = lists[dims[query[dims] >= 0]][:, ::-1][:, step]
-        fresh = np.unique(np.concatenate([down.ravel(), up.ravel()]))
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
+        now = np.zeros(n, bool)
+        now[down], now[up] = True, True
+        fresh = np.flatnonzero(now & ~seen)
+        seen |= now
         fresh = fresh[ids[fresh] != own]
         if len(fresh):
-            found = np.column_stack([ids[fresh], rows[fresh] @ query])
-            best = np.concatenate([best, found])
+            score = (rows[fresh] @ query).astype(np.int64)
+            if len(fresh) > 4 * k:  # what is below the k-th of these cannot enter
+                enough = score >= np.partition(score, len(score) - k)[len(score) - k]
+                fresh, score = fresh[enough], score[enough]
+            best = np.concatenate([best, np.column_stack([ids[fresh], score])])
             best = best[np.lexsort((best[:, 0], -best[:, 1]))][:k]
         at = step.stop
         if len(best) == k:
@@ -81,10 +85,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         held = group[~group.asks]
         for size, own in held.groupby(held.v.map(len)):
             block, ids = np.stack(own.v.to_numpy()).astype(np.int64), own.vec_id.to_numpy()
+            most = max((int(np.abs(v).max()) for v in asks.v if len(v) == size), default=0)
+            if int(np.abs(block).max()) * most * size < 1 << 53:  # then floating point is exact, and much faster
+                block = block.astype(np.float64)
             lists = np.ascontiguousarray(np.argsort(block, axis=0, kind="stable").T)
             for q, v in zip(asks.vec_id, asks.v):
                 if len(v) == size:
-                    out += [(q, i, s) for i, s in threshold_topk(lists, block, ids, np.asarray(v, np.int64), q, k)]
+                    out += [(q, i, s) for i, s in threshold_topk(lists, block, ids, np.asarray(v, block.dtype), q, k)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = dealt.unionByName(sent).groupBy("block", "part").applyInPandas(search, "query_id long, vec_id long, score long")
