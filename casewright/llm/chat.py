@@ -76,7 +76,8 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     leaves = jumps[-1].where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     walk = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node")
-    for jump in jumps[-2::-1]:
+    for jump in jumps[-2::-1]:  # the walk is read twice in each step, so it is written, or the plan would double too
+        walk = written(walk, "walk")
         walk = walk.unionByName(walk.join(jump.where("up IS NOT NULL"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node")))
     return walk
 
