@@ -13,6 +13,7 @@ from casewright.llm.decontaminate import find_leaks
 from casewright.llm.html_text import extract_text
 from casewright.llm.jaccard import near_groups
 from casewright.llm.language import host_parts, identify
+from casewright.llm.licences import scan_licences
 from casewright.llm.mixing import mixed_words
 from casewright.llm.token_count import count_tokens
 from casewright.llm.topk import top_k
@@ -62,6 +63,12 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_words(table(spark, sf_dir, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("und")), F.col("doc_id").cast("string"))
+    return scan_licences(docs, path)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(rows.unionByName(probe(spark)))
@@ -77,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_html_text": op7_html_text,
     "op8_source_mixing": op8_source_mixing,
+    "op9_licence_scan": op9_licence_scan,
     "op10_chat_format": op10_chat_format,
 }
 
