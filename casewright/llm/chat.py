@@ -64,21 +64,19 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """
     ids = nodes.select(F.col("tree").alias("tree"), F.col("node").alias("parent"), F.lit(True).alias("there"))
     links = nodes.join(ids, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.coalesce("score", F.lit(0.0)).alias("total"))
-    jumps, most = [written(links, "links")], 0
-    while not jumps[-1].where("up IS NOT NULL").isEmpty():
-        here = jumps[-1]
-        above = here.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
-        jumps.append(written(here.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "links"))
-        most += 1
-        if most > 40:  # only a cycle has paths of over 2**40 nodes
-            break
+    state, jumps = written(links, "links"), []
+    while len(jumps) < 41 and not (here := state.where("up IS NOT NULL")).isEmpty():  # only a cycle has paths of over 2**40 nodes
+        jumps.append(here)
+        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"))
+        longer = here.join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"))
+        state = written(longer.unionByName(state.where("up IS NULL")), "links")  # what has its root takes part no more
     parents = nodes.select("tree", F.col("parent").alias("node")).where("node IS NOT NULL").distinct()
-    leaves = jumps[-1].where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
+    leaves = state.where("up IS NULL").join(parents, ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     walk = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank", "node")
-    for jump in jumps[-2::-1]:  # the walk is read twice in each step, so it is written, or the plan would double too
+    for jump in reversed(jumps):  # the walk is read twice in each step, so it is written, or the plan would double too
         walk = written(walk, "walk")
-        walk = walk.unionByName(walk.join(jump.where("up IS NOT NULL"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node")))
+        walk = walk.unionByName(walk.join(jump, ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node")))
     return walk
 
 
