@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,9 +93,8 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 <<
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.array([len(x) for x in b.column(b.schema.get_field_index(column)).cast(pa.binary()).fill_null(b"")]) if b.num_rows < 2 else lengths(b, column)
         start = total = 0
-        for i, n in enumerate(sizes):
+        for i, n in enumerate(lengths(b, column)):
             if i > start and total + n > most:
                 yield b.slice(start, i - start)
                 start, total = i, 0
@@ -103,6 +103,4 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 <<
 
 
 def lengths(b: pa.RecordBatch, column: str) -> np.ndarray:
-    import pyarrow.compute as pc
-
     return pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)

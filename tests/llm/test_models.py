@@ -1,0 +1,143 @@
+import random
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from casewright.llm import language, toxicity
+from casewright.llm.language import host_parts, identify
+
+SYLLABLES = {"en": ["the", "ing", "tion", "er", "and", "wh"], "de": ["der", "sch", "ung", "ein", "ch", "zu"], "fr": ["eau", "que", "le", "oi", "tre", "aux"]}
+
+
+def prose(rnd, lang, n):
+    return " ".join("".join(rnd.choice(SYLLABLES[lang]) for _ in range(rnd.randint(1, 3))) for _ in range(n)).capitalize() + "."
+
+
+def corpus(rnd, n=240):
+    langs = list(SYLLABLES)
+    return [(i, prose(rnd, langs[i % 3], rnd.randint(30, 80)), langs[i % 3], f"{langs[i % 3]}{i % 2}") for i in range(n)]
+
+
+def test_languages(spark):
+    rnd = random.Random(1)
+    rows = corpus(rnd) + [
+        (900, "", "en", "en0"), (901, None, "en", "en0"), (902, "12 34 !!", "en", "en0"), (903, prose(rnd, "de", 40), None, None), (904, prose(rnd, "fr", 40), "en-GB", "en1"),
+        (905, prose(rnd, "de", 20_000), "de", "new"), (None, prose(rnd, "en", 30), "en", "en0"), (1, rows_text := prose(rnd, "en", 30), "en", "en0"), (1, rows_text, "en", "en0"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"declared": F.lit("clash"), "host": F.lit(1)})
+    got = identify(df, declared=F.col("lang"), host=F.col("source"))
+    assert got.columns == ["doc_id", "lang_id", "probability", "text_lang", "accepted"]
+    found = {r.doc_id: r for r in got.collect()}
+    assert got.count() == len(rows)
+    assert all(found[i].lang_id == lang and found[i].accepted for i, _, lang, _ in rows[1:240] if i != 1)
+    assert all(found[i].lang_id == "und" and not found[i].accepted for i in (900, 901, 902))
+    assert found[903].lang_id == "de" and found[904].text_lang == "fr" and found[905].lang_id == "de" and found[None].lang_id == "en"
+    kept = identify(df, keep=("text", "host"), declared=F.col("lang"), host=F.col("source"))
+    assert kept.columns == ["doc_id", "text", "host", "lang_id", "probability", "text_lang", "accepted"]
+    assert identify(df.limit(0), declared=F.col("lang"), host=F.col("source")).collect() == []
+    assert {r.lang_id for r in identify(df, host=F.col("source")).collect()} == {"und"}
+
+
+def test_evidence_beside_the_text_decides_short_texts(spark):
+    rnd = random.Random(2)
+    rows = [(*r, f"http://{r[3]}.{r[2]}site.{r[2]}/x") for r in corpus(rnd)] + [(i, "x", None, None, u) for i, u in ((900, "https://other.desite.de/1"), (901, "http://u@FR0.frsite.fr:80"), (902, "http://z.unknown.en#x"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string")
+    host, domain, suffix = host_parts(F.col("url"))
+    found = {r.doc_id: r.lang_id for r in identify(df, declared=F.col("lang"), host=host, domain=domain, suffix=suffix).collect()}
+    assert (found[900], found[901], found[902]) == ("de", "fr", "en")
+
+
+def test_hosts(spark):
+    urls = ["https://a.b.example.co/x", "http://host", "ftp://u:p@H.org:21/", "no url", None, "http://10.0.0.1/"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "i int, u string")
+    got = [tuple(r) for r in rows.orderBy("i").select(*host_parts(F.col("u"))).collect()]
+    assert got == [("a.b.example.co", "example.co", "co"), ("host", "host", None), ("h.org", "h.org", "org"), (None, None, None), (None, None, None), ("10.0.0.1", "0.1", None)]
+
+
+BAD = ["grimble", "snorkwort", "blaggard"]
+
+
+def toxic_corpus(rnd, n=600):
+    rows, labels = [], []
+    for i in range(n):
+        words = prose(rnd, rnd.choice(list(SYLLABLES)), rnd.randint(40, 120)).split()
+        bad = i % 5 == 0
+        for _ in range(rnd.randint(3, 5) if bad else 0):
+            words.insert(rnd.randrange(len(words)), rnd.choice(BAD) + rnd.choice(["", "s", "!"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_held_out_toxicity(spark):
+    rnd = random.Random(3)
+    rows, labels = toxic_corpus(rnd)
+    rows += [(9001, None), (9002, ""), (9003, "!!"), (None, "some grimble words"), (3, "repeated id"), (9004, "ing tion " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(1), "toxic": F.lit(1)})
+    truth = spark.createDataFrame(labels + [(3, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(df, truth).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    label = {i: t for i, _, t in labels}
+    held = [(label[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in label and r.doc_id != 3]
+    assert len(held) > 100 and sum(a == b for a, b in held) >= 0.97 * len(held)
+    least = min(r.score for r in got)
+    assert all(r.score == least for r in got if r.doc_id in (9001, 9002, 9003))
+    assert toxicity.toxicity(df.limit(0), truth).collect() == []
+    assert all(r.score < 0.1 for r in toxicity.toxicity(df, truth.where("toxic = 0")).collect())
+
+
+def test_held_out_labels_do_not_matter(spark):
+    rows, labels = toxic_corpus(random.Random(4), 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    other = truth.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    scores = lambda t: sorted((r.doc_id, r.score) for r in toxicity.toxicity(df, t).collect())
+    assert scores(truth) == scores(other)
+
+
+def test_models_add_up():
+    m = toxicity.KneserNey([{"aa": 2, "ab": 1}, {"ab": 3}])
+    assert m.word_evidence("zz") >= 0 and set(m.ratio) and all(abs(x) < 50 for x in m.ratio.values())
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(6)
+    rows, labels = toxic_corpus(rnd, 300)
+    langs = ["en", "de", "fr"]
+    docs = [(i, t, langs[i % 3], f"s{i % 4}", len(t)) for i, t in rows]
+    item = prose(rnd, "en", 40)
+    clean = [d for d in docs if d[0] % 5]
+    docs += [(1000, clean[0][1], "en", "s1", 1), (1001, clean[1][1] + " tail", "en", None, 1), (1002, None, "en", "s0", 0), (1003, "", "en", "s0", 0), (1004, prose(rnd, "de", 60) + " " + item, "de", "s2", 1), (clean[2][0], clean[2][1], "en", "s3", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    df = spark.createDataFrame(docs, kind).withColumns({"id": F.lit("x"), "score": F.lit(1), "component_id": F.lit(2)})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        if name != "source_mixing":
+            assert out.columns == df.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        sizes.append({r.doc_id for r in now.select("doc_id").collect()})
+    toxic = {i for i, _, t in labels if t}
+    assert {1002, 1003}.isdisjoint(sizes[0]) and len(sizes[0]) == len({d[0] for d in docs}) - 2
+    assert len(sizes[1] & toxic) <= 2 and len((sizes[0] - toxic) - sizes[1]) <= 2
+    assert {1000, 1001}.isdisjoint(sizes[2]) and 1004 in sizes[2] and clean[0][0] in sizes[2]
+    assert sizes[3] == sizes[2] - {1004}
+    assert now.count() == len(sizes[3]) and now.columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_registered_queries_are_whole():
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and language.UNKNOWN == "und"
