@@ -37,12 +37,13 @@ def merge_runs(rows: DataFrame, scope: list[str], order: list[str], text_fields:
 def flag_scattered(rows: DataFrame, scope: list[str]) -> DataFrame:
     """Puts a note before the description of rows whose non-empty test_id is on several rows of the scope.
 
-    Rows with an empty id, which may be most of a scope, stay out of the counting.
+    Rows with an empty id, which may be most of a scope, are counted apart from each other: no group of them is made.
     """
-    named = rows.where("test_id <> ''").withColumn("_n", F.count("*").over(Window.partitionBy(*scope, "test_id")))
+    empty = F.coalesce(F.col("test_id") == "", F.lit(True))
+    apart = F.when(empty, F.xxhash64(*(c for c in rows.columns if c not in scope)))
+    counted = rows.withColumn("_apart", apart).withColumn("_n", F.count("*").over(Window.partitionBy(*scope, "test_id", "_apart")))
     note = F.concat(F.lit(NOTE), F.col("test_id"), F.lit("\n\n"), F.col("description"))
-    flagged = named.withColumn("description", F.when(F.col("_n") > 1, note).otherwise(F.col("description"))).drop("_n")
-    return flagged.unionByName(rows.where("test_id = '' OR test_id IS NULL"))
+    return counted.withColumn("description", F.when((F.col("_n") > 1) & ~empty, note).otherwise(F.col("description"))).drop("_n", "_apart")
 
 
 def scattered_warnings(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

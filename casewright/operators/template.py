@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.schemas import CASE_FIELDS
-from casewright.operators.lines import joined, to_lines
+from casewright.operators.lines import joined
 
 # Fixed values of the template: labels, and words that tell a table of steps.
 PRECONDITION_LABELS = ("preconditions", "precondition", "applicability", "prerequisites")
@@ -46,13 +46,14 @@ def underscore_cases(docs: DataFrame) -> DataFrame:
     procedures.
     """
     by_doc = Window.partitionBy("doc_id").orderBy("pos")
-    rows = to_lines(docs.select("doc_id", "doc_text"))
-    rows = rows.withColumn("opens", F.col("line").rlike(HEADING_2)).withColumn("section_no", F.sum(F.col("opens").cast("int")).over(by_doc))
+    rows = docs.select("doc_id", "file_name", F.posexplode(F.split("doc_text", "\n")).alias("pos", "line")).withColumn("opens", F.col("line").rlike(HEADING_2))
+    rows = rows.withColumn("file_name", F.when(F.col("opens"), F.col("file_name"))).repartition("doc_id")  # only headings carry the name
+    rows = rows.withColumn("section_no", F.sum(F.col("opens").cast("int")).over(by_doc))
     head = X.strip(F.regexp_replace(X.strip(F.col("line")), "^#+", ""))
     own = Window.partitionBy("doc_id", "section_no")
     rows = rows.where("section_no > 0").withColumn("head", F.max(F.when(F.col("opens"), head)).over(own)).where(F.col("head").rlike(UNDERSCORE_ID))
-    rows = rows.select("doc_id", "section_no", "head", F.when(F.col("opens"), F.lit("")).otherwise(F.col("line")).alias("line"), "pos")
-    rows = rows.select("doc_id", "section_no", "head", "pos", F.posexplode(F.split("line", X.LINE_BREAKS)).alias("part", "raw")).withColumn("s", X.strip(F.col("raw")))
+    rows = rows.select("doc_id", "section_no", "head", "file_name", F.when(F.col("opens"), F.lit("")).otherwise(F.col("line")).alias("line"), "pos")
+    rows = rows.select("doc_id", "section_no", "head", "file_name", "pos", F.posexplode(F.split("line", X.LINE_BREAKS)).alias("part", "raw")).withColumn("s", X.strip(F.col("raw")))
 
     label = F.regexp_replace(F.lower("s"), ":+$", "")
     kind = F.when(F.col("s") == "", "blank").when(label.isin(*PRECONDITION_LABELS), "pre").when(label.isin(*STEP_LABELS), "step").when(F.contains("s", F.lit("|")) & (F.char_length("s") > 2), "row").otherwise("text")
@@ -65,17 +66,16 @@ def underscore_cases(docs: DataFrame) -> DataFrame:
     text = lambda state: joined(F.when((F.col("kind") == "text") & (F.col("state") == state), F.col("s")), place)
     # one aggregation by run of table rows, then one by section; the exchange by document serves both
     runs = rows.groupBy("doc_id", "section_no", "head", F.when(F.col("kind") == "row", F.col("run")).alias("run")).agg(
-        F.min("pos").alias("at"), joined(F.when(F.col("kind") == "row", F.col("s")), place).alias("table"), F.min(F.when(F.col("kind") == "row", F.struct("pos", "part", "s", "state"))).alias("first"), text("description").alias("d"), text("preconditions").alias("p")
+        F.max("file_name").alias("file_name"), joined(F.when(F.col("kind") == "row", F.col("s")), place).alias("table"), F.min(F.when(F.col("kind") == "row", F.struct("pos", "part", "s", "state"))).alias("first"), text("description").alias("d"), text("preconditions").alias("p")
     )
     procedure = F.exists(X.cells(F.col("first.s")), lambda c: X.strip(F.lower(c)).rlike("|".join(PROCEDURE_WORDS)))
     kept = F.when(F.col("run").isNotNull() & ((F.col("first.state") == "body") | procedure), F.col("table"))
     done = runs.groupBy("doc_id", "section_no", "head").agg(
-        F.max(F.when(F.col("run").isNull(), F.col("d"))).alias("description"), F.max(F.when(F.col("run").isNull(), F.col("p"))).alias("preconditions"), joined(kept, F.col("run").alias("pos"), "\n\n").alias("steps_expected")
+        F.max("file_name").alias("file_name"), F.max(F.when(F.col("run").isNull(), F.col("d"))).alias("description"), F.max(F.when(F.col("run").isNull(), F.col("p"))).alias("preconditions"), joined(kept, F.col("run").alias("pos"), "\n\n").alias("steps_expected")
     )
-    done = done.select(
-        "doc_id", F.col("section_no").cast("int").alias("section_no"), F.regexp_extract("head", UNDERSCORE_ID, 1).alias("test_id"), X.strip(F.regexp_replace("head", UNDERSCORE_ID, "")).alias("test_name"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("preconditions", F.lit("")).alias("preconditions"), "steps_expected"
+    return done.select(
+        "doc_id", "file_name", F.col("section_no").cast("int").alias("section_no"), F.regexp_extract("head", UNDERSCORE_ID, 1).alias("test_id"), X.strip(F.regexp_replace("head", UNDERSCORE_ID, "")).alias("test_name"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("preconditions", F.lit("")).alias("preconditions"), "steps_expected"
     )
-    return done.join(docs.select("doc_id", "file_name"), "doc_id")
 
 
 UNDERSCORE = Template("Underscore-ID Test Plan", has_underscore_ids, underscore_cases)

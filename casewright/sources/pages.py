@@ -18,7 +18,8 @@ def page_texts(blocks: DataFrame) -> DataFrame:
     text = F.when(F.col("kind") == "table", X.pipe_rows(F.col("cells"))).otherwise(X.strip(F.col("text")))
     part = F.when(text != "", F.when(F.col("kind") == "table", F.concat(text, F.lit("\n"))).otherwise(text))
     place = F.struct(F.round("top", 2).alias("top"), F.round("left", 2).alias("left"), "block_no").alias("pos")
-    return blocks.groupBy("doc_id", "page").agg(joined(part, place).alias("page_text")).where("page_text <> ''")
+    parts = blocks.select("doc_id", "page", place, part.alias("part")).repartition("doc_id")  # serves pages and documents alike
+    return parts.groupBy("doc_id", "page").agg(joined(F.col("part")).alias("page_text")).where("page_text <> ''")
 
 
 def page_documents(blocks: DataFrame) -> DataFrame:
