@@ -1,33 +1,11 @@
-import io
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
 from casewright.functions import schemas
 from casewright.sources import files, pages, sinks, word
 from casewright.streaming import events
-
-NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-STYLES = f'<w:styles {NS}><w:style w:type="paragraph" w:default="1" w:styleId="N"><w:name w:val="Normal"/></w:style><w:style w:styleId="H2"><w:name w:val="heading 2"/></w:style><w:style w:styleId="T"><w:name w:val="Title"/></w:style></w:styles>'
-
-
-def p(text, style=""):
-    mark = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
-    return f"<w:p>{mark}<w:r><w:t>{text}</w:t></w:r></w:p>"
-
-
-def tc(inner, pr=""):
-    return f"<w:tc>{f'<w:tcPr>{pr}</w:tcPr>' if pr else ''}{inner}</w:tc>"
-
-
-def docx(body):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {NS}><w:body>{body}</w:body></w:document>")
-        z.writestr("word/styles.xml", STYLES)
-    return out.getvalue()
-
+from tests_docx import docx, p, tc
 
 NESTED = f"<w:tbl><w:tr>{tc(p('x'))}{tc(p('y'))}</w:tr><w:tr>{tc(p('z'))}</w:tr></w:tbl>"
 BODY = (
