@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle
 FEWEST_BITS, MOST_BITS = 16, 24
 #: Set elements of a block that one task joins at once; larger blocks are split.
 BLOCK_ELEMENTS = 2_000_000
+#: Sets of one label and size band that are compared by sketch.
+BAND_ROWS = 20_000
 #: The largest weight of a word: twice the logarithm of 2**40.
 MOST_WEIGHT = 80
 _LOW56 = np.uint64((1 << 56) - 1)
@@ -67,6 +70,36 @@ def prefix_length(percent: int, n: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def sketch(keys: np.ndarray) -> bytes:
+    """One bit for each bucket of a set's keys: whether it holds an odd number.  There are at least as many bits as keys.
+
+    Where two sets' sketches differ, the sets do, so they differ in at least as many elements as the sketches in bits.
+    """
+    bits = max(128, 1 << (len(keys) - 1).bit_length())
+    return np.packbits((np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, folded to the size of the smallest; the parts of a folded one add up modulo 2."""
+    size = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0) for s in sketches])
+
+
+def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Whether each set could be linked with another of these, judged by sizes and sketches; never false for one that is."""
+    x, keep = folded(sketches), np.zeros(len(sizes), bool)
+    for i in range(len(sizes)):
+        if keep[i]:
+            continue
+        both = sizes + sizes[i]
+        near = np.bitwise_count(x ^ x[i]).sum(1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
+        near[i] = False
+        if near.any():
+            keep[i] = True
+            keep |= near
+    return keep
+
+
 # --- the join of one block ------------------------------------------------------------------------------------------
 
 
@@ -205,6 +238,43 @@ def linked_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.xxhash64(*[c for c in rows.columns if c not in ("id", "keys", "linked")]).alias("block"), "id", "keys", "linked").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, kinds)
 
 
+def possible(labels: DataFrame, percent: int) -> DataFrame:
+    """The rows of (hi, label, id, n, sketch) whose set could be linked with another of its label; see :func:`may_link`.
+
+    Linked sets are of neighbouring size bands, so each set meets those of its band and of the next.  The set that names
+    a label stays with it if any other does.  Bands of more than BAND_ROWS sets are kept as they are.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001))
+    dealt = labels.withColumn("band", F.explode(F.array(band, band + 1)))
+    crowds = dealt.groupBy("label", "band").count()
+    crowded = crowds.where(F.col("count") > BAND_ROWS).select("label", "band")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def out():
+            keep = may_link(np.array([h[2] for h in held]), [h[3] for h in held], percent)
+            kept = [h for h, k in zip(held, keep) if k]
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in kept], pa.int64()) for i in (0, 4, 1)], ["hi", "label", "id"])
+
+        for b in batches:
+            for label, band, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (label, band) != now:
+                    if len(held) > 1:
+                        yield out()
+                    now, held = (label, band), []
+                held.append((*row, label))
+        if len(held) > 1:
+            yield out()
+
+    usual = dealt.join(crowds.where((F.col("count") > 1) & (F.col("count") <= BAND_ROWS)).select("label", "band"), ["label", "band"])
+    order = ["label", "band"]
+    found = usual.select("label", "band", "hi", "id", "n", "sketch").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "hi long, label long, id long")
+    found = found.unionByName(dealt.join(crowded, order).select("hi", "label", "id"))
+    hubs = labels.where("hi = label").join(found.select("label").distinct(), "label").select("hi", "label", "id")
+    return found.unionByName(hubs).distinct()
+
+
 def hub_links(rows: DataFrame, percent: int) -> DataFrame:
     """``rows`` (label, id, keys, hub_id, hub_keys) with ``linked``: whether the member is similar to its block's hub."""
 
@@ -255,7 +325,8 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
     1. Words are counted in hash buckets over all texts; the counts order shingles, see :func:`word_weights`.
     2. Each text gives the key and the prefix of its set.  Equal sets are grouped first, so copies cost nothing more.
     3. Sets that share a prefix element share a label: the smallest set key there.  An element in one set makes none.
-    4. Only labelled sets are built again, from their texts; each goes once to the block of each of its labels.
+       Sizes and sketches show which of a label's sets could be linked at all.
+    4. Only those are built again, from their texts; each goes once to the block of each of its labels.
        Blocks that are too large are first compared with one of their sets; what is linked with it needs no comparison
        with the like, so the rest meets all others in bounded parts.
     5. Blocks are joined by tries; links become components.
@@ -267,28 +338,29 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, w = WordHashes(), weights.value
         for b in sub_batches(batches, "text"):
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, prefixes, sketches = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = ordered_set(hashes.of(ascii_words(t)), size, w)
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else (None, None))
                 prefixes.append(s[: prefix_length(percent, len(s))].view(np.int64))
+                sketches.append(sketch(s) if len(s) else None)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))],
-                ["id", "n", "hi", "lo", "prefix"],
+                [b.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(sketches, pa.binary())],
+                ["id", "n", "hi", "lo", "prefix", "sketch"],
             )
 
-    about = written(rows.mapInArrow(describe, "id long, n long, hi long, lo long, prefix array<long>"), "about")
-    sets = about.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", "prefix")).alias("s")).select("hi", "lo", "s.id", "s.prefix")
+    about = written(rows.mapInArrow(describe, "id long, n long, hi long, lo long, prefix array<long>, sketch binary"), "about")
+    sets = about.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "prefix", "sketch")).alias("s")).select("hi", "lo", "s.*")
     sets = written(sets, "sets")
 
-    elements = sets.select("id", "hi", "lo", F.explode("prefix").alias("element"))
-    ends = elements.groupBy("element").agg(F.min("hi").alias("label"), F.max("hi").alias("other"), F.min("lo").alias("lo1"), F.max("lo").alias("lo2"))
-    shared = ends.where("label <> other OR lo1 <> lo2").select("element", "label")
-    labels = written(elements.join(shared, "element").select("id", "hi", "label").distinct(), "labels")
-    wanted = labels.groupBy("id", "hi").agg(F.collect_list(F.struct("label", (F.col("hi") == F.col("label")).alias("is_hub"))).alias("labels"))
+    elements = sets.select("hi", F.explode("prefix").alias("element"))
+    ends = elements.groupBy("element").agg(F.min("hi").alias("label"), F.max("hi").alias("other"))
+    labels = elements.join(ends.where("label <> other").select("element", "label"), "element").select("hi", "label").distinct()
+    labels = written(labels.join(sets.select("hi", "id", "n", "sketch"), "hi"), "labels")
+    wanted = written(possible(labels, percent), "wanted").groupBy("id", "hi").agg(F.collect_list(F.struct("label", (F.col("hi") == F.col("label")).alias("is_hub"))).alias("labels"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, w = WordHashes(), weights.value
