@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle_hashes, sub_batches, written
+from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle_hashes, small, sub_batches, written
 
-#: Buckets of the word counts by which shingles are ordered: a power of two near the number of texts, within these.
-FEWEST_BITS, MOST_BITS = 16, 24
+#: Buckets, as a power of two, of the word counts by which shingles are ordered.
+WORD_BITS = 18
 #: Set elements of a block that one task joins at once; larger blocks are split.
 BLOCK_ELEMENTS = 2_000_000
-#: Sets of one label and size band that are compared by sketch.
-BAND_ROWS = 20_000
+#: Sets of one label that are compared by sketch; those of more common labels are taken as they are.
+LABEL_ROWS = 20_000
 #: The largest weight of a word: twice the logarithm of 2**40.
 MOST_WEIGHT = 80
+#: Ids that are broadcast to pick out texts; with more of them all texts are shuffled once.
+BROADCAST_IDS = 500_000
 _LOW56 = np.uint64((1 << 56) - 1)
 
 
@@ -32,7 +34,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     The sum over its words orders shingles from rare to common.  Any order gives the same links; a good one makes
     prefixes of shingles that few texts share, and puts passages that many texts share last.  The size is bounded.
     """
-    bits = min(MOST_BITS, max(FEWEST_BITS, (docs.count() or 1).bit_length()))
+    bits = WORD_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = WordHashes(), np.zeros(1 << bits, np.int64)
@@ -86,17 +88,26 @@ def folded(sketches: list[bytes]) -> np.ndarray:
 
 
 def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
-    """Whether each set could be linked with another of these, judged by sizes and sketches; never false for one that is."""
-    x, keep = folded(sketches), np.zeros(len(sizes), bool)
+    """Whether each set could be linked with another of these, judged by sizes and sketches; never false for one that is.
+
+    The sets are in order of size.  Those up to the largest that a set can be linked with are compared with it, in
+    sketches of the size of the smallest among them.
+    """
+    keep = np.zeros(len(sizes), bool)
+    last = np.searchsorted(sizes, sizes * 100 // percent, "right")
     for i in range(len(sizes)):
+        end = int(last[i])
+        rest = np.arange(i + 1, end)
         if keep[i]:
+            rest = rest[~keep[i + 1 : end]]  # it needs no partner, the others may
+        if not len(rest):
             continue
-        both = sizes + sizes[i]
-        near = np.bitwise_count(x ^ x[i]).sum(1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
-        near[i] = False
+        x = folded([sketches[i], *(sketches[j] for j in rest)])
+        both = sizes[rest] + sizes[i]
+        near = np.bitwise_count(x[1:] ^ x[0]).sum(1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
         if near.any():
             keep[i] = True
-            keep |= near
+            keep[rest[near]] = True
     return keep
 
 
@@ -239,40 +250,34 @@ def linked_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def possible(labels: DataFrame, percent: int) -> DataFrame:
-    """The rows of (hi, label, id, n, sketch) whose set could be linked with another of its label; see :func:`may_link`.
+    """(hi, label, id, n) of the sets in (hi, label, id, n, sketch) that could be linked with another of their label.
 
-    Linked sets are of neighbouring size bands, so each set meets those of its band and of the next.  The set that names
-    a label stays with it if any other does.  Bands of more than BAND_ROWS sets are kept as they are.
+    See :func:`may_link`.  The set that names a label stays with it if any other does.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * 1.001))
-    dealt = labels.withColumn("band", F.explode(F.array(band, band + 1)))
-    crowds = dealt.groupBy("label", "band").count()
-    crowded = crowds.where(F.col("count") > BAND_ROWS).select("label", "band")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def out():
             keep = may_link(np.array([h[2] for h in held]), [h[3] for h in held], percent)
-            kept = [h for h, k in zip(held, keep) if k]
-            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in kept], pa.int64()) for i in (0, 4, 1)], ["hi", "label", "id"])
+            kept = [(h[0], now, *h[1:3]) for h, k in zip(held, keep) if k or keep.any() and h[0] == now]
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in kept], pa.int64()) for i in range(4)], ["hi", "label", "id", "n"])
 
         for b in batches:
-            for label, band, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if (label, band) != now:
+            for label, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if label != now:
                     if len(held) > 1:
                         yield out()
-                    now, held = (label, band), []
-                held.append((*row, label))
+                    now, held = label, []
+                held.append(row)
         if len(held) > 1:
             yield out()
 
-    usual = dealt.join(crowds.where((F.col("count") > 1) & (F.col("count") <= BAND_ROWS)).select("label", "band"), ["label", "band"])
-    order = ["label", "band"]
-    found = usual.select("label", "band", "hi", "id", "n", "sketch").repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "hi long, label long, id long")
-    found = found.unionByName(dealt.join(crowded, order).select("hi", "label", "id"))
-    hubs = labels.where("hi = label").join(found.select("label").distinct(), "label").select("hi", "label", "id")
-    return found.unionByName(hubs).distinct()
+    counts = labels.groupBy("label").count()
+    crowded = small(counts.where(F.col("count") > LABEL_ROWS).select("label"))
+    usual = labels.join(crowded, "label", "left_anti").select("label", "hi", "id", "n", "sketch")
+    found = usual.repartition("label").sortWithinPartitions("label", "n").mapInArrow(run, "hi long, label long, id long, n long")
+    return found.unionByName(labels.join(crowded, "label", "left_semi").select("hi", "label", "id", "n"))
 
 
 def hub_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -360,7 +365,8 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
     ends = elements.groupBy("element").agg(F.min("hi").alias("label"), F.max("hi").alias("other"))
     labels = elements.join(ends.where("label <> other").select("element", "label"), "element").select("hi", "label").distinct()
     labels = written(labels.join(sets.select("hi", "id", "n", "sketch"), "hi"), "labels")
-    wanted = written(possible(labels, percent), "wanted").groupBy("id", "hi").agg(F.collect_list(F.struct("label", (F.col("hi") == F.col("label")).alias("is_hub"))).alias("labels"))
+    wanted = written(possible(labels, percent), "wanted")
+    load = wanted.groupBy("label").agg(F.sum("n").alias("elements")).where(F.col("elements") > BLOCK_ELEMENTS).select("label")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, w = WordHashes(), weights.value
@@ -371,16 +377,18 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
             keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys], ["id", "labels", "keys"]).filter(pa.array(same, pa.bool_()))
 
-    built = rows.join(wanted, "id").select("id", "text", "labels", "hi").mapInArrow(build, "id long, labels array<struct<label:long,is_hub:boolean>>, keys array<long>")
-    members = written(built.select("id", "keys", F.explode("labels").alias("l")).select("id", "keys", "l.label", "l.is_hub"), "members")
+    def members(of: DataFrame) -> DataFrame:
+        """(id, keys, label, is_hub): the sets of (id, hi, label), built from their texts once and given to each label."""
+        listed = of.groupBy("id", "hi").agg(F.collect_list(F.struct("label", (F.col("hi") == F.col("label")).alias("is_hub"))).alias("labels"))
+        chosen = rows.join(small(of.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")  # so that other texts are not shuffled
+        built = chosen.join(listed, "id").select("id", "text", "labels", "hi").mapInArrow(build, "id long, labels array<struct<label:long,is_hub:boolean>>, keys array<long>")
+        return built.select("id", "keys", F.explode("labels").alias("l")).select("id", "keys", "l.label", "l.is_hub")
 
-    load = members.groupBy("label").agg(F.sum(F.size("keys")).alias("elements"), F.count("*").alias("n")).where("n > 1")
-    usual = members.join(load.where(F.col("elements") <= BLOCK_ELEMENTS).select("label"), "label", "left_semi")
+    large = small(load)
+    usual = members(wanted.join(large, "label", "left_anti"))
     links = linked_pairs(usual.select("label", "id", "keys", F.lit(False).alias("linked")), percent)
-
-    large = load.where(F.col("elements") > BLOCK_ELEMENTS).select("label")
-    if not large.isEmpty():
-        held = members.join(large, "label")
+    if not load.isEmpty():
+        held = written(members(wanted.join(large, "label", "left_semi")), "members")
         hubs = held.where("is_hub").groupBy("label").agg(F.min(F.struct("id", "keys")).alias("h")).select("label", F.col("h.id").alias("hub_id"), F.col("h.keys").alias("hub_keys"))
         near = written(hub_links(held.join(hubs, "label").where("id <> hub_id"), percent).unionByName(hubs.select("label", F.col("hub_id").alias("id"), F.col("hub_keys").alias("keys"), "hub_id", F.lit(True).alias("linked"))), "near")
         parts = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.size("keys"))), F.lit(0)) / BLOCK_ELEMENTS * 2).cast("int")
