@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import sub_batches
+from casewright.llm.common import sub_batches, written
 
 #: Labelled rows of each class that the models are fitted on at most: the smallest by a hash of their id.
 FIT_ROWS = 2048
@@ -72,12 +72,11 @@ class KneserNey:
                     own[c][g] += n
         seen = own[0].keys() | own[1].keys()
         shared: dict[str, float] = {g: float(own[0][g] + own[1][g]) for g in seen}
-        wider: dict[str, set] = {}
-        for g in seen:
-            for i in range(1, len(g)):
-                wider.setdefault(g[i:], set()).add(g[i - 1])
-        for g, x in wider.items():
-            shared[g] = shared.get(g, 0.0) + len(x)
+        ends = {g[i:] for g in seen for i in range(1, len(g))}
+        for g in seen | ends:  # each longer sequence is one context of the shorter one
+            if len(g) > 1:
+                shared[g[1:]] = shared.get(g[1:], 0.0) + 1.0
+        del ends
         after, own_after = contexts(shared), [contexts(own[0]), contexts(own[1])]
         known: dict[str, float] = {"": 1.0 / (1 + len({g[-1] for g in seen}))}
 
@@ -165,7 +164,7 @@ def held_out(id_col: str):
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[KneserNey, float, float]:
     """The models and the scale, from a bounded number of labelled rows (see FIT_ROWS); labels are used nowhere else."""
     chosen = F.broadcast(fitting_rows(labels))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "fold", "text")
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "fold", "text"), "fitting")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "text"):
@@ -195,7 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[KneserNey, float, float]:
         part = rows.where(F.col("fold") == fold).select("toxic", evidence_of(F.col("text"), other).alias("evidence")).toPandas()
         evidence.append(part.evidence.to_numpy())
         toxic.append(part.toxic.to_numpy())
-        other.unpersist()
+        other.destroy()
+        del other
     slope, base = fit_scale(np.concatenate(evidence), np.concatenate(toxic))
     return model(*range(FOLDS)), slope, base
 
