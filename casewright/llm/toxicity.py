@@ -8,6 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,22 @@ class KneserNey:
         for h in own_after[0].keys() | own_after[1].keys():
             (n0, k0), (n1, k1) = (own_after[c].get(h, none) for c in (0, 1))
             self.new[h] = math.log((DISCOUNT * k1 + STRENGTH) / (n1 + STRENGTH)) - math.log((DISCOUNT * k0 + STRENGTH) / (n0 + STRENGTH))
+
+
+class Evidence:
+    """The log ratios of a model, sent to tasks as Arrow columns (gram, new, ratio) and looked up from dictionaries there."""
+
+    def __init__(self, columns: pa.Table):
+        self.columns = columns
+
+    def __getstate__(self) -> dict:
+        return {"columns": self.columns}
+
+    def __setstate__(self, state: dict) -> None:
+        self.ratio: dict[str, float] = {}
+        self.new: dict[str, float] = {}
+        for gram, new, ratio in zip(*(state["columns"].column(c).to_pylist() for c in ("gram", "new", "ratio"))):
+            (self.new if new else self.ratio)[gram] = ratio
         self.memory: dict[str, float] = {}
 
     def word_evidence(self, word: str) -> float:
@@ -161,8 +178,8 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[KneserNey, float, float]:
-    """The models and the scale, from a bounded number of labelled rows (see FIT_ROWS); labels are used nowhere else."""
+def fit(docs: DataFrame, labels: DataFrame):
+    """The broadcast model, slope and intercept, from a bounded number of labelled rows (see FIT_ROWS); labels are used nowhere else."""
     chosen = F.broadcast(fitting_rows(labels))
     rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "fold", "text"), "fitting")
 
@@ -179,32 +196,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[KneserNey, float, float]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["toxic", "fold", "word", "last"])
 
     counts = rows.select(F.col("toxic").cast("int").alias("toxic"), "fold", "text").mapInArrow(pairs, "toxic int, fold int, word string, last string").distinct().groupBy("toxic", "fold", "word").count()
-    counted = counts.toPandas()  # words of at most 2 * FIT_ROWS rows
+    # model FOLDS is of all rows, model k of the rows outside fold k; a model's words are bounded by FIT_ROWS, so each fits a task
+    models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.col("fold"))).alias("model")
+
+    def build(words: pd.DataFrame) -> pd.DataFrame:
+        counted: list[Counter] = [Counter(), Counter()]
+        for c, w, n in zip(words.toxic, words.word, words["count"]):
+            counted[c][w] += int(n)
+        m = KneserNey(counted)
+        grams, ratios = [*m.ratio, *m.new], [*m.ratio.values(), *m.new.values()]
+        return pd.DataFrame({"model": words.model.iloc[0], "gram": grams, "new": [False] * len(m.ratio) + [True] * len(m.new), "ratio": ratios})
 
-    def model(*folds: int) -> KneserNey:
-        words: list[Counter] = [Counter(), Counter()]
-        used = counted[counted.fold.isin(folds)]
-        for c, w, n in zip(used.toxic, used.word, used["count"]):
-            words[c][w] += int(n)
-        return KneserNey(words)
+    built = written(counts.select("toxic", "word", "count", models).groupBy("model").applyInPandas(build, "model int, gram string, new boolean, ratio double"), "models")
+
+    def model(k: int):
+        return docs.sparkSession.sparkContext.broadcast(Evidence(built.where(F.col("model") == k).select("gram", "new", "ratio").toArrow()))
 
     evidence, toxic = [], []
     for fold in range(FOLDS):
-        other = docs.sparkSession.sparkContext.broadcast(model(*(f for f in range(FOLDS) if f != fold)))
+        other = model(fold)
         part = rows.where(F.col("fold") == fold).select("toxic", evidence_of(F.col("text"), other).alias("evidence")).toPandas()
         evidence.append(part.evidence.to_numpy())
         toxic.append(part.toxic.to_numpy())
         other.destroy()
-        del other
     slope, base = fit_scale(np.concatenate(evidence), np.concatenate(toxic))
-    return model(*range(FOLDS)), slope, base
+    return model(FOLDS), slope, base
 
 
 def evidence_of(text, model):
     @F.pandas_udf("double")
-    def run(texts):
-        import pandas as pd
-
+    def run(texts: pd.Series) -> pd.Series:
         m = model.value
         return pd.Series([m.evidence(t) for t in texts], dtype="float64")
 
@@ -216,8 +237,7 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"
 
     The broadcast models have a size bounded by FIT_ROWS, and scoring has no shuffle.
     """
-    model, slope, base = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, slope, base = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     return 1 / (1 + F.exp(-(F.log(evidence_of(F.col(text_col), shared) + LEAST_EVIDENCE) * slope + base)))
 
 

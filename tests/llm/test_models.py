@@ -98,8 +98,16 @@ def test_held_out_labels_do_not_matter(spark):
 
 
 def test_models_add_up():
-    m = toxicity.KneserNey([{"aa": 2, "ab": 1}, {"ab": 3}])
-    assert m.word_evidence("zz") >= 0 and set(m.ratio) and all(abs(x) < 50 for x in m.ratio.values())
+    import pickle
+
+    import pyarrow as pa
+
+    m = toxicity.KneserNey([{"aa": 2, "ab": 1}, {"ab": 3, "grimble": 40}])
+    assert all(abs(x) < 50 for x in m.ratio.values()) and m.new
+    columns = pa.table({"gram": [*m.ratio, *m.new], "new": [False] * len(m.ratio) + [True] * len(m.new), "ratio": [*m.ratio.values(), *m.new.values()]})
+    e = pickle.loads(pickle.dumps(toxicity.Evidence(columns)))
+    assert e.ratio == m.ratio and e.new == m.new and e.word_evidence("zz") >= 0 and e.evidence(None) == e.evidence("") == 0
+    assert toxicity.KneserNey([{}, {}]).ratio == {}
 
 
 # --- the pipeline
