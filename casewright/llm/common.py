@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it has no more rows than this; beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 50_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
 WORD_CACHE = 1 << 20
 
@@ -40,6 +42,13 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def short_batches(df: DataFrame) -> None:
+    """Let Arrow batches of the session have BATCH_ROWS rows at most, for rows hold whole texts."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be within ``limit`` rows, otherwise ``df`` as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WordHashes, mix, shingle_hashes, sub_batches
+from casewright.llm.common import WordHashes, mix, shingle_hashes, short_batches, sub_batches
 
 #: Words of a shingle, and the similarity from which a window holds an item.
 SHINGLE, SIMILAR = 5, 0.8
@@ -167,6 +167,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     SIMILAR.  Null, empty and wordless texts and items hold nothing and are held by nothing; a text shorter than an item
     is one window; repeated rows give repeated results; rows with null ids are searched like others.
     """
+    short_batches(docs)
     kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -195,6 +196,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, with all columns; see :func:`find_leaks`."""
 
+    short_batches(docs)
+
     def clean(matcher: Matcher):
         shared = docs.sparkSession.sparkContext.broadcast(matcher)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle_hashes, small, sub_batches, written
+from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle_hashes, short_batches, small, sub_batches, written
 
 #: Buckets, as a power of two, of the word counts by which shingles are ordered.
 WORD_BITS = 18
@@ -336,6 +336,7 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
        with the like, so the rest meets all others in bounded parts.
     5. Blocks are joined by tries; links become components.
     """
+    short_batches(docs)
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(word_weights(rows))

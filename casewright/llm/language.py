@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import small, sub_batches, written
+from casewright.llm.common import short_batches, small, sub_batches, written
 
 #: Declared rows of each language that the text likelihoods are fitted on at most: the smallest by a hash of their id.
 FIT_ROWS = 512
@@ -107,6 +107,7 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     language has a probability of ACCEPT, which includes null, empty and letterless texts (lang_id "und").  Repeated rows and null
     ids stay.  Without any declared row all texts are "und".
     """
+    short_batches(docs)
     none = F.lit(None).cast("string")
     text = lambda c: none if c is None else c.cast("string")
     base = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("text"), primary(text(declared)).alias("declared"), text(host).alias("host"), text(domain).alias("domain"), text(suffix).alias("suffix"))

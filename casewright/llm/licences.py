@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from casewright.llm.common import small, sub_batches, written
+from casewright.llm.common import short_batches, small, sub_batches, written
 
 #: Cosine from which a line or a text is taken for a licence.
 SIMILAR = 0.7
@@ -152,6 +152,7 @@ def scan_licences(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text
     ``inherited_from`` is that directory.  Null, empty and termless texts have no licence of their own; a null path has
     no directory, inherits nothing and licenses nothing; repeated rows stay.
     """
+    short_batches(docs)
     words = vocabulary()
     known = frozenset(words)
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import sub_batches, written
+from casewright.llm.common import short_batches, sub_batches, written
 
 #: Labelled rows of each class that the models are fitted on at most: the smallest by a hash of their id.
 FIT_ROWS = 2048
@@ -237,6 +237,7 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"
 
     The broadcast models have a size bounded by FIT_ROWS, and scoring has no shuffle.
     """
+    short_batches(docs)
     shared, slope, base = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
     return 1 / (1 + F.exp(-(F.log(evidence_of(F.col(text_col), shared) + LEAST_EVIDENCE) * slope + base)))
 
