@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from importlib.resources import files as package_files
+from itertools import accumulate, repeat
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +20,10 @@ from pyspark.sql import Window
 
 from casewright.llm.common import short_batches, small, sub_batches, written
 
-#: Cosine from which a line or a text is taken for a licence.
+#: Cosine from which a line, a window or a text is taken for a licence.
 SIMILAR = 0.7
+#: A window of a wording with fewer terms has to hold the wording's rarest term: "all rights of" is no reservation.
+SHORT = 10
 TERM = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 #: Names of files that license their directory, whatever share of the text the licence is.
 LICENCE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
@@ -51,6 +58,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "AGPL-3.0": (
+        "GNU Affero General Public License Version 3, 19 November 2007",
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
@@ -76,12 +84,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 
 
+@cache
+def complete_texts() -> dict[str, str]:
+    """Complete texts of licences by name; that of AGPL-3.0 is GPL-3.0's under its own name, from which it hardly differs otherwise."""
+    folder = package_files("casewright.llm") / "licence_texts"
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+    texts["AGPL-3.0"] = re.sub(r"(?i)(GNU)(\s+General\s+Public)", r"\1 Affero\2", texts["GPL-3.0"])
+    texts["BSD-2-Clause"] = re.sub(r"(?s)\n3\..*?(?=\n\s*\n)", "", texts["BSD-3-Clause"])
+    return texts
+
+
 def terms_of(text: str | None) -> list[str]:
     return TERM.findall(text.lower()) if text else []
 
 
 class Scanner:
-    """Unit vectors of the templates, and of what is compared with them.
+    """Unit vectors of the templates and of complete licences, and of what is compared with them.
 
     Term weights are inverse document frequencies over all texts; terms that no template has weigh as the rarest.
     """
@@ -92,9 +110,16 @@ class Scanner:
         self.templates: list[tuple[str, dict[str, float]]] = []
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         self.keys: set[str] = set()
+        self.sizes: list[int] = []
+        self.own_keys: list[set[str]] = []
+        self.rarest: list[set[str]] = []
         for name, wordings in TEMPLATES.items():
             for wording in wordings:
                 v = self.unit(terms_of(wording))
+                self.sizes.append(len(terms_of(wording)))
+                self.own_keys.append(set())
+                most = max(self.idf.get(t, self.rare) for t in v)
+                self.rarest.append({t for t in v if self.idf.get(t, self.rare) >= most})
                 for t, x in v.items():
                     self.by_term.setdefault(t, []).append((len(self.templates), x))
                 self.templates.append((name, v))
@@ -104,7 +129,22 @@ class Scanner:
                     if rest < SIMILAR**2:
                         break
                     self.keys.add(t)
+                    self.own_keys[-1].add(t)
                     rest -= x * x
+        self.ids = {t: i for i, t in enumerate(self.by_term)}
+        self.squares = self.squared([v for _, v in self.templates], self.ids)
+        self.complete = [(name, self.unit(terms_of(text))) for name, text in complete_texts().items()]
+        self.complete_ids = {t: i for i, t in enumerate(sorted({t for _, v in self.complete for t in v}))}
+        self.complete_squares = self.squared([v for _, v in self.complete], self.complete_ids).T.copy()
+
+    @staticmethod
+    def squared(vectors: list[dict[str, float]], ids: dict[str, int]) -> np.ndarray:
+        """Squares of the vectors' components, a row each; the last column is for terms that none has."""
+        squares = np.zeros((len(vectors), len(ids) + 1))
+        for n, v in enumerate(vectors):
+            for t, x in v.items():
+                squares[n, ids[t]] = x * x
+        return squares
 
     def unit(self, terms: list[str]) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in Counter(terms).items()}
@@ -124,29 +164,83 @@ class Scanner:
         n = min(cosine, key=lambda i: (-round(cosine[i], 12), i))
         return min(cosine[n], 1.0), self.templates[n][0]
 
+    def best_complete(self, terms: list[str]) -> tuple[float, str | None]:
+        """The greatest cosine of a text with a complete licence, and its name; 0 if it is below SIMILAR."""
+        met = [i for t in set(terms) if (i := self.complete_ids.get(t)) is not None]
+        # the cosine is at most the length of what the text has of the licence's unit vector
+        near = np.flatnonzero(self.complete_squares[met].sum(0) >= SIMILAR**2 - 1e-9)
+        top: tuple[float, str | None] = (0.0, None)
+        if len(near):
+            u = self.unit(terms)
+            for n in near:
+                name, v = self.complete[n]
+                x = sum(y * u.get(t, 0.0) for t, y in v.items())
+                if x >= SIMILAR and x > top[0]:
+                    top = (min(x, 1.0), name)
+        return top
+
+    def best_window(self, terms: list[str], least: float) -> tuple[float, str | None, int]:
+        """The greatest cosine, above ``least``, of a wording with a run of as many terms; its licence and where it begins."""
+        top: tuple[float, str | None, int] = (least, None, 0)
+        met = set(terms)
+        ids = np.fromiter(map(self.ids.get, terms, repeat(-1)), np.int64, len(terms))
+        for n, (name, v) in enumerate(self.templates):
+            size = self.sizes[n]
+            if size > len(terms) or self.own_keys[n].isdisjoint(met):
+                continue
+            sums = np.concatenate(([0.0], np.cumsum(self.squares[n][ids])))
+            bound = sums[size:] - sums[:-size]  # at least the square of the cosine, see best_complete
+            seen: set[tuple[str, ...]] = set()
+            for at in np.flatnonzero(bound >= max(top[0], SIMILAR) ** 2 - 1e-9).tolist():
+                window = tuple(terms[at : at + size])
+                if bound[at] < top[0] ** 2 - 1e-9 or window in seen:
+                    continue
+                seen.add(window)
+                if size < SHORT and self.rarest[n].isdisjoint(window):
+                    continue
+                x = sum(y * v.get(t, 0.0) for t, y in self.unit(window).items())
+                if x >= SIMILAR and x > top[0] + 1e-12:
+                    top = (min(x, 1.0), name, at)
+        return top
+
     def scan(self, text: str | None) -> tuple[str | None, float, int | None, bool]:
-        """Licence, cosine, line (from 0, null for the whole text) and whether the text as a whole is a licence."""
-        if not text or self.keys.isdisjoint(terms_of(text)):
+        """Licence, cosine, line (from 0, null for the whole text) and whether the text as a whole is a licence.
+
+        A window counts for the line that it begins in.
+        """
+        if not text:
+            return None, 0.0, None, False
+        lines = [terms_of(line) for line in text.split("\n")]
+        terms = [t for line in lines for t in line]
+        whole, whole_name = self.best_complete(terms)
+        if whole_name:
+            return whole_name, whole, None, True
+        if self.keys.isdisjoint(terms):
             return None, 0.0, None, False
-        whole, whole_name = self.best(terms_of(text))
-        top = (whole, whole_name, None)
-        for i, line in enumerate(text.split("\n")):
-            x, name = self.best(terms_of(line))
+        whole, whole_name = self.best(terms)
+        top: tuple[float, str | None, int | None] = (whole, whole_name, None)
+        for i, line in enumerate(lines):
+            x, name = self.best(line)
             if x > top[0]:
                 top = (x, name, i)
+        if top[0] < 1 - 1e-12:
+            x, name, at = self.best_window(terms, top[0])
+            if name:
+                top = (x, name, bisect_right(list(accumulate(map(len, lines))), at))
         if top[0] < SIMILAR:
             return None, top[0], None, False
         return top[1], top[0], top[2], whole >= SIMILAR
 
 
 def vocabulary() -> list[str]:
-    return sorted({t for wordings in TEMPLATES.values() for w in wordings for t in terms_of(w)})
+    return sorted({t for wordings in [*TEMPLATES.values(), complete_texts().values()] for w in wordings for t in terms_of(w)})
 
 
 def scan_licences(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, path, licence, cosine, line, is_licence_file and inherited_from of every row of ``docs``.
 
-    A row's own licence is the template nearest to one of its lines or to its whole text, from cosine SIMILAR on.  A row
+    A row's own licence is the template nearest to one of its lines, to a run of as many terms anywhere in its text, line
+    ends within or not, or to its whole text, from cosine SIMILAR on; a text that is a complete licence is that one.  A row
     without one takes that of the nearest directory above it that has a licence file: a text that is a licence as a
     whole, or a licensed text so named.  Of several in a directory the greatest cosine, then the smallest path counts.
     ``inherited_from`` is that directory.  Null, empty and termless texts have no licence of their own; a null path has

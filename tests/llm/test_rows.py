@@ -259,3 +259,26 @@ def test_gate_loses_no_licence():
         best = max(sum(x * v.get(t, 0.0) for t, x in template.items()) for _, template in s.templates)
         if best >= SIMILAR:
             assert s.best(terms)[0] == pytest.approx(min(best, 1.0))
+
+
+def test_wrapped_embedded_and_complete_licences(spark):
+    from casewright.llm.licences import TEMPLATES, complete_texts
+
+    rnd = random.Random(5)
+    prose = lambda n: " ".join("".join(rnd.choice("aeioulmnrst") for _ in range(6)) for _ in range(n))
+    header = "\n".join([
+        "# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by",
+        "# the Free Software Foundation, either version 3 of the License, or", "# (at your option) any later version.",
+    ])
+    texts = {f"file {name}": (name, text, None) for name, text in complete_texts().items()}
+    texts["MIT with holder"] = ("MIT", complete_texts()["MIT"].replace("<year> <copyright holders>", "2024 A. Writer and others"), None)
+    texts["header"] = ("GPL-3.0", f"{prose(40)}\n{header}\n{prose(60)}", 1)
+    texts["opening"] = ("MIT", f"{prose(30)}\n\n" + TEMPLATES["MIT"][2].replace(" obtaining", "\nobtaining").replace(" files,", "\nfiles,") + f"\n{prose(30)}", 2)
+    texts["paragraph"] = ("MIT", f"{prose(20)}\n{prose(15)} Released under the MIT License. {prose(15)}", 1)
+    texts["none"] = (None, f"{prose(30)} all rights of the reader, {prose(30)}", None)
+    rows = [(i, text, f"d{i}/{i}") for i, (_, text, _) in enumerate(texts.values())] + [(1000 + i, f"{prose(40)} all the terms, under rights of a version", "x/y") for i in range(60)]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string, place string"), F.col("place")).collect()}
+    for i, (kind, (licence, _, line)) in enumerate(texts.items()):
+        assert (got[i].licence, got[i].line) == (licence, line), kind
+        assert got[i].is_licence_file == (kind.startswith(("file", "MIT with"))), kind
+    assert all(got[1000 + i].licence is None for i in range(60))
