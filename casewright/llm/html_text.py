@@ -101,12 +101,17 @@ class Tree(HTMLParser):
         return bool(named & FURNITURE_WORDS) or (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
 
 
-def densities(tree: Tree, drop: list[bool]) -> tuple[list[float], list[float]]:
-    """Composite text density of every element, and the sum over its children.
-
-    Characters per tag, times the logarithm of (characters / link characters) * (tags / link tags) to a base that grows
-    with the element's links and with the page's share of link characters.
+def density(c: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag, times the logarithm of (characters / link characters) * (tags / link tags)
+    to a base that grows with the element's links and with ``share``, the page's share of link characters.
     """
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(c / max(c - link_chars, 1) * link_chars + share * c + math.e)
+    return c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), 0.1)  # without any link the base is 1
+
+
+def densities(tree: Tree, drop: list[bool]) -> tuple[list[float], list[float], list[bool], float]:
+    """Density of every element, the sum over its children (its own where it has none), what is linked, and the page's share of link characters."""
     n = len(tree.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     linked = [False] * n
@@ -127,13 +132,27 @@ def densities(tree: Tree, drop: list[bool]) -> tuple[list[float], list[float]]:
     share = link_chars[0] / max(chars[0], 1)
     own, total = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
-        c, t, lc, lt = chars[i], max(tags[i], 1), max(link_chars[i], 1), max(link_tags[i], 1)
-        if c and not drop[i]:
-            base = math.log(c / max(c - link_chars[i], 1) * link_chars[i] + share * c + math.e)
-            own[i] = c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base), 0.1)  # without any link the base is 1
+        if chars[i] and not drop[i]:
+            own[i] = density(chars[i], tags[i], link_chars[i], link_tags[i], share)
+            if not tags[i]:
+                total[i] = own[i]
         if i and not drop[i]:
             total[tree.parent[i]] += own[i]
-    return own, total
+    return own, total, linked, share
+
+
+def run_density(run: list[tuple[int, str]], above: set[int], tree: Tree, linked: list[bool], share: float) -> float:
+    """Density of a stretch of text between two block borders that stands directly in an ancestor, with the inline elements in it."""
+    inline: set[int] = set()
+    chars = link_chars = 0
+    for i, t in run:
+        size = len(" ".join(t.split()))
+        chars += size
+        link_chars += size * linked[i]
+        while i not in above and i >= 0 and i not in inline:
+            inline.add(i)
+            i = tree.parent[i]
+    return density(chars, len(inline), link_chars, sum(tree.tag[i] == "a" for i in inline), share) if chars else 0.0
 
 
 def main_text(html: str | None) -> str:
@@ -152,7 +171,7 @@ def main_text(html: str | None) -> str:
         inside[i] = inside[p] or tag in ("article", "main")
         named = tree.noise[i] and (tag in FURNITURE_TAGS or not holds[i])
         drop[i] = drop[p] or named or tag == "header" and not inside[p]
-    own, total = densities(tree, drop)
+    own, total, linked, share = densities(tree, drop)
     body = next((i for i in range(1, n) if tree.tag[i] == "body"), 0)
     best = max((i for i in range(n) if not drop[i]), key=lambda i: (total[i], -i))
     if not total[best]:
@@ -169,13 +188,15 @@ def main_text(html: str | None) -> str:
         p = tree.parent[i]
         beside = p in above and i not in above and own[i] >= threshold > 0 and total[i] >= threshold
         taken[i] = not drop[i] and (i == best or p >= 0 and taken[p] or beside or tree.tag[i] == "h1")
-    blocks, now = [], []
+    blocks, now, direct = [], [], False
     for i, t in [*tree.texts, (0, None)]:
         if t is None:
-            blocks.append(" ".join("".join(now).split()))
-            now = []
-        elif taken[i]:
-            now.append(t)
+            whole = direct and run_density(now, above, tree, linked, share) >= threshold > 0
+            blocks.append(" ".join("".join(t for i, t in now if whole or taken[i]).split()))
+            now, direct = [], False
+        elif not drop[i]:
+            now.append((i, t))
+            direct = direct or i in above and not t.isspace()
     return "\n".join(b for b in blocks if b)
 
 

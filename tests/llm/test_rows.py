@@ -112,6 +112,15 @@ def test_main_text(html, expected):
     assert main_text(html) == expected
 
 
+def test_dense_neighbours_of_the_best_subtree():
+    long = lambda c, n: f"{c * 5} " * (n // 6)
+    section = "<div>" + "".join(f"<p>{long('s', 500)}</p>" for _ in range(5)) + "</div>"
+    got = main_text(f"<body><div><p>{long('a', 700)}</p>{section}<pre>{long('b', 700)}</pre><p>tiny</p></div></body>").split("\n")
+    assert [g[0] for g in got] == ["a", *"sssss", "b"]
+    got = main_text(f"<body>{long('c', 350)}<i>{long('i', 40)}</i>{long('d', 350)}<div>{section}tiny<a href=x>link</a></div>{long('e', 700)}</body>").split("\n")
+    assert [g[0] for g in got] == ["c", *"sssss", "e"] and "iiiii" in got[0] and "ddddd" in got[0]
+
+
 def test_pages_of_the_tables_shape(spark):
     rnd = random.Random(2)
     rows, expected = [], {}
