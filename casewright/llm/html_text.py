@@ -21,19 +21,36 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html body caption option optgroup legend tbody td tfoot th thead tr".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-FURNITURE_TAGS = frozenset(
-    "head nav footer aside form script style noscript template iframe object svg canvas math button select textarea dialog menu audio video map datalist".split()
-)
+UNREAD_TAGS = frozenset("head script style noscript template iframe object svg canvas select audio video map datalist annotation annotation-xml".split())
+FURNITURE_TAGS = frozenset("nav footer aside dialog menu".split())
+CONTROLS = frozenset(("button", "textarea"))  # text of an article, furniture elsewhere
 FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies responses share "
     "sharing sidebar skip social sponsor sponsored subscribe toolbar topbar widget".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
+#: Words of a class that say that something is absent or elsewhere, or a state; and words behind the one that names the thing.
+STATES = frozenset("no not non without with has have is hide hides hidden show shows disable disabled enable enabled".split())
+PLACES = frozenset(
+    "left right top bottom main primary secondary first last inner outer wrap wrapper container content box area block section row col column list item items "
+    "links icons buttons posts articles entries body header title bar panel form signup slot unit small large mobile desktop sticky fixed global".split()
+)
 CONTENT = frozenset(("article", "main", "h1"))
+MARKED = frozenset(("article", "main"))
 WORDS = re.compile(r"[a-z]+")
 
 
+def names_furniture(token: str) -> bool:
+    """Whether a class or id as a whole names furniture: its last word but for PLACES, unless it has one of STATES."""
+    words = [w for w in WORDS.findall(token) if len(w) > 1]
+    if not STATES.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1] in PLACES and words[-1] not in FURNITURE_WORDS:
+        words.pop()
+    return bool(words) and words[-1] in FURNITURE_WORDS
+
+
 class Tree(HTMLParser):
     """The elements of a page in document order, as lists, and its texts, each with its element; None where a block begins or ends."""
 
@@ -74,7 +91,7 @@ class Tree(HTMLParser):
             self.shut_tag(SAME[tag], ("ul", "ol", "dl", "select", "table", "menu"))
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        self.noise.append(tag in FURNITURE_TAGS or self.named_noise(tag, dict(attrs)) if attrs else tag in FURNITURE_TAGS)
+        self.noise.append(bool(attrs) and self.named_noise(tag, dict(attrs)))
         if tag in BLOCK:
             self.texts.append((len(self.tag) - 1, None))
         if tag not in VOID:
@@ -97,8 +114,8 @@ class Tree(HTMLParser):
     def named_noise(tag: str, attrs: dict[str, str | None]) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        named = set(WORDS.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-        return bool(named & FURNITURE_WORDS) or (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+        return any(map(names_furniture, named)) or (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
 
 
 def density(c: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -155,21 +172,40 @@ def run_density(run: list[tuple[int, str]], above: set[int], tree: Tree, linked:
     return density(chars, len(inline), link_chars, sum(tree.tag[i] == "a" for i in inline), share) if chars else 0.0
 
 
+def most_of_text(tree: Tree, marks: list[int]) -> list[bool]:
+    """Whether an element has over half of the page's characters outside links, and no article or main stands outside it."""
+    n = len(tree.tag)
+    chars, passed = [0] * n, [False] * n
+    for i in range(1, n):
+        passed[i] = passed[tree.parent[i]] or tree.tag[i] == "a" or tree.tag[i] in UNREAD_TAGS
+    for i, t in tree.texts:
+        if t and not passed[i]:
+            chars[i] += len(" ".join(t.split()))
+    for i in range(n - 1, 0, -1):
+        chars[tree.parent[i]] += chars[i]
+    return [2 * chars[i] > chars[0] and marks[i] == marks[0] for i in range(n)]
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page: its blocks in page order, joined by line feeds; empty if there is none."""
     if not html:
         return ""
     tree = Tree(html)
     n = len(tree.tag)
-    holds, inside = [False] * n, [False] * n
+    holds, inside, marks = [False] * n, [False] * n, [0] * n
     for i in range(n - 1, 0, -1):
+        marks[i] += tree.tag[i] in MARKED
+        marks[tree.parent[i]] += marks[i]
         if tree.tag[i] in CONTENT or holds[i]:
             holds[tree.parent[i]] = True
-    drop = [False] * n
+    most = most_of_text(tree, marks) if any(tree.noise[i] or tree.tag[i] == "form" for i in range(1, n)) else [False] * n
+    drop, within = [False] * n, [False] * n  # within: in a named wrapper or an article
     for i in range(1, n):
         p, tag = tree.parent[i], tree.tag[i]
-        inside[i] = inside[p] or tag in ("article", "main")
-        named = tree.noise[i] and (tag in FURNITURE_TAGS or not holds[i])
+        inside[i] = inside[p] or tag in MARKED
+        within[i] = within[p] or tree.noise[i] or tag == "article"
+        kept = holds[i] or most[i] or tag == "article" and not within[p]
+        named = tag in UNREAD_TAGS or tag in FURNITURE_TAGS or tag in CONTROLS and not inside[p] or (tree.noise[i] or tag == "form") and not kept
         drop[i] = drop[p] or named or tag == "header" and not inside[p]
     own, total, linked, share = densities(tree, drop)
     body = next((i for i in range(1, n) if tree.tag[i] == "body"), 0)

@@ -112,6 +112,23 @@ def test_main_text(html, expected):
     assert main_text(html) == expected
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<body><form id=aspnetForm><div><p>one text</p><p>two</p></div></form></body>", "one text\ntwo"),
+        ("<body><form><nav><a href=x>menu</a></nav><article><p>text</p></article></form></body>", "text"),
+        ("<article class='post has-comments'><p>text</p></article>", "text"), ("<article class='sponsor'><p>text</p></article>", "text"),
+        *((f"<main><p>more</p><div class='{c}'><p>two</p></div></main>", "more\ntwo") for c in ("no-sidebar", "with-navigation", "social-policy")),
+        ("<body><div class='sidebar'><p>all the text that there is</p></div></body>", "all the text that there is"),
+        ("<main><p>text</p><div class='left-sidebar'><p>s</p></div><div id='comment-list'><p>c</p></div><div class='site-footer'>f</div></main>", "text"),
+        ("<main><p>text</p></main><div id='comments'><article class='comment-body'><p>c</p></article></div>", "text"),
+        ("<article><p>so <math><mi>x</mi><annotation>tex</annotation></math></p><h2><button>Part</button></h2><textarea>code</textarea></article><button>Buy</button>", "so x\nPart\ncode"),
+    ],
+)
+def test_wrappers_that_hold_the_text(html, expected):
+    assert main_text(html) == expected
+
+
 def test_dense_neighbours_of_the_best_subtree():
     long = lambda c, n: f"{c * 5} " * (n // 6)
     section = "<div>" + "".join(f"<p>{long('s', 500)}</p>" for _ in range(5)) + "</div>"
