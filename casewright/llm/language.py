@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import short_batches, small, sub_batches, written
+from casewright.llm.common import BROADCAST_ROWS, short_batches, small, sub_batches, written
 
 #: Declared rows of each language that the text likelihoods are fitted on at most: the smallest by a hash of their id.
 FIT_ROWS = 512
-#: Languages at most, the most declared first; a language has to be declared this often.
-LANGUAGES, LEAST_ROWS = 64, 3
+#: Languages whose likelihoods are held, sent and computed together; there may be any number of such groups.
+GROUP = 64
 #: Hash buckets of three-byte sequences.
 BUCKETS = 1 << 14
 #: Neighbouring sequences overlap, so each counts as a part of an observation; and no text counts as more than so many.
@@ -45,24 +45,25 @@ def sequences(text: str | None) -> Iterator[np.ndarray]:
             yield (((y[:-2] * np.uint32(0x9E3779B1)) ^ (y[1:-1] * np.uint32(0x85EBCA77)) ^ (y[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F)) >> np.uint32(18)
 
 
-def log_likelihood(text: str | None, model: np.ndarray) -> np.ndarray | None:
-    """Log likelihood of a text in each language and in none of them (last); null without a letter."""
-    total, n = np.zeros(model.shape[1]), 0
+def log_likelihood(text: str | None, model: list[np.ndarray]) -> np.ndarray | None:
+    """Log likelihood of a text in each language, group by group, and in none of them (last); null without a letter."""
+    total, n = [np.zeros(m.shape[1]) for m in model], 0
     for b in sequences(text):
-        total += model[b].sum(0, dtype=np.float64) if len(b) < BUCKETS else np.bincount(b, minlength=BUCKETS) @ model
+        counts = np.bincount(b, minlength=BUCKETS) if len(b) >= BUCKETS else None
+        for t, m in zip(total, model):
+            t += m[b].sum(0, dtype=np.float64) if counts is None else counts @ m
         n += len(b)
-    return total * min(WEIGHT, MOST_EVIDENCE / n) if n else None
+    return np.concatenate(total) * min(WEIGHT, MOST_EVIDENCE / n) if n else None
 
 
-def fit_text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The languages, and log probabilities of every bucket in each and in none, from (id, text, declared)."""
-    spark = docs.sparkSession
-    counted = docs.where("declared IS NOT NULL").groupBy("declared").count().where(F.col("count") >= LEAST_ROWS).orderBy(F.desc("count"), "declared").limit(LANGUAGES)
-    languages = sorted(r[0] for r in counted.collect())
-    if not languages:
-        return [], np.zeros((BUCKETS, 1), np.float32)
+def fit_text_model(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """The languages, and in groups of them log probabilities of every bucket in each and in none, from (id, text, declared).
+
+    Every language that is declared for a text with letters is fitted; the fewer sequences it has, the nearer it is to the shared counts.
+    """
+    declared_rows = docs.where("declared IS NOT NULL")
     order = Window.partitionBy("declared").orderBy("h", "id")
-    ids = docs.where(F.col("declared").isin(languages)).select("id", "declared", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIT_ROWS)
+    ids = declared_rows.select("id", "declared", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIT_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -75,13 +76,22 @@ def fit_text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([declared] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["declared", "bucket", "n"])
 
-    chosen = docs.join(F.broadcast(ids.select("id", "declared").distinct()), ["id", "declared"]).select("declared", "text")
-    found = chosen.mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((BUCKETS, len(languages)))
-    counts[found.bucket.to_numpy(int), [languages.index(x) for x in found.declared]] = found.n
-    share = (counts / np.maximum(counts.sum(0), 1)).mean(1) * 0.9 + 0.1 / BUCKETS
-    model = np.log((counts + ALPHA * share[:, None]) / (counts.sum(0) + ALPHA))
-    return languages, np.column_stack([model, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
+    ids = small(written(ids.select("id", "declared").distinct(), "fit"))
+    found = written(declared_rows.join(ids, ["id", "declared"]).select("declared", "text").mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "sequences")
+    languages = sorted(r[0] for r in found.select("declared").distinct().collect())
+    if not languages:
+        return [], [np.zeros((BUCKETS, 1), np.float32)]
+    counts = np.zeros((BUCKETS, len(languages)), np.float32)
+    at = {x: i for i, x in enumerate(languages)}
+    for g in range(0, len(languages), GROUP):
+        part = found.where(F.col("declared").isin(languages[g : g + GROUP])).toPandas()
+        counts[part.bucket.to_numpy(int), part.declared.map(at).to_numpy(int)] = part.n
+    size = counts.sum(0, dtype=np.float64)
+    sure = size / (size + ALPHA)  # a language says as much about the shared counts as about itself
+    share = sum(counts[:, i] / size[i] * sure[i] for i in range(len(languages))) / sure.sum() * 0.9 + 0.1 / BUCKETS
+    model = [np.log((counts[:, g : g + GROUP] + ALPHA * share[:, None]) / (size[g : g + GROUP] + ALPHA)).astype(np.float32) for g in range(0, len(languages), GROUP)]
+    model[-1] = np.column_stack([model[-1], np.full(BUCKETS, -np.log(BUCKETS), np.float32)])
+    return languages, model
 
 
 def primary(tag: Column) -> Column:
@@ -112,11 +122,12 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     text = lambda c: none if c is None else c.cast("string")
     base = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("text"), primary(text(declared)).alias("declared"), text(host).alias("host"), text(domain).alias("domain"), text(suffix).alias("suffix"))
     languages, model = fit_text_model(base.select("id", "text", "declared"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    groups = [docs.sparkSession.sparkContext.broadcast(m) for m in model]
 
     def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = [g.value for g in groups]
         for b in sub_batches(batches, "text"):
-            best = [None if (x := log_likelihood(t, shared.value)) is None else int(np.argmax(x)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            best = [None if (x := log_likelihood(t, model)) is None else int(np.argmax(x)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(best, pa.int32())], ["declared", "host", "domain", "suffix", "best"])
 
     met = base.select("declared", "host", "domain", "suffix", "text").mapInArrow(likeliest, "declared string, host string, domain string, suffix string, best int")
@@ -124,29 +135,32 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     k = len(languages)
 
     def by(*keys: str) -> DataFrame:
-        sums = [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(k)]
-        return met.groupBy(*keys).agg(F.array(*sums).alias("n")) if k else met.groupBy(*keys).agg(F.array().cast("array<double>").alias("n"))
+        if k <= GROUP:
+            sums = [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double") for i in range(k)]
+            return met.groupBy(*keys).agg(F.array(*sums).alias("n")) if k else met.groupBy(*keys).agg(F.array().cast("array<double>").alias("n"))
+        each = met.groupBy(*keys, "best").agg(F.sum("n").cast("double").alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("m"))
+        return each.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("n"))
 
+    few = lambda df: small(df, BROADCAST_ROWS * GROUP // max(k, GROUP))  # noqa: E731  rows have an array of k
     whole = np.array((by().first() or [None])[0] or [0.0] * k, float)
     spread = (whole + 1) / (whole.sum() + k) if k else whole
     arr = lambda x: F.array(*(F.lit(float(v)) for v in x)) if k else F.array().cast("array<double>")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
     mixed = lambda own, wider, strength: F.zip_with(own, wider, lambda a, b: (a + b * strength) / (total(own) + strength))
     domains = by("domain").where("domain IS NOT NULL").select("domain", mixed(F.col("n"), arr(spread), DOMAIN_STRENGTH).alias("domain_prior"))
-    hosts = by("host", "domain").where("host IS NOT NULL").join(small(domains), "domain", "left")
-    hosts = hosts.groupBy("host").agg(F.first("domain_prior", True).alias("wider"), *(F.sum(F.element_at("n", i + 1)).alias(f"n{i}") for i in range(k)))
-    hosts = hosts.select("host", mixed(F.array(*(f"n{i}" for i in range(k))) if k else arr([]), F.coalesce("wider", arr(spread)), HOST_STRENGTH).alias("host_prior"))
+    wider = met.where("host IS NOT NULL").select("host", "domain").distinct().join(few(domains), "domain").groupBy("host").agg(F.min_by("domain_prior", "domain").alias("wider"))
+    hosts = by("host").where("host IS NOT NULL").join(wider, "host", "left").select("host", mixed(F.col("n"), F.coalesce("wider", arr(spread)), HOST_STRENGTH).alias("host_prior"))
     # probability of a signal in each language: its share of the language's texts, next to its share of all
     signal = lambda c: by(c).where(f"{c} IS NOT NULL").select(c, F.zip_with(F.zip_with(F.col("n"), arr(whole), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), arr(spread), lambda x, _: (x.a + SIGNAL_STRENGTH * (total(F.col("n")) + 1) / F.lit(float(whole.sum() + 1))) / (x.b + SIGNAL_STRENGTH)).alias(f"{c}_says"))
-    rows = base.join(small(hosts), "host", "left").join(small(domains), "domain", "left").join(small(signal("declared")), "declared", "left").join(small(signal("suffix")), "suffix", "left")
+    rows = base.join(few(hosts), "host", "left").join(few(domains), "domain", "left").join(few(signal("declared")), "declared", "left").join(few(signal("suffix")), "suffix", "left")
     prior = F.coalesce("host_prior", "domain_prior", arr(spread))
     names = [*languages, UNKNOWN]
 
     @F.pandas_udf("lang_id string, probability double, text_lang string")
     def decide(texts: pd.Series, priors: pd.Series, declared_says: pd.Series, suffix_says: pd.Series) -> pd.DataFrame:
-        out = []
+        out, model = [], [g.value for g in groups]
         for t, p, *says in zip(texts, priors, declared_says, suffix_says):
-            like = log_likelihood(t, shared.value) if k else None
+            like = log_likelihood(t, model) if k else None
             if like is None:
                 out.append((UNKNOWN, 1.0, UNKNOWN))
                 continue

@@ -149,3 +149,16 @@ def test_registered_queries_are_whole():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries()) and language.UNKNOWN == "und"
+
+
+def test_every_declared_language_is_fitted(spark):
+    rnd = random.Random(4)
+    names = [a + b for a in "abcdefghij" for b in "klmnopq"] + ["zz"]
+    own = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(8)] for x in names}
+    text = lambda x: " ".join("".join(rnd.choice(own[x]) for _ in range(2)) for _ in range(60))
+    rows = [(x, text(x), "h" + x[0]) for x in names for _ in range(1 if x == "zz" else 3)]
+    rows += [(x, text(x), None) for x in names[:1] for _ in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string, source string")
+    got = {r.doc_id: r for r in identify(df, declared=F.col("lang"), host=F.col("source"), domain=F.col("source")).collect()}
+    assert len(names) > language.GROUP and len(got) == len(rows)
+    assert all(got[i].lang_id == x and got[i].accepted for i, (x, _, _) in enumerate(rows))
