@@ -27,17 +27,17 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates (five words, similarity 0.8) the document with the smallest id.
+    """Keeps of each group of near duplicates (five words, similarity 0.8) the row with the smallest id.
 
-    Rows of one id are copies as well and one of them stays; rows without id stay.
+    Rows are told apart by a key of their own, so different texts of one id stay, and rows without id are compared as
+    well; they come last in their group.
     """
-    groups = written(near_groups(docs, size=5, percent=80).select("doc_id", "component_id"), "groups")
-    ids = groups.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("first"))
-    kept = docs.join(ids.where("doc_id IS NOT NULL AND first <> doc_id").select("doc_id"), "doc_id", "left_anti")
-    if ids.where("doc_id IS NOT NULL AND rows > 1").isEmpty():
-        return kept.select(docs.columns)
-    without = kept.where("doc_id IS NULL")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(without).select(docs.columns)
+    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    groups = near_groups(keyed, size=5, percent=80, id_col="_key").select("_key", "component_id")
+    named = written(groups.join(keyed.select("_key", "doc_id"), "_key"), "groups")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    others = named.join(first.select("first._key"), "_key", "left_anti").select("_key")
+    return keyed.join(others, "_key", "left_anti").select(docs.columns)
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,13 @@ def test_every_declared_language_is_fitted(spark):
     got = {r.doc_id: r for r in identify(df, declared=F.col("lang"), host=F.col("source"), domain=F.col("source")).collect()}
     assert len(names) > language.GROUP and len(got) == len(rows)
     assert all(got[i].lang_id == x and got[i].accepted for i, (x, _, _) in enumerate(rows))
+
+
+def test_one_row_of_each_group_stays(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(6)
+    a, b, c, d, e = (prose(rnd, "en", 60) for _ in range(5))
+    rows = [(1, a), (1, b), (5, a), (5, c), (None, d), (None, d), (None, c), (9, e), (9, e), (7, e)]
+    got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a), (1, b), (5, c), (None, d), (7, e)], key=str)
