@@ -26,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder for intermediate tables, below the folder that all executors share."""
+    """A new folder for intermediate tables, below the folder that all executors share.
+
+    That is ``spark.checkpoint.dir``.  Where it is unset, a local master gets a temporary folder, and a cluster an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="casewright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/casewright-{uuid.uuid4().hex}"
@@ -42,6 +47,15 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing will read again: what came from them has been written."""
+    for df in tables:
+        files, jvm = df.inputFiles(), df.sparkSession.sparkContext._jvm
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def short_batches(df: DataFrame) -> None:
     """Let Arrow batches of the session have BATCH_ROWS rows at most, for rows hold whole texts."""
     conf = df.sparkSession.conf

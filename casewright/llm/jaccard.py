@@ -7,17 +7,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewright.llm.common import WordHashes, ascii_words, mix, set_key, shingle_hashes, short_batches, small, sub_batches, written
+from casewright.llm.common import WordHashes, ascii_words, mix, remove, set_key, shingle_hashes, short_batches, small, sub_batches, written
 
 #: Buckets, as a power of two, of the word counts by which shingles are ordered.
 WORD_BITS = 18
 #: Set elements of a block that one task joins at once; larger blocks are split.
 BLOCK_ELEMENTS = 2_000_000
-#: Sets of one label that are compared by sketch; those of more common labels are taken as they are.
-LABEL_ROWS = 20_000
+#: Sets of one label and size band that are compared by sketch, in parts of PART_ROWS; those of more common labels are taken as they are.
+LABEL_ROWS, PART_ROWS = 20_000, 512
+#: Words of sketches that are compared at once.
+COMPARED_WORDS = 1 << 20
+#: Sets that a task remembers so as not to send the elements of a copy again.
+SEEN_SETS = 1 << 20
 #: The largest weight of a word: twice the logarithm of 2**40.
 MOST_WEIGHT = 80
 #: Ids that are broadcast to pick out texts; with more of them all texts are shuffled once.
@@ -81,33 +85,34 @@ def sketch(keys: np.ndarray) -> bytes:
     return np.packbits((np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
 
-def folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches as rows of words, folded to the size of the smallest; the parts of a folded one add up modulo 2."""
-    size = min(map(len, sketches))
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, size // 8), axis=0) for s in sketches])
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one length as rows of words, folded to ``size`` bytes; the parts of a folded one add up modulo 2."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1, size // 8), axis=1)
 
 
 def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
     """Whether each set could be linked with another of these, judged by sizes and sketches; never false for one that is.
 
-    The sets are in order of size.  Those up to the largest that a set can be linked with are compared with it, in
-    sketches of the size of the smallest among them.
+    Sketches of one length are compared with those of the same and of each greater length at once, in stretches of rows.
     """
-    keep = np.zeros(len(sizes), bool)
-    last = np.searchsorted(sizes, sizes * 100 // percent, "right")
-    for i in range(len(sizes)):
-        end = int(last[i])
-        rest = np.arange(i + 1, end)
-        if keep[i]:
-            rest = rest[~keep[i + 1 : end]]  # it needs no partner, the others may
-        if not len(rest):
-            continue
-        x = folded([sketches[i], *(sketches[j] for j in rest)])
-        both = sizes[rest] + sizes[i]
-        near = np.bitwise_count(x[1:] ^ x[0]).sum(1, dtype=np.int64) <= both - 2 * -(-percent * both // (100 + percent))
-        if near.any():
-            keep[i] = True
-            keep[rest[near]] = True
+    keep, length = np.zeros(len(sizes), bool), np.array([len(s) for s in sketches])
+    kinds = {int(n): np.flatnonzero(length == n) for n in np.unique(length)}
+    for n, a in kinds.items():
+        mine = folded([sketches[i] for i in a], n)
+        for m, b in kinds.items():
+            if m < n:
+                continue
+            others = mine if m == n else folded([sketches[i] for i in b], n)
+            step = max(1, COMPARED_WORDS // (len(b) * n // 8))
+            for at in range(0, len(a), step):
+                x, y = sizes[a[at : at + step], None], sizes[None, b]
+                near = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (a[at : at + step, None] != b[None])
+                if not near.any():
+                    continue
+                apart = np.bitwise_count(mine[at : at + step, None] ^ others[None]).sum(2, dtype=np.int64)
+                near &= apart <= x + y - 2 * -(-percent * (x + y) // (100 + percent))
+                keep[a[at : at + step]] |= near.any(1)
+                keep[b] |= near.any(0)
     return keep
 
 
@@ -221,8 +226,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], together: list[int], per
 
 
 def linked_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that span each block of ``rows`` (block, id, keys, linked)."""
-    kinds = "a long, b long"
+    """(a, b): links that span each block of ``rows`` (block columns, no, keys, linked)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets, together = None, [], [], []
@@ -239,6 +243,8 @@ def linked_pairs(rows: DataFrame, percent: int) -> DataFrame:
                     if ids:
                         yield out()
                     now, ids, sets, together = block, [], [], []
+                if ids and ids[-1] == i:  # repeated rows of one id
+                    continue
                 if linked:
                     together.append(len(ids))
                 ids.append(i)
@@ -246,13 +252,15 @@ def linked_pairs(rows: DataFrame, percent: int) -> DataFrame:
         if ids:
             yield out()
 
-    return rows.select(F.xxhash64(*[c for c in rows.columns if c not in ("id", "keys", "linked")]).alias("block"), "id", "keys", "linked").repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, kinds)
+    block = F.xxhash64(*[c for c in rows.columns if c not in ("no", "keys", "linked")])
+    return rows.select(block.alias("block"), "no", "keys", "linked").repartition("block").sortWithinPartitions("block", "no").mapInArrow(run, "a long, b long")
 
 
-def possible(labels: DataFrame, percent: int) -> DataFrame:
-    """(hi, label, id, n) of the sets in (hi, label, id, n, sketch) that could be linked with another of their label.
+def possible(labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """(label, hi) of the sets in (label, hi, n) that could be linked with another of their label; see :func:`may_link`.
 
-    See :func:`may_link`.  The set that names a label stays with it if any other does.
+    Sets that are linked are of one or of neighbouring size bands.  Each set goes to its band and the next; where a label
+    has many sets in a band, they are dealt in parts, and every two parts meet in a block.  ``sketches``: hi, sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,28 +268,33 @@ def possible(labels: DataFrame, percent: int) -> DataFrame:
 
         def out():
             keep = may_link(np.array([h[2] for h in held]), [h[3] for h in held], percent)
-            kept = [(h[0], now, *h[1:3]) for h, k in zip(held, keep) if k or keep.any() and h[0] == now]
-            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in kept], pa.int64()) for i in range(4)], ["hi", "label", "id", "n"])
+            kept = [h for h, k in zip(held, keep) if k]
+            return pa.RecordBatch.from_arrays([pa.array([h[i] for h in kept], pa.int64()) for i in range(2)], ["label", "hi"])
 
         for b in batches:
-            for label, *row in zip(*(c.to_pylist() for c in b.columns)):
-                if label != now:
+            for block, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if block != now:
                     if len(held) > 1:
                         yield out()
-                    now, held = label, []
+                    now, held = block, []
                 held.append(row)
         if len(held) > 1:
             yield out()
 
-    counts = labels.groupBy("label").count()
-    crowded = small(counts.where(F.col("count") > LABEL_ROWS).select("label"))
-    usual = labels.join(crowded, "label", "left_anti").select("label", "hi", "id", "n", "sketch")
-    found = usual.repartition("label").sortWithinPartitions("label", "n").mapInArrow(run, "hi long, label long, id long, n long")
-    return found.unionByName(labels.join(crowded, "label", "left_semi").select("hi", "label", "id", "n"))
+    width = max(math.log(100 / percent), 0.05) * (1 + 1e-6)  # a little more than the bound, for logarithms are rounded
+    band = F.floor(F.log("n") / width).cast("int")
+    banded = labels.select("label", "hi", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    counts = banded.groupBy("label", "band").agg(F.count("*").alias("k")).where("k > 1")
+    banded = banded.join(counts, ["label", "band"])
+    parts = F.ceil(F.col("k") / PART_ROWS).cast("int")
+    usual = banded.where(F.col("k") <= LABEL_ROWS).withColumn("own", F.pmod(F.xxhash64("hi"), parts).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), parts - 1)))
+    usual = usual.select(F.xxhash64("label", "band", F.least("own", "met"), F.greatest("own", "met")).alias("block"), "label", "hi", "n").join(sketches, "hi")
+    found = usual.select("block", "label", "hi", "n", "sketch").repartition("block").sortWithinPartitions("block").mapInArrow(run, "label long, hi long")
+    return found.unionByName(banded.where(F.col("k") > LABEL_ROWS).select("label", "hi")).distinct()
 
 
 def hub_links(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (label, id, keys, hub_id, hub_keys) with ``linked``: whether the member is similar to its block's hub."""
+    """``rows`` (label, no, keys, hub_no, hub_keys) with ``linked``: whether the member is similar to its block's hub."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,9 +303,9 @@ def hub_links(rows: DataFrame, percent: int) -> DataFrame:
             for k in range(b.num_rows):
                 x, y = (c.values.to_numpy(zero_copy_only=False)[c.offsets[k].as_py() : c.offsets[k + 1].as_py()] for c in (mine, hub))
                 out.append(len(np.intersect1d(x, y, assume_unique=True)) >= needed(percent, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.bool_())], ["label", "id", "keys", "hub_id", "linked"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(out, pa.bool_())], ["label", "no", "keys", "hub_no", "linked"])
 
-    return rows.select("label", "id", "keys", "hub_id", "hub_keys").mapInArrow(run, "label long, id long, keys array<long>, hub_id long, linked boolean")
+    return rows.select("label", "no", "keys", "hub_no", "hub_keys").mapInArrow(run, "label long, no long, keys array<long>, hub_no long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,7 +324,8 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large, "links")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small_ = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        links = written(small_, "links")
+        last, links = links, written(small_, "links")
+        remove(last, large)
         after = mark(links)
         if after == before:
             break
@@ -324,86 +338,113 @@ def near_groups(docs: DataFrame, *, size: int = 5, percent: int = 80, id_col: st
 
     Words are lower-cased A-Z and parted by ASCII white space; a text's set is its distinct shingles of ``size`` words, or
     the whole sequence if that is shorter.  Texts link if 100 * intersection >= percent * union; component_id is the
-    smallest id that links reach.  Null, empty and wordless texts have no shingles and no links: their own id.  Equal
-    sets are one set with many rows; repeated rows stay.  A row without id gets its set's component, or null.
+    smallest id that links reach; ids are of any type that has an order.  Null, empty and wordless texts have no shingles
+    and no links: their own id.  Equal sets are one set with many rows; repeated rows stay.  A row without id gets its
+    set's component, or null.
 
     1. Words are counted in hash buckets over all texts; the counts order shingles, see :func:`word_weights`.
-    2. Each text gives the key and the prefix of its set.  Equal sets are grouped first, so copies cost nothing more.
-    3. Sets that share a prefix element share a label: the smallest set key there.  An element in one set makes none.
-       Sizes and sketches show which of a label's sets could be linked at all.
-    4. Only those are built again, from their texts; each goes once to the block of each of its labels.
+    2. Each text gives the key, the size and a sketch of its set, which are written.  Equal sets are one from here on.
+    3. Each text gives the prefix of its set, once a task if the set comes again.  Sets that share a prefix element share
+       a label: the smallest set key there.  An element in one set makes none.  This is the one shuffle of elements.
+       Sizes and sketches show which of a label's sets could be linked at all, see :func:`possible`.
+    4. Only those are built, from their texts; each goes once to the block of each of its labels.
        Blocks that are too large are first compared with one of their sets; what is linked with it needs no comparison
        with the like, so the rest meets all others in bounded parts.
     5. Blocks are joined by tries; links become components.
     """
     short_batches(docs)
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     weights = spark.sparkContext.broadcast(word_weights(rows))
 
+    def ordered_sets(b: pa.RecordBatch, hashes: WordHashes) -> list[np.ndarray]:
+        return [ordered_set(hashes.of(ascii_words(t)), size, weights.value) for t in b.column(1).to_pylist()]
+
+    def lists(of: list[np.ndarray]) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in of])])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(of).view(np.int64), pa.int64()))
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, w = WordHashes(), weights.value
+        hashes = WordHashes()
         for b in sub_batches(batches, "text"):
-            sizes, keys, prefixes, sketches = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = ordered_set(hashes.of(ascii_words(t)), size, w)
-                sizes.append(len(s))
-                keys.append(set_key(s) if len(s) else (None, None))
-                prefixes.append(s[: prefix_length(percent, len(s))].view(np.int64))
-                sketches.append(sketch(s) if len(s) else None)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64())), pa.array(sketches, pa.binary())],
-                ["id", "n", "hi", "lo", "prefix", "sketch"],
-            )
-
-    about = written(rows.mapInArrow(describe, "id long, n long, hi long, lo long, prefix array<long>, sketch binary"), "about")
-    sets = about.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min(F.struct("id", "n", "prefix", "sketch")).alias("s")).select("hi", "lo", "s.*")
-    sets = written(sets, "sets")
-
-    elements = sets.select("hi", F.explode("prefix").alias("element"))
-    ends = elements.groupBy("element").agg(F.min("hi").alias("label"), F.max("hi").alias("other"))
-    labels = elements.join(ends.where("label <> other").select("element", "label"), "element").select("hi", "label").distinct()
-    labels = written(labels.join(sets.select("hi", "id", "n", "sketch"), "hi"), "labels")
-    wanted = written(possible(labels, percent), "wanted")
-    load = wanted.groupBy("label").agg(F.sum("n").alias("elements")).where(F.col("elements") > BLOCK_ELEMENTS).select("label")
+            sets = ordered_sets(b, hashes)
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
+            cols = [pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n", "hi", "lo", "sketch"])
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), set()
+        for b in sub_batches(batches, "text"):
+            his, elements = [], []
+            for s in ordered_sets(b, hashes):
+                if not len(s) or (hi := set_key(s)[0]) in seen:
+                    continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(hi)
+                elements.append(s[: prefix_length(percent, len(s))])
+                his.append(np.full(len(elements[-1]), hi, np.int64))
+            if his:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(his)), pa.array(np.concatenate(elements).view(np.int64))], ["hi", "element"])
+
+    about = written(rows.mapInArrow(describe, f"id {kind}, n long, hi long, lo long, sketch binary"), "about")
+    sets = about.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = written(sets.withColumn("no", F.monotonically_increasing_id()), "sets")
+
+    at = Window.partitionBy("element")
+    stars = rows.where("id IS NOT NULL").mapInArrow(prefixes, "hi long, element long").select("hi", F.min("hi").over(at).alias("label"), F.max("hi").over(at).alias("other"))
+    labels = written(stars.where("label <> other").select("hi", "label").distinct().join(sets.select("hi", "n"), "hi"), "labels")
+    wanted = written(possible(labels, sets.select("hi", "sketch"), percent).join(sets.select("hi", "no", "id", "n"), "hi"), "wanted")
+    remove(labels)
+    load = written(wanted.groupBy("label").agg(F.sum("n").alias("elements"), F.min("no").alias("hub_no")).where(F.col("elements") > BLOCK_ELEMENTS).select("label", "hub_no"), "load")
+    large = small(load)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, w = WordHashes(), weights.value
+        hashes, seen = WordHashes(), set()
         for b in sub_batches(batches, "text"):
-            found = [ordered_set(hashes.of(ascii_words(t)), size, w).view(np.int64) for t in b.column(1).to_pylist()]
-            same = [set_key(s)[0] == hi for s, hi in zip(found, b.column(3).to_pylist())]  # an id may have other texts beside
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in found])])
-            keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(found), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), keys], ["id", "labels", "keys"]).filter(pa.array(same, pa.bool_()))
+            found, fresh = ordered_sets(b, hashes), []
+            for s, hi, no in zip(found, b.column(2).to_pylist(), b.column(3).to_pylist()):
+                fresh.append(len(s) > 0 and set_key(s)[0] == hi and no not in seen)  # an id may have other texts beside
+                if fresh[-1]:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
+                    seen.add(no)
+            yield pa.RecordBatch.from_arrays([b.column(3), b.column(4), lists(found)], ["no", "labels", "keys"]).filter(pa.array(fresh, pa.bool_()))
 
     def members(of: DataFrame) -> DataFrame:
-        """(id, keys, label, is_hub): the sets of (id, hi, label), built from their texts once and given to each label."""
-        listed = of.groupBy("id", "hi").agg(F.collect_list(F.struct("label", (F.col("hi") == F.col("label")).alias("is_hub"))).alias("labels"))
+        """(no, keys, label): the sets of (label, hi, no, id), built from their texts once and given to each label."""
+        listed = of.groupBy("id", "hi", "no").agg(F.collect_list("label").alias("labels"))
         chosen = rows.join(small(of.select("id").distinct(), BROADCAST_IDS), "id", "left_semi")  # so that other texts are not shuffled
-        built = chosen.join(listed, "id").select("id", "text", "labels", "hi").mapInArrow(build, "id long, labels array<struct<label:long,is_hub:boolean>>, keys array<long>")
-        return built.select("id", "keys", F.explode("labels").alias("l")).select("id", "keys", "l.label", "l.is_hub")
+        built = chosen.join(listed, "id").select("id", "text", "hi", "no", "labels").mapInArrow(build, "no long, labels array<long>, keys array<long>")
+        return built.select("no", "keys", F.explode("labels").alias("label"))
 
-    large = small(load)
-    usual = members(wanted.join(large, "label", "left_anti"))
-    links = linked_pairs(usual.select("label", "id", "keys", F.lit(False).alias("linked")), percent)
+    links = linked_pairs(members(wanted.join(large, "label", "left_anti")).select("label", "no", "keys", F.lit(False).alias("linked")), percent)
+    scratch = [wanted, load]
     if not load.isEmpty():
-        held = written(members(wanted.join(large, "label", "left_semi")), "members")
-        hubs = held.where("is_hub").groupBy("label").agg(F.min(F.struct("id", "keys")).alias("h")).select("label", F.col("h.id").alias("hub_id"), F.col("h.keys").alias("hub_keys"))
-        near = written(hub_links(held.join(hubs, "label").where("id <> hub_id"), percent).unionByName(hubs.select("label", F.col("hub_id").alias("id"), F.col("hub_keys").alias("keys"), "hub_id", F.lit(True).alias("linked"))), "near")
+        held = written(members(wanted.join(large, "label", "left_semi")).dropDuplicates(["label", "no"]).join(large, "label"), "members")
+        hubs = held.where("no = hub_no").select("label", F.col("keys").alias("hub_keys"))
+        near = hub_links(held.where("no <> hub_no").join(hubs, "label"), percent).unionByName(held.where("no = hub_no").select("label", "no", "keys", "hub_no", F.lit(True).alias("linked")))
+        near = written(near, "near")
+        remove(held)
         parts = lambda c: F.ceil(F.coalesce(F.sum(F.when(c, F.size("keys"))), F.lit(0)) / BLOCK_ELEMENTS * 2).cast("int")
         split = near.groupBy("label").agg(parts(F.col("linked")).alias("n1"), parts(~F.col("linked")).alias("n0")).where("n0 > 0")
-        dealt = near.join(split, "label").withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("linked"), F.col("n1")).otherwise(F.col("n0"))).cast("int"))
+        dealt = near.join(split, "label").withColumn("own", F.pmod(F.xxhash64("no"), F.when(F.col("linked"), F.col("n1")).otherwise(F.col("n0"))).cast("int"))
         every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        same = dealt.where("linked").select("label", F.col("own").alias("p1"), every(F.col("n0")).alias("p0"), "id", "keys", "linked")
-        rest = dealt.where("NOT linked").select("label", every(F.greatest("n1", F.lit(1))).alias("p1"), F.col("own").alias("p0"), "id", "keys", "linked")
-        between = dealt.where("NOT linked AND n0 > 1").select("label", "own", every(F.col("n0")).alias("q"), "id", "keys", "linked").where("q <> own")
-        between = between.select("label", (-1 - F.least("own", "q")).alias("p1"), F.greatest("own", "q").alias("p0"), "id", "keys", "linked")
-        links = links.unionByName(near.where("linked AND id <> hub_id").select(F.col("id").alias("a"), F.col("hub_id").alias("b"))).unionByName(linked_pairs(same.unionByName(rest).unionByName(between), percent))
+        same = dealt.where("linked").select("label", F.col("own").alias("p1"), every(F.col("n0")).alias("p0"), "no", "keys", "linked")
+        rest = dealt.where("NOT linked").select("label", every(F.greatest("n1", F.lit(1))).alias("p1"), F.col("own").alias("p0"), "no", "keys", "linked")
+        between = dealt.where("NOT linked AND n0 > 1").select("label", "own", every(F.col("n0")).alias("q"), "no", "keys", "linked").where("q <> own")
+        between = between.select("label", (-1 - F.least("own", "q")).alias("p1"), F.greatest("own", "q").alias("p0"), "no", "keys", "linked")
+        links = links.unionByName(near.where("linked AND no <> hub_no").select(F.col("no").alias("a"), F.col("hub_no").alias("b"))).unionByName(linked_pairs(same.unionByName(rest).unionByName(between), percent))
+        scratch.append(near)
 
     reached = components(links)
-    found = sets.select("hi", "lo", "id").join(reached, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
+    reached = reached.unionByName(reached.select(F.col("component").alias("id"), "component").distinct())
+    reached = written(reached.join(sets.select(F.col("no").alias("id"), F.col("id").alias("own")), "id"), "reached")
+    remove(*scratch)
+    first = reached.groupBy("component").agg(F.min("own").alias("first"))
+    named = reached.join(first, "component").select(F.col("id").alias("no"), "first")
+    found = sets.select("hi", "lo", "no", "id").join(named, "no", "left").select("hi", "lo", F.coalesce("first", "id").alias("component"))
     full = about.where("n > 0").select("id", "n", "hi", "lo").join(found, ["hi", "lo"], "left").select("id", "n", "component")
     out = full.unionByName(about.where("n = 0").select("id", "n", F.col("id").alias("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm.common import table, written
+from casewright.llm.common import small, table, written
 from casewright.llm.decontaminate import without_leaks
 from casewright.llm.jaccard import near_groups
 from casewright.llm.language import identify
@@ -29,15 +29,19 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (five words, similarity 0.8) the row with the smallest id.
 
-    Rows are told apart by a key of their own, so different texts of one id stay, and rows without id are compared as
-    well; they come last in their group.
+    Rows are told apart by id and text (128 bits of it), so different texts of one id stay, and rows without id are
+    compared as well; they come last in their group.  Of rows with the same id and text one stays, the same in reruns.
     """
-    keyed = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    groups = near_groups(keyed, size=5, percent=80, id_col="_key").select("_key", "component_id")
-    named = written(groups.join(keyed.select("_key", "doc_id"), "_key"), "groups")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
-    others = named.join(first.select("first._key"), "_key", "left_anti").select("_key")
-    return keyed.join(others, "_key", "left_anti").select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    groups = written(near_groups(docs.select(key.alias("key"), "text"), size=5, percent=80, id_col="key"), "groups")
+    others = small(written(groups.where("key <> component_id").select("key").distinct(), "others"))
+    again = written(groups.where("n_shingles > 0 AND key = component_id").groupBy("key").count().where("count > 1").select("key"), "again")
+    kept = docs.select(F.struct("*").alias("row"), key.alias("key")).join(others, "key", "left_anti")
+    if not again.isEmpty():
+        again = small(again)
+        once = kept.join(again, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(again, "key", "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select("row.*")
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
