@@ -9,8 +9,11 @@ from casewright.functions import text as X
 
 
 def to_lines(docs: DataFrame, text_col: str = "doc_text") -> DataFrame:
-    """doc_id, pos (from 0) and line of every line of ``docs``, dealt by document once for all windows that follow."""
-    return docs.select("doc_id", F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).repartition("doc_id")
+    """doc_id, pos (from 0) and line of every line of ``docs``, dealt by document once for all windows that follow.
+
+    A null text is an empty one: one empty line.
+    """
+    return docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line")).repartition("doc_id")
 
 
 def joined(line: Column, pos: Column | str = "pos", by: str = "\n") -> Column:

@@ -34,13 +34,14 @@ def merge_runs(rows: DataFrame, scope: list[str], order: list[str], text_fields:
     return got.select(*((F.col(f"_first.{c}").alias(c) if c in others else F.col(c)) for c in rows.columns), "run_rows")
 
 
-def flag_scattered(rows: DataFrame, scope: list[str]) -> DataFrame:
+def flag_scattered(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """Puts a note before the description of rows whose non-empty test_id is on several rows of the scope.
 
-    Rows with an empty id, which may be most of a scope, are counted apart from each other: no group of them is made.
+    Rows with an empty id, which may be most of a scope, are counted apart from each other by their place in ``order``:
+    no group of them is made.
     """
     empty = F.coalesce(F.col("test_id") == "", F.lit(True))
-    apart = F.when(empty, F.xxhash64(*(c for c in rows.columns if c not in scope)))
+    apart = F.when(empty, F.xxhash64(*order))
     counted = rows.withColumn("_apart", apart).withColumn("_n", F.count("*").over(Window.partitionBy(*scope, "test_id", "_apart")))
     note = F.concat(F.lit(NOTE), F.col("test_id"), F.lit("\n\n"), F.col("description"))
     return counted.withColumn("description", F.when((F.col("_n") > 1) & ~empty, note).otherwise(F.col("description"))).drop("_n", "_apart")

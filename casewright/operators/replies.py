@@ -36,11 +36,12 @@ def requests(chunks: DataFrame, model: str, hints: str = "", json_mode: bool = T
     return chunks.withColumns({"payload": F.to_json(F.struct(*parts)), "truncated": F.char_length("body") > most, "doc_char_count": F.char_length("body").cast("long")})
 
 
-def call(requested: DataFrame, caller: Callable[[list[str]], list[str]], tasks: int | None = None) -> DataFrame:
+def call(requested: DataFrame, caller: Callable[[list[str]], list[str | Exception]], tasks: int | None = None) -> DataFrame:
     """doc_id, section_no, content and error, from ``caller``, which maps payloads to replies, batch by batch.
 
-    Payloads are spread over ``tasks`` by their section, for calls differ in length.  A batch whose call raises is
-    called one by one, and each that fails has its error in place of content: nothing stops the job.
+    Payloads are spread over ``tasks`` by their section, for calls differ in length.  A caller may give an exception in
+    place of a reply.  A batch whose call raises is called one by one, for its replies are lost; each call that fails has
+    its error in place of content: nothing stops the job.
     """
     spread = ["doc_id", "section_no"]
     dealt = requested.repartition(tasks, *spread) if tasks else requested.repartition(*spread)
@@ -48,9 +49,11 @@ def call(requested: DataFrame, caller: Callable[[list[str]], list[str]], tasks:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
-                content, error = list(caller(b.payload.tolist())), [None] * len(b)
+                content = list(caller(b.payload.tolist()))
                 if len(content) != len(b):
                     raise ValueError("as many replies as requests are expected")
+                error = [str(c) if isinstance(c, Exception) else None for c in content]
+                content = [None if isinstance(c, Exception) else c for c in content]
             except Exception:
                 content, error = [], []
                 for p in b.payload:
@@ -84,10 +87,17 @@ def completion_content(reply: Column) -> Column:
     return F.coalesce(X.strip(F.get_json_object(reply, "$.choices[0].message.content")), F.lit(""))
 
 
+def completion_error(reply: Column) -> Column:
+    """The error of a reply in one piece that has no choices, or null."""
+    return F.when(F.get_json_object(reply, "$.choices[0]").isNull(), F.lit(NO_CHOICES))
+
+
 def _text(value: Any) -> str:
+    """A value of the JSON as text; halves of surrogate pairs, which no column can hold, become question marks."""
     if value is None:
         return ""
-    return json.dumps(value, ensure_ascii=False) if isinstance(value, (list, dict)) else str(value).strip()
+    text = json.dumps(value, ensure_ascii=False) if isinstance(value, (list, dict)) else str(value).strip()
+    return text.encode("utf-8", "replace").decode("utf-8")
 
 
 def _cases(content: str | None, unfenced: str | None) -> tuple[str | None, list[dict[str, str]]]:
@@ -97,6 +107,8 @@ def _cases(content: str | None, unfenced: str | None) -> tuple[str | None, list[
         parsed = json.loads(unfenced)
     except ValueError as e:
         return INVALID + str(e), []
+    except RecursionError:
+        return INVALID + "nested too deeply", []
     if not isinstance(parsed, dict):
         return NOT_OBJECT, []
     found = parsed.get("test_cases")
@@ -104,7 +116,10 @@ def _cases(content: str | None, unfenced: str | None) -> tuple[str | None, list[
         return NO_CASES, []
     if not isinstance(found, list):
         return NOT_ARRAY, []
-    return None, [{k: _text(x.get(k)) for k in CASE_FIELDS} for x in found if isinstance(x, dict)]
+    try:
+        return None, [{k: _text(x.get(k)) for k in CASE_FIELDS} for x in found if isinstance(x, dict)]
+    except RecursionError:
+        return INVALID + "nested too deeply", []
 
 
 @F.pandas_udf(T.StructType([T.StructField("error", T.StringType()), T.StructField("cases", T.ArrayType(CASE))]))

@@ -8,11 +8,25 @@ from pyspark.sql import functions as F
 from casewright.operators.lines import joined
 
 
-def file_results(inputs: DataFrame, rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+def section_details(prepared: DataFrame, planned: DataFrame, answered: DataFrame) -> DataFrame:
+    """doc_id, doc_chars, removed_headings, prep_fallback, section_calls, placeholders and truncated.
+
+    ``prepared``: see prep.prepared; ``planned``: doc_id and action of each section; ``answered``: doc_id and truncated
+    of each request with a good reply.  A document is truncated if one of its answered requests was.
+    """
+    plan = planned.groupBy("doc_id").agg(F.count_if(F.col("action") == "extract").alias("section_calls"), F.count_if(F.col("action") == "placeholder").alias("placeholders"))
+    cut = answered.groupBy("doc_id").agg(F.max("truncated").alias("truncated"))
+    out = prepared.select("doc_id", F.col("chars_after").alias("doc_chars"), F.col("removed_titles").alias("removed_headings"), F.col("fallback").alias("prep_fallback"))
+    out = out.join(plan, "doc_id", "left").join(cut, "doc_id", "left")
+    none = F.lit(0).cast("long")
+    return out.withColumns({"section_calls": F.coalesce("section_calls", none), "placeholders": F.coalesce("placeholders", none), "truncated": F.coalesce("truncated", F.lit(False))})
+
+
+def file_results(inputs: DataFrame, rows: DataFrame, errors: DataFrame | None = None, details: DataFrame | None = None) -> DataFrame:
     """inputs with n_rows, n_errors, ok, reason and detail; rows are counted before runs are merged.
 
     ``inputs``: doc_id, file_name, template and reject reason and detail (null if none); ``rows``: doc_id, once for
-    each row; ``errors``: doc_id, section_no, message.
+    each row; ``errors``: doc_id, section_no, message; ``details``: more columns by doc_id, see :func:`section_details`.
     """
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     out = inputs.join(counts, "doc_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
@@ -22,7 +36,8 @@ def file_results(inputs: DataFrame, rows: DataFrame, errors: DataFrame | None =
     else:
         out = out.withColumns({"n_errors": F.lit(0).cast("long"), "first_error": F.lit(None).cast("string")})
     out = out.withColumns({"reason": F.coalesce("reason", F.when((F.col("n_rows") == 0) & (F.col("n_errors") > 0), "llm_error")), "detail": F.coalesce("detail", "first_error")})
-    return out.drop("first_error").withColumn("ok", F.col("reason").isNull())
+    out = out.drop("first_error").withColumn("ok", F.col("reason").isNull())
+    return out if details is None else out.join(details, "doc_id", "left")
 
 
 def templates_used(results: DataFrame, scope: list[str]) -> DataFrame:
@@ -64,6 +79,9 @@ def batch_summary(results: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def failure_records(results: DataFrame) -> DataFrame:
-    """file, phase, reason, detail of the documents that failed: in extraction, for want of rows, or unexpectedly."""
-    phase = F.when(F.col("status") == "empty", "rows").when(F.col("reason") == "exception", "unexpected").otherwise("extract")
-    return results.where("status IN ('failed', 'empty')").select(F.col("file_name").alias("file"), phase.alias("phase"), "reason", "detail")
+    """file, phase, reason, detail of the documents that failed: in extraction, for want of rows, or unexpectedly.
+
+    A document that is skipped because its output's name is taken by another one of the run is recorded too.
+    """
+    phase = F.when(F.col("status") == "empty", "rows").when(F.col("status") == "skipped", "output").when(F.col("reason") == "exception", "unexpected").otherwise("extract")
+    return results.where("status IN ('failed', 'empty') OR status = 'skipped' AND reason = 'name_taken'").select(F.col("file_name").alias("file"), phase.alias("phase"), "reason", "detail")

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.operators import report, template
 from casewright.plans import jobs
-from casewright.sources import files, sinks, word
+from casewright.sources import files, pages, sinks, word
 
 MANIFEST = "out_name string, path string"
-TEXTS = "doc_id long, path string, file_name string, out_name string, reason string, detail string, doc_text string"
+#: Paths that are sent to all tasks.
+MOST_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,23 +36,44 @@ class Options:
     tasks: int | None = None
 
 
-def read_folder(spark: SparkSession, source: str, options: Options) -> DataFrame:
-    """path, out_name, reason, detail and doc_text of the files of a folder; a file's bytes go no further than its task."""
+def read_folder(spark: SparkSession, source: str, options: Options, only: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """path, out_name, reason, detail and doc_text of the files of a folder; a file's bytes go no further than its task.
+
+    With ``only`` (path), no other file is parsed; the list is sent to all tasks if it is counted to be short, otherwise
+    the files are dealt by path.  ``blocks``: positioned blocks of pdf files, see page_documents, with path for doc_id.
+    """
     found = files.admitted(files.discover(spark, source, options.recursive))
-    words = word.word_texts(word.word_blocks(found.where("kind = 'ok' AND suffix = '.docx'")))
+    if only is not None:
+        found = found.join(F.broadcast(only) if only.limit(MOST_SENT + 1).count() <= MOST_SENT else only, "path", "left_semi")
+    texts = word.word_texts(word.word_blocks(found.where("kind = 'ok' AND suffix = '.docx'")))
+    if blocks is not None:
+        read = pages.page_documents(blocks.withColumnRenamed("path", "doc_id")).withColumnRenamed("doc_id", "path")
+        given = blocks.select("path").distinct().join(read, "path", "left")
+        texts = texts.unionByName(given.select("path", F.coalesce("doc_text", F.lit("")).alias("doc_text"), F.lit(None).cast("string").alias("error")))
     about = found.drop("content").withColumn("out_name", files.output_name(F.col("path"), options.by_suffix))
-    rows = about.join(words, "path", "left")
-    unread = (F.col("kind") == "ok") & (F.col("suffix") == ".pdf")
+    rows = about.join(texts, "path", "left")
+    unread = (F.col("kind") == "ok") & (F.col("suffix") == ".pdf") & F.col("doc_text").isNull()
     reason = F.coalesce("reason", F.when(F.col("error").isNotNull(), "exception"), F.when(unread, "unsupported"), F.when(X.is_blank(F.coalesce("doc_text", F.lit(""))), "empty_text"))
     detail = F.coalesce("detail", "error", F.when(unread, "Give positioned blocks of this file to page_documents"), F.when(reason == "empty_text", "No text could be extracted"))
     return rows.select(F.xxhash64("path").alias("doc_id"), "path", "file_name", "out_name", reason.alias("reason"), detail.alias("detail"), "doc_text")
 
 
-def run_folder(spark: SparkSession, source: str, output: str, options: Options = Options()) -> DataFrame:
+def one_of_each_name(inputs: DataFrame) -> DataFrame:
+    """``inputs`` (path, out_name, reason, detail): of good documents of one out_name all but the first by path are "name_taken"."""
+    nth = F.row_number().over(Window.partitionBy("out_name").orderBy(F.col("reason").isNotNull(), "path"))
+    taken = F.col("reason").isNull() & (F.col("_nth") > 1)
+    first = F.concat(F.lit("Output "), "out_name", F.lit(" belongs to another document of this run"))
+    marked = inputs.withColumn("_nth", nth).withColumns({"detail": F.when(taken, first).otherwise(F.col("detail")), "_taken": taken})
+    return marked.withColumn("reason", F.when(F.col("_taken"), "name_taken").otherwise(F.col("reason"))).drop("_nth", "_taken")
+
+
+def run_folder(spark: SparkSession, source: str, output: str, options: Options = Options(), blocks: DataFrame | None = None) -> DataFrame:
     """Extract the documents of ``source`` that ``output`` does not have yet; returns the counts of the run.
 
-    Below ``output``: rows (one folder for each document), manifest (what is done), failures (JSON lines) and work
-    (texts and replies of this run, so that nothing is read or called twice).  Documents without rows are tried again.
+    Below ``output``: rows (one folder for each document), manifest (what is done), results and failures (JSON lines) and
+    work (texts and replies of this run, so that nothing is read or called twice).  Documents without rows are tried again.
+    Of documents whose outputs have one name the first by path that can be read is taken; the others are skipped with a
+    record: ``by_suffix`` tells a docx and a pdf apart.  ``blocks``: see :func:`read_folder`.
     """
     spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{output}/manifest")
     done = spark.read.schema(MANIFEST).parquet(f"{output}/manifest").select("out_name").distinct()
@@ -64,19 +86,24 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
 
     listed = files.discover(spark, source, options.recursive).select("path").withColumn("out_name", files.output_name(F.col("path"), options.by_suffix))
     todo = files.not_done(listed, done, options.force).select("path")
-    texts = keep(read_folder(spark, source, options).join(todo, "path", "left_semi"))
-    good = texts.where("reason IS NULL").select("doc_id", "file_name", "doc_text")
+    texts = keep(read_folder(spark, source, options, None if options.force else todo, blocks))
+    if options.caller is None:
+        named = template.with_template(texts.where("reason IS NULL").select("doc_id", "doc_text"), options.templates).select("doc_id", "template")
+        inputs = texts.drop("doc_text").join(named, "doc_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("template").isNull(), "no_template")))
+    else:
+        inputs = texts.drop("doc_text").withColumn("template", F.when(F.col("reason").isNull(), F.lit(f"LLM ({options.model})")))
+    inputs = keep(one_of_each_name(inputs))
+    good = texts.join(inputs.where("reason IS NULL").select("doc_id"), "doc_id", "left_semi").select("doc_id", "file_name", "doc_text")
     if options.caller is None:
         got = jobs.by_template(good, options.templates)
-        named = template.with_template(good, options.templates).select("doc_id", "template")
-        inputs = texts.join(named, "doc_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("template").isNull(), "no_template")))
     else:
         got = jobs.by_model(good, options.caller, options.model, options.level, options.patterns, options.hints, options.tasks, keep)
-        inputs = texts.withColumn("template", F.when(F.col("reason").isNull(), F.lit(f"LLM ({options.model})")))
-    cases = keep(got.cases.join(texts.select("doc_id", "out_name"), "doc_id"))
-    results = report.file_results(inputs.drop("doc_text"), got.raw.select("doc_id"), got.errors)
-    results = keep(report.with_status(results.withColumn("exists", F.lit(False)), options.skip_empty_rows))
+    cases = keep(got.cases.join(inputs.select("doc_id", "out_name"), "doc_id"))
+    results = report.file_results(inputs, got.raw.select("doc_id"), got.errors, got.details)
+    exists = F.coalesce(F.col("reason") == "name_taken", F.lit(False))
+    results = keep(report.with_status(results.withColumn("exists", exists), options.skip_empty_rows))
     sinks.write_outputs(cases, f"{output}/rows")
+    sinks.append_json(results.drop("exists"), f"{output}/results")
     sinks.append_json(report.failure_records(results), f"{output}/failures")
     results.where("status = 'written'").select("out_name", "path").write.mode("append").parquet(f"{output}/manifest")
     skipped = listed.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))

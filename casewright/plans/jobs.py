@@ -7,18 +7,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from casewright.operators import merge, prep, replies, sections, template
+from casewright.operators import merge, prep, replies, report, sections, template
 
 
 @dataclass(frozen=True)
 class Extraction:
-    """cases: merged and flagged; raw: as they were found; warnings; errors and plan where a model was asked."""
+    """cases: merged and flagged; raw: as they were found; warnings; errors, plan and details where a model was asked."""
 
     cases: DataFrame
     raw: DataFrame
     warnings: DataFrame
     errors: DataFrame | None = None
     sections: DataFrame | None = None
+    details: DataFrame | None = None
 
 
 ORDER = ["section_no", "case_no"]
@@ -26,7 +27,7 @@ ORDER = ["section_no", "case_no"]
 
 def _merged(raw: DataFrame, **more: DataFrame) -> Extraction:
     rows = merge.merge_runs(raw, ["doc_id"], ORDER)
-    return Extraction(merge.flag_scattered(rows, ["doc_id"]), raw, merge.scattered_warnings(rows, ["doc_id"], ORDER), **more)
+    return Extraction(merge.flag_scattered(rows, ["doc_id"], ORDER), raw, merge.scattered_warnings(rows, ["doc_id"], ORDER), **more)
 
 
 def by_template(docs: DataFrame, templates: list[template.Template] | None = None) -> Extraction:
@@ -51,4 +52,6 @@ def by_model(docs: DataFrame, caller: Callable[[list[str]], list[str]], model: s
     answered = keep(replies.call(asked, caller, tasks))
     parsed = replies.with_cases(answered).join(planned.select("doc_id", "section_no", "title", "file_name"), ["doc_id", "section_no"])
     raw = replies.case_rows(parsed).unionByName(sections.placeholder_cases(planned))
-    return _merged(raw, errors=replies.section_errors(parsed), sections=planned)
+    good = parsed.where("error IS NULL").select("doc_id", "section_no")
+    details = report.section_details(prep.prepared(docs), planned, asked.select("doc_id", "section_no", "truncated").join(good, ["doc_id", "section_no"]))
+    return _merged(raw, errors=replies.section_errors(parsed), sections=planned, details=details)

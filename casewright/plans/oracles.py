@@ -115,7 +115,7 @@ VIEWS: dict[str, str] = {
         WHEN 4 THEN '"test_cases" must be an array.' WHEN 5 THEN 'LLM returned empty content.' END AS error FROM replies""",
     "failing": f"SELECT event_id AS request_id, {FAILED_CASE} AS error FROM events",
     "paths": f"SELECT p_partkey, {PATH_CASE} AS path, replace(p_name, ' ', '_') AS stem, p_partkey % 4 AS k FROM part",
-    "feed": """SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' ELSE 'progress' END AS type,
+    "feed": """SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'progress' END ELSE 'progress' END AS type,
         concat('failed at ', CAST(event_id AS VARCHAR)) AS message FROM events""",
     "blocks": """SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, round(l_quantity, 2) AS top, round(l_discount, 2) AS lft, l_partkey * 8 + l_linenumber AS block_no,
         CASE WHEN l_linenumber % 4 = 3 THEN concat('id | flag', chr(10), CAST(l_partkey AS VARCHAR), ' | ', l_returnflag, chr(10))
@@ -195,7 +195,7 @@ oracle("failure_log", "SELECT file_name AS file, 'extract' AS phase, reason, det
 oracle(
     "error_messages",
     f"""SELECT 0 AS kind, CAST(doc_id AS INT) AS doc_ord, 0 AS section_no, file_name || ': ' || detail AS message FROM results WHERE detail IS NOT NULL
-    UNION ALL SELECT 0, CAST(doc_id AS INT), CAST(section_no AS INT) + 1, file_name || ': Section "' || title || '": ' || error FROM reply_errors WHERE form > 2
+    UNION ALL SELECT 0, CAST(doc_id AS INT), CAST(section_no AS INT) + 1, file_name || ': Section "' || title || '": ' || error FROM reply_errors WHERE error IS NOT NULL
     UNION ALL SELECT 1, CAST(doc_id AS INT), 0, {WARN} FROM merged WHERE test_id <> '' GROUP BY doc_id, test_id HAVING count(*) > 1""",
 )
 oracle(
@@ -205,7 +205,7 @@ oracle(
     FROM cut_auto c JOIN plan_docs d ON d.doc_id = c.doc_id WHERE body <> '' AND {suggests('body')}""",
 )
 oracle("assemble_stream", "SELECT conv_id AS request_id, string_agg('t' || CAST(turn AS VARCHAR), '' ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
-oracle("completion_content", f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE {strip('text')} END AS content FROM conversations")
+oracle("completion_content", f"SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE {strip('text')} END AS content, CASE WHEN turn % 5 = 4 THEN 'LLM returned no choices.' END AS error FROM conversations")
 oracle("strip_fence", "SELECT doc_id, section_no, CASE WHEN starts_with(content, '```') THEN string_split(content, chr(10))[2] ELSE content END AS content FROM replies")
 oracle(
     "parse_cases",
@@ -227,6 +227,7 @@ oracle(
     CASE WHEN k = 3 OR p_partkey * 65536 > 52428800 THEN 'bad' ELSE 'ok' END AS kind, CASE WHEN k = 3 THEN 'unsupported' WHEN p_partkey * 65536 > 52428800 THEN 'exception' END AS reason FROM paths""",
 )
 oracle("input_order", "SELECT scope, path, CAST(row_number() OVER (PARTITION BY scope ORDER BY path) AS INT) AS doc_ord FROM (SELECT DISTINCT p_partkey % 50 AS scope, path FROM paths )")
+oracle("input_order_of_all", "SELECT path, row_number() OVER (ORDER BY path) AS doc_ord FROM (SELECT DISTINCT path FROM paths )")
 oracle("output_names", "SELECT p_partkey, stem || '.xlsx' AS out_name, stem || '_' || CASE k WHEN 0 THEN 'docx' WHEN 3 THEN 'txt' ELSE 'pdf' END || '.xlsx' AS long_name FROM paths")
 oracle("output_collisions", "SELECT * FROM (SELECT p_partkey, stem || '.xlsx' AS out_name, count(*) OVER (PARTITION BY stem) AS same_name FROM paths ) WHERE same_name > 1")
 oracle("resume_anti_join", "SELECT p_partkey, stem || '.xlsx' || CAST(p_partkey AS VARCHAR) AS out_name FROM paths WHERE p_partkey % 3 <> 0")
@@ -246,7 +247,7 @@ oracle("redact_headers", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'Bear
 oracle(
     "job_fold",
     """SELECT job_id, CASE WHEN err IS NOT NULL THEN 'failed' WHEN res IS NOT NULL THEN 'done' ELSE 'incomplete' END AS status, coalesce(err, CASE WHEN res IS NULL THEN 'Incomplete extraction stream (no final result)' END) AS message, CASE WHEN err IS NULL THEN res END AS result FROM (
-    SELECT job_id, arg_min(message, seq) FILTER (type = 'error') AS err, max(seq) FILTER (type = 'result') AS res FROM feed WHERE type <> 'error' OR job_id % 3 = 0 GROUP BY job_id)""",
+    SELECT job_id, arg_min(message, seq) FILTER (type = 'error') AS err, max(seq) FILTER (type = 'result') AS res FROM feed GROUP BY job_id)""",
 )
 oracle(
     "job_progress",
@@ -255,3 +256,14 @@ oracle(
 FLAGGED = f"CASE WHEN test_id <> '' AND count(*) OVER (PARTITION BY doc_id, test_id) > 1 THEN {NOTE} ELSE '' END || description AS description"
 oracle("pipeline_template", f"SELECT doc_id, section_no, file_name, test_id, test_name, {FLAGGED}, preconditions, procedure_steps, expected_results, run_rows FROM merged")
 oracle("pipeline_sections", f"SELECT doc_id, section_no, file_name, test_id, test_name, {FLAGGED}, preconditions, procedure_steps, expected_results, run_rows FROM model_merged")
+oracle(
+    "file_results_by_section",
+    f"""SELECT d.doc_id, d.file_name, 'LLM (offline)' AS template, coalesce(r.n, 0) AS n_rows, CAST(0 AS BIGINT) AS n_errors, true AS ok, CAST(length(coalesce(p.txt, '')) AS BIGINT) AS doc_chars, coalesce(o.removed, '') AS removed,
+    coalesce(f.fallback AND trim(d.doc_text, ' ' || chr(10)) <> '', false) AS prep_fallback, coalesce(c.calls, 0) AS section_calls, coalesce(c.placed, 0) AS placeholders, coalesce(c.truncated, false) AS truncated FROM plan_docs d
+    LEFT JOIN (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS txt FROM prep GROUP BY doc_id) p ON p.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, NOT max(CAST(NOT skipped AND trim(line) <> '' AS INT)) = 1 AS fallback FROM shown GROUP BY doc_id) f ON f.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, string_agg(title, ' ; ' ORDER BY first) AS removed FROM opened GROUP BY doc_id) o ON o.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) AS n FROM model_rows GROUP BY doc_id) r ON r.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, count(*) FILTER (a = 'extract') AS calls, count(*) FILTER (a = 'placeholder') AS placed, bool_or(a = 'extract' AND length(body) > {TRUNCATE_AT}) AS truncated
+      FROM (SELECT *, {ACTION} AS a FROM cut_p3 ) GROUP BY doc_id) c ON c.doc_id = d.doc_id""",
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
@@ -18,7 +18,7 @@ from casewright.streaming import events
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PATTERNS = ["^## Check item", "VZ_TC_A_", "^# Area [0-9]+$"]
-TRUNCATE_AT = 2000
+TRUNCATE_AT = 120_000
 LINE_ORDER = ["l_linenumber", "l_partkey", "test_id"]
 
 
@@ -158,7 +158,7 @@ def merge_runs_lineitem(spark, sf_dir):
 
 @query
 def scattered_duplicates(spark, sf_dir):
-    return merge.flag_scattered(_merged_lineitem(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "test_id", "description")
+    return merge.flag_scattered(_merged_lineitem(spark, sf_dir), ["l_orderkey"], LINE_ORDER).select("l_orderkey", "l_linenumber", "l_partkey", "test_id", "description")
 
 
 @query
@@ -204,11 +204,16 @@ def failure_log(spark, sf_dir):
     return report.failure_records(_with_status(spark, sf_dir))
 
 
+def _unworded() -> Column:
+    """Messages without what a JSON parser says in its own words."""
+    return F.regexp_replace("message", "not valid JSON: .*", "not valid JSON")
+
+
 @query
 def error_messages(spark, sf_dir):
     results = _results(spark, sf_dir).withColumn("scope", F.lit(1))
     parsed = _parsed(spark, sf_dir)
-    failed = replies.section_errors(parsed.where("error NOT LIKE '%JSON: %'")).join(parsed.select("doc_id", "section_no", "file_name"), ["doc_id", "section_no"])
+    failed = replies.section_errors(parsed).withColumn("message", _unworded()).join(parsed.select("doc_id", "section_no", "file_name"), ["doc_id", "section_no"])
     raw = template.as_cases(template.template_cases(views.plan_docs(spark, sf_dir)))
     warned = merge.scattered_warnings(merge.merge_runs(raw, ["doc_id"], jobs.ORDER), ["doc_id"], jobs.ORDER)
     warned = warned.select(F.lit(1).alias("scope"), F.struct(F.col("doc_id").alias("doc_ord")).alias("first"), "warning")
@@ -232,7 +237,7 @@ def assemble_stream(spark, sf_dir):
 def completion_content(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     reply = F.when(F.col("turn") % 5 == 4, F.lit('{"choices":[]}')).otherwise(F.to_json(F.struct(F.array(F.struct(F.struct(F.concat(F.lit("  "), "text").alias("content")).alias("message"))).alias("choices"))))
-    return rows.select("conv_id", "turn", replies.completion_content(reply).alias("content"))
+    return rows.select("conv_id", "turn", replies.completion_content(reply).alias("content"), replies.completion_error(reply).alias("error"))
 
 
 @query
@@ -252,7 +257,7 @@ def parse_cases(spark, sf_dir):
 @query
 def partial_failures(spark, sf_dir):
     got = replies.section_errors(_parsed(spark, sf_dir))
-    return got.select("doc_id", "section_no", F.regexp_replace("message", "not valid JSON: .*", "not valid JSON").alias("message"))
+    return got.select("doc_id", "section_no", _unworded().alias("message"))
 
 
 @query
@@ -284,6 +289,11 @@ def input_order(spark, sf_dir):
     return got.select("scope", "path", "doc_ord")
 
 
+@query
+def input_order_of_all(spark, sf_dir):
+    return files.in_order(views.input_files(spark, sf_dir).select("path").distinct())
+
+
 @query
 def output_names(spark, sf_dir):
     p = F.col("path")
@@ -348,8 +358,7 @@ def redact_headers(spark, sf_dir):
 
 @query
 def job_fold(spark, sf_dir):
-    feed = views.job_events(spark, sf_dir)
-    got = events.fold_jobs(feed.where("type <> 'error' OR job_id % 3 = 0"), F.col("seq"))
+    got = events.fold_jobs(views.job_events(spark, sf_dir), F.col("seq"))
     return got.select("job_id", "status", "message", "result")
 
 
@@ -383,3 +392,11 @@ def pipeline_sections(spark, sf_dir):
     return got.cases.select("doc_id", "section_no", *CASE_FIELDS, "run_rows")
 
 
+@query
+def file_results_by_section(spark, sf_dir):
+    docs = views.plan_docs(spark, sf_dir)
+    got = jobs.by_model(docs, offline_caller, "offline", level="3")
+    none = F.lit(None).cast("string")
+    inputs = docs.select("doc_id", "file_name", F.lit("LLM (offline)").alias("template"), none.alias("reason"), none.alias("detail"))
+    out = report.file_results(inputs, got.raw.select("doc_id"), got.errors, got.details)
+    return out.select("doc_id", "file_name", "template", "n_rows", "n_errors", "ok", "doc_chars", F.array_join("removed_headings", " ; ").alias("removed"), "prep_fallback", "section_calls", "placeholders", "truncated")

@@ -69,7 +69,7 @@ def sse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.expr("CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN 'error' ELSE 'progress' END")
+    kind = F.expr("CASE event_type WHEN 'purchase' THEN 'result' WHEN 'error' THEN CASE WHEN user_id % 3 = 0 THEN 'error' ELSE 'progress' END ELSE 'progress' END")
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), kind.alias("type"), F.expr("concat('failed at ', CAST(event_id AS VARCHAR(20)))").alias("message"))
 
 

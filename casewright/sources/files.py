@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,22 @@ def discover_stream(spark: SparkSession, folder: str, recursive: bool = False) -
     return files.where(F.lower("path").rlike(r"\.(docx|pdf)$"))
 
 
-def in_order(files: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Adds doc_ord, the place by path within ``scope``."""
-    return files.withColumn("doc_ord", F.row_number().over(Window.partitionBy(*(scope or [F.lit(0)])).orderBy("path")))
+def in_order(files: DataFrame, scope: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+    """Adds doc_ord, the place by path within ``scope``, or of all paths; rows of one path then share a place.
+
+    Without a scope the paths alone are dealt in ranges, numbered within each, and moved by the sizes of the ranges before;
+    so no task sees all.  Ranges are drawn from a sample, so ``keep`` has to hold the numbered paths: it may write and
+    reread them.  Files are joined by path: give a listing without content.
+    """
+    if scope:
+        return files.withColumn("doc_ord", F.row_number().over(Window.partitionBy(*scope).orderBy("path")))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row in the lower 33
+    paths = keep(files.select("path").distinct().repartitionByRange("path").sortWithinPartitions("path").select("path", place.alias("_place")))
+    paths = paths.select("path", F.shiftright("_place", 33).alias("_range"), (F.col("_place").bitwiseAND((1 << 33) - 1) + 1).alias("_nth"))
+    sizes = paths.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = paths.join(F.broadcast(before), "_range").select("path", (F.col("_before") + F.col("_nth")).alias("doc_ord"))  # a row for each shuffle partition
+    return files.join(numbered, "path")
 
 
 def admitted(files: DataFrame) -> DataFrame:
@@ -65,5 +80,5 @@ def not_done(files: DataFrame, done: DataFrame, force: bool = False) -> DataFram
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """path and doc_text of text that was extracted before, a document a file."""
+    """path and doc_text of text that was extracted before, a document a file; an empty file has none."""
     return spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("doc_text"))

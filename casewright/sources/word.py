@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.functions import text as X
 from casewright.functions.schemas import BLOCKS
 from casewright.operators.lines import joined
 
@@ -98,8 +97,8 @@ def blocks_of(content: bytes) -> list[dict]:
 def word_blocks(files: DataFrame) -> DataFrame:
     """path, block_no, kind, style, level, text and cells of every block of the Word files (path, content).
 
-    A file that cannot be read gives one block of kind "error" with the reason as its text.  Set
-    spark.sql.execution.arrow.maxRecordsPerBatch low, for a batch holds whole files.
+    A file that cannot be read gives one block of kind "error" with the reason as its text.  A batch holds whole files;
+    Spark bounds it by bytes (spark.sql.execution.arrow.maxBytesPerBatch) and by rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +122,3 @@ def word_texts(blocks: DataFrame) -> DataFrame:
     table = F.concat(F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n"), F.lit("\n"))
     text = F.when(F.col("kind") == "table", table).when((F.col("kind") == "paragraph") & (F.col("text") != ""), F.when(F.col("level").isNotNull(), heading).otherwise(F.col("text")))
     return blocks.groupBy("path").agg(joined(text, "block_no").alias("doc_text"), F.max(F.when(F.col("kind") == "error", F.col("text"))).alias("error"))
-
-
-def table_text(blocks: DataFrame) -> DataFrame:
-    """Adds pipe_text, the cells of a table as pipe rows."""
-    return blocks.withColumn("pipe_text", X.pipe_rows(F.col("cells")))

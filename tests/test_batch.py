@@ -46,3 +46,59 @@ def test_folder_with_a_model(spark, tmp_path):
     assert got.written == 1 and got.failures == 0
     rows = spark.read.option("header", "true").csv(f"{out}/rows").collect()
     assert sorted(r["Test ID"] for r in rows) == ["TC_1_A", "TC_2_B"] and {r["File Name"] for r in rows} == {"a.docx"}
+    told = spark.read.json(f"{out}/results").first()
+    assert (told.n_rows, told.section_calls, told.placeholders, told.truncated, told.prep_fallback, told.status) == (2, 2, 0, False, False, "written")
+
+
+def rows_of(spark, out):
+    return sorted((r.out_name, r["Test ID"], r["File Name"]) for r in spark.read.option("header", "true").option("multiLine", "true").csv(f"{out}/rows").collect())
+
+
+def test_outputs_of_one_name(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    for folder in ("w", "x", "y"):
+        (source / folder).mkdir(parents=True)
+    (source / "w" / "a.docx").write_bytes(b"no zip")
+    plan(source / "x", "a.docx", "TC_1_A", "TC_2_A")
+    plan(source / "y", "a.docx", "TC_1_B", "TC_2_B")
+    plan(source / "y", "b.docx", "TC_3_B")
+    got = run_folder(spark, str(source), out, Options(recursive=True)).first().asDict()
+    assert got == {"written": 2, "skipped": 1, "not_written": 0, "failures": 1}
+    assert rows_of(spark, out) == [("a.xlsx", "TC_1_A", "a.docx"), ("a.xlsx", "TC_2_A", "a.docx"), ("b.xlsx", "TC_3_B", "b.docx")]
+    read = [x.read_text() for x in (tmp_path / "out" / "rows" / "out_name=a.xlsx").iterdir() if x.name.startswith("part")]
+    assert len(read) == 1 and read[0].index("TC_1_A") < read[0].index("TC_2_A")
+    assert sorted((r.file, r.phase, r.reason) for r in spark.read.json(f"{out}/failures").collect()) == [("a.docx", "output", "name_taken"), ("a.docx", "unexpected", "exception")]
+    again = run_folder(spark, str(source), out, Options(recursive=True)).first().asDict()
+    assert again == {"written": 0, "skipped": 4, "not_written": 0, "failures": 0}
+
+
+def test_resume_parses_only_what_is_new(spark, tmp_path, monkeypatch):
+    from casewright.plans import batch
+
+    source, out, given = tmp_path / "in", str(tmp_path / "out"), []
+    source.mkdir()
+    parse = batch.word.word_blocks
+    monkeypatch.setattr(batch.word, "word_blocks", lambda files: given.append(sorted(r.path.rsplit("/", 1)[1] for r in files.select("path").collect())) or parse(files))
+    plan(source, "a.docx", "TC_1_A")
+    plan(source, "b.docx", "TC_2_B")
+    run_folder(spark, str(source), out)
+    plan(source, "c.docx", "TC_3_C")
+    assert run_folder(spark, str(source), out).first().asDict() == {"written": 1, "skipped": 2, "not_written": 0, "failures": 0}
+    assert given == [["a.docx", "b.docx"], ["c.docx"]]
+    monkeypatch.undo()
+    only = spark.createDataFrame([("none",)], "path string")
+    steps = batch.read_folder(spark, str(source), Options(), only)._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.index("MapInPandas") < steps.index("LeftSemi", steps.index("MapInPandas"))  # the join is below
+
+
+def test_pdf_files_given_as_blocks(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name in ("a.pdf", "b.pdf", "c.pdf"):
+        (source / name).write_bytes(b"%PDF")
+    rows = [(f"file:{source}/a.pdf", 0, float(i), 0.0, i, "text", t, None) for i, t in enumerate(["## Case TC_1_A", "Told.", "Steps:"])]
+    rows += [(f"file:{source}/a.pdf", 1, 0.0, 0.0, 0, "table", None, [["1", "go"]]), (f"file:{source}/b.pdf", 0, 0.0, 0.0, 0, "text", "  ", None)]
+    blocks = spark.createDataFrame(rows, "path string, page int, top double, left double, block_no int, kind string, text string, cells array<array<string>>")
+    got = run_folder(spark, str(source), out, blocks=blocks).first().asDict()
+    assert got == {"written": 1, "skipped": 0, "not_written": 0, "failures": 2} and rows_of(spark, out) == [("a.xlsx", "TC_1_A", "a.pdf")]
+    assert {r.file: r.reason for r in spark.read.json(f"{out}/failures").collect()} == {"b.pdf": "empty_text", "c.pdf": "unsupported"}

@@ -134,7 +134,7 @@ def test_merging_equals_the_model(spark):
 
 def test_scattered(spark):
     merged = merge.merge_runs(cases(spark, [("A", "1"), ("A", "2"), ("B", "3"), ("A", "4"), ("", "5"), ("", "6")]), ["doc_id"], ["n"])
-    got = {r.n: r.description for r in merge.flag_scattered(merged, ["doc_id"]).collect()}
+    got = {r.n: r.description for r in merge.flag_scattered(merged, ["doc_id"], ["n"]).collect()}
     assert got == {0: merge.NOTE + "A\n\n1\n2", 2: "3", 3: merge.NOTE + "A\n\n4", 4: "5", 5: "6"}
     warned = merge.scattered_warnings(merged, ["doc_id"], ["n"]).collect()
     assert [(w.test_id, w.n_rows, w.first.n) for w in warned] == [("A", 2, 0)]
@@ -176,6 +176,41 @@ def test_parsing(spark):
     assert got[6].cases[0].test_id == "b"
 
 
+def test_no_reply_stops_the_job(spark):
+    deep = parsed(spark, "[" * 200_000, '{"test_cases":[{"test_id":"a\\ud800b","description":["\\udfff"],"test_name":"\\ud83d\\ude00"}]}', '{"test_cases":[{"test_id":' + "9" * 5000 + "}]}", "\x00")
+    assert all(deep[i].error.startswith(replies.INVALID) for i in (0, 2, 3))
+    assert (deep[1].cases[0].test_id, deep[1].cases[0].description, deep[1].cases[0].test_name) == ("a?b", '["?"]', "😀")
+
+
+def test_calls_that_give_exceptions(spark):
+    asked = spark.createDataFrame([(0, i, f"p{i}") for i in range(6)], "doc_id int, section_no int, payload string")
+    caller = lambda payloads: [ValueError("HTTP error 429") if p == "p3" else p.upper() for p in payloads]
+    got = {r.section_no: (r.content, r.error) for r in replies.call(asked, caller, 2).collect()}
+    assert got == {i: (f"P{i}", None) for i in (0, 1, 2, 4, 5)} | {3: (None, "HTTP error 429")}
+
+
+def test_replies_without_choices(spark):
+    rows = spark.createDataFrame([(0, '{"choices":[]}'), (1, "{}"), (2, '{"choices":[{"message":{"content":" x "}}]}'), (3, '{"choices":[{"message":{}}]}')], "i int, reply string")
+    got = {r.i: (r.content, r.error) for r in rows.select("i", replies.completion_content(F.col("reply")).alias("content"), replies.completion_error(F.col("reply")).alias("error")).collect()}
+    assert got == {0: ("", replies.NO_CHOICES), 1: ("", replies.NO_CHOICES), 2: ("x", None), 3: ("", None)}
+
+
+def test_null_documents_are_empty_ones(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "# A\nx")], "doc_id int, doc_text string")
+    assert {r.doc_id: (r.prepared_text, r.chars_before) for r in prep.prepared(rows).collect()} == {1: ("", 0), 2: ("", 0), 3: ("# A\nx", 5)}
+    assert {r.doc_id for r in prep.prepared_lines(rows).collect()} == {1, 2, 3} == {r.doc_id for r in sections.shallowest_level(with_headings(to_lines(rows))).collect()}
+
+
+def test_details_by_section(spark):
+    text = "# Introduction\nno\n# One\nSteps: 1\n# VZ_TC_Z_9\n# Two\nSteps: boom"
+    caller = lambda payloads: [ValueError("x") if "boom" in p else '{"test_cases":[]}' for p in payloads]
+    rows = docs(spark, text, "# Contents\nonly")
+    got = jobs.by_model(rows, caller, "m", keep=lambda df: df.cache())
+    told = {r.doc_id: r for r in got.details.collect()}
+    assert (told[0].section_calls, told[0].placeholders, told[0].removed_headings, told[0].prep_fallback, told[0].truncated) == (2, 1, ["Introduction"], False, False)
+    assert told[0].doc_chars == len(text) - len("# Introduction\nno\n") and (told[1].section_calls, told[1].prep_fallback) == (0, True)
+
+
 def test_streamed_replies(spark):
     lines = ["data: {\"choices\":[{\"delta\":{\"content\":\"a\"}},{\"message\":{\"content\":\"b\"}}]}", ": ping", "", "data: nonsense", 'data: {"choices":[{"delta":{"content":null}}]}', 'data:  {"choices":[{"delta":{"content":"c"}}]} ', "data: [DONE]", 'data: {"choices":[{"delta":{"content":"late"}}]}']
     rows = spark.createDataFrame([("r", i, x) for i, x in enumerate(lines)] + [("empty", 0, "event: x")], "request_id string, seq int, line string")

@@ -118,3 +118,18 @@ def test_new_files_only(spark, tmp_path):
         (folder / name).write_bytes(b"x")
         events.extract_new_files(spark, str(folder), lambda batch: seen.append(sorted(r.path.rsplit("/", 1)[1] for r in batch.collect())), str(tmp_path / "state"))
     assert [n for n in seen if n] == [["a.docx"], ["b.PDF"]]
+
+
+def test_order_of_all_files_by_ranges(spark):
+    paths = [f"/p/{i * 7919 % 500:03}.docx" for i in range(500)]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(7)
+    got = {r.path: r.doc_ord for r in files.in_order(rows).collect()}
+    assert got == {p: i + 1 for i, p in enumerate(sorted(paths))}
+    assert files.in_order(rows.limit(0)).collect() == []
+
+
+def test_texts_that_were_extracted_before(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# A\nb é\n", "utf-8")
+    (tmp_path / "b.txt").write_text("one line")
+    got = {r.path.rsplit("/", 1)[1]: r.doc_text for r in files.read_texts(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": "# A\nb é\n", "b.txt": "one line"}
