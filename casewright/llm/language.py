@@ -19,8 +19,8 @@ FIT_ROWS = 512
 GROUP = 64
 #: Hash buckets of three-byte sequences.
 BUCKETS = 1 << 14
-#: Neighbouring sequences overlap, so each counts as a part of an observation; and no text counts as more than so many.
-WEIGHT, MOST_EVIDENCE = 0.25, 2000.0
+#: Neighbouring sequences overlap, so each counts as a part of an observation, in texts of any length.
+WEIGHT = 0.25
 #: Pseudo-counts: of the language's text model, of a host's parent domain for the host, of the whole for the domain.
 ALPHA, HOST_STRENGTH, DOMAIN_STRENGTH, SIGNAL_STRENGTH = 200.0, 20.0, 50.0, 20.0
 #: Prior share of texts in none of the languages, and the probability from which a text is accepted.
@@ -53,17 +53,22 @@ def log_likelihood(text: str | None, model: list[np.ndarray]) -> np.ndarray | No
         for t, m in zip(total, model):
             t += m[b].sum(0, dtype=np.float64) if counts is None else counts @ m
         n += len(b)
-    return np.concatenate(total) * min(WEIGHT, MOST_EVIDENCE / n) if n else None
+    return np.concatenate(total) * WEIGHT if n else None
 
 
 def fit_text_model(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
     """The languages, and in groups of them log probabilities of every bucket in each and in none, from (id, text, declared).
 
     Every language that is declared for a text with letters is fitted; the fewer sequences it has, the nearer it is to the shared counts.
+    The hash of an id is as good as drawn at random, so only ids in the first part of its range, by the language's number
+    of ids twice as many as are wanted, are dealt by language to find the smallest ones.
     """
-    declared_rows = docs.where("declared IS NOT NULL")
+    declared_rows = docs.where("declared IS NOT NULL AND id IS NOT NULL")
     order = Window.partitionBy("declared").orderBy("h", "id")
-    ids = declared_rows.select("id", "declared", F.xxhash64("id").alias("h")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIT_ROWS)
+    counts = declared_rows.groupBy("declared").agg(F.approx_count_distinct("id").alias("n"))
+    place = F.xxhash64("id") / F.lit(float(1 << 64)) + 0.5
+    ids = declared_rows.select("id", "declared", F.xxhash64("id").alias("h"), place.alias("place")).join(small(counts), "declared").where(F.col("place") * F.col("n") <= 2 * FIT_ROWS)
+    ids = ids.select("id", "declared", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIT_ROWS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -111,9 +116,10 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     ``declared`` is the language the markup declares, ``host`` the place the text comes from, ``domain`` what the host
     belongs to, ``suffix`` the end of its address; each may be null or missing and then says nothing.
 
-    First each text is given its likeliest language by text alone.  Grouped by host, domain, suffix and declaration these
-    give, with pseudo-counts from the next wider level, each host's prior, and how often each declaration and suffix
-    goes with each language.  Then all are multiplied with the text likelihood.  ``accepted`` is false where no known
+    First each text is given its likelihood in each language, once; these are written, a number for each language and
+    row.  The likeliest languages, grouped by host, domain, suffix and declaration, give, with pseudo-counts from the next
+    wider level, each host's prior, and how often each declaration and suffix goes with each language.  Then all are
+    multiplied with the text likelihood.  Of languages that are equally likely the first by name is taken.  ``accepted`` is false where no known
     language has a probability of ACCEPT, which includes null, empty and letterless texts (lang_id "und").  Repeated rows and null
     ids stay.  Without any declared row all texts are "und".
     """
@@ -123,15 +129,19 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     base = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("text"), primary(text(declared)).alias("declared"), text(host).alias("host"), text(domain).alias("domain"), text(suffix).alias("suffix"))
     languages, model = fit_text_model(base.select("id", "text", "declared"))
     groups = [docs.sparkSession.sparkContext.broadcast(m) for m in model]
+    carried = [c for c in base.columns if c != "text"]
 
-    def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likelihoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = [g.value for g in groups]
         for b in sub_batches(batches, "text"):
-            best = [None if (x := log_likelihood(t, model)) is None else int(np.argmax(x)) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(best, pa.int32())], ["declared", "host", "domain", "suffix", "best"])
-
-    met = base.select("declared", "host", "domain", "suffix", "text").mapInArrow(likeliest, "declared string, host string, domain string, suffix string, best int")
-    met = written(met.where(F.col("best") < len(languages)).groupBy("declared", "host", "domain", "suffix", "best").agg(F.count("*").alias("n")), "met")
+            like = [None if (x := log_likelihood(t, model)) is None else (x - x.max()).astype(np.float32) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in carried), pa.array(like, pa.list_(pa.float32()))], [*carried, "like"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
+    scored = written(base.mapInArrow(likelihoods, f"{kinds}, like array<float>"), "likelihoods")
+    best = (F.array_position("like", F.array_max("like")) - 1).cast("int").alias("best")
+    met = scored.where("like IS NOT NULL").select("declared", "host", "domain", "suffix", best).where(F.col("best") < len(languages))
+    met = written(met.groupBy("declared", "host", "domain", "suffix", "best").agg(F.count("*").alias("n")), "met")
     k = len(languages)
 
     def by(*keys: str) -> DataFrame:
@@ -152,19 +162,18 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     hosts = by("host").where("host IS NOT NULL").join(wider, "host", "left").select("host", mixed(F.col("n"), F.coalesce("wider", arr(spread)), HOST_STRENGTH).alias("host_prior"))
     # probability of a signal in each language: its share of the language's texts, next to its share of all
     signal = lambda c: by(c).where(f"{c} IS NOT NULL").select(c, F.zip_with(F.zip_with(F.col("n"), arr(whole), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), arr(spread), lambda x, _: (x.a + SIGNAL_STRENGTH * (total(F.col("n")) + 1) / F.lit(float(whole.sum() + 1))) / (x.b + SIGNAL_STRENGTH)).alias(f"{c}_says"))
-    rows = base.join(few(hosts), "host", "left").join(few(domains), "domain", "left").join(few(signal("declared")), "declared", "left").join(few(signal("suffix")), "suffix", "left")
+    rows = scored.join(few(hosts), "host", "left").join(few(domains), "domain", "left").join(few(signal("declared")), "declared", "left").join(few(signal("suffix")), "suffix", "left")
     prior = F.coalesce("host_prior", "domain_prior", arr(spread))
     names = [*languages, UNKNOWN]
 
     @F.pandas_udf("lang_id string, probability double, text_lang string")
-    def decide(texts: pd.Series, priors: pd.Series, declared_says: pd.Series, suffix_says: pd.Series) -> pd.DataFrame:
-        out, model = [], [g.value for g in groups]
-        for t, p, *says in zip(texts, priors, declared_says, suffix_says):
-            like = log_likelihood(t, model) if k else None
-            if like is None:
+    def decide(likes: pd.Series, priors: pd.Series, declared_says: pd.Series, suffix_says: pd.Series) -> pd.DataFrame:
+        out = []
+        for like, p, *says in zip(likes, priors, declared_says, suffix_says):
+            if like is None or not k:
                 out.append((UNKNOWN, 1.0, UNKNOWN))
                 continue
-            post = like.copy()
+            post = like.astype(np.float64)
             post[:-1] += np.log(np.asarray(p) * (1 - NONE_PRIOR))
             post[-1] += np.log(NONE_PRIOR)
             for s in says:
@@ -177,6 +186,6 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
             out.append((names[i], float(q[i]), names[int(np.argmax(like))]))
         return pd.DataFrame(out, columns=["lang_id", "probability", "text_lang"])
 
-    done = rows.select("id", *(f"keep_{c}" for c in keep), decide("text", prior, "declared_says", "suffix_says").alias("found")).select("id", *(f"keep_{c}" for c in keep), "found.*")
+    done = rows.select("id", *(f"keep_{c}" for c in keep), decide("like", prior, "declared_says", "suffix_says").alias("found")).select("id", *(f"keep_{c}" for c in keep), "found.*")
     accepted = (F.col("lang_id") != UNKNOWN) & (F.col("probability") >= ACCEPT)
     return done.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep if c != id_col), "lang_id", "probability", "text_lang", accepted.alias("accepted"))

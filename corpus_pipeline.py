@@ -14,11 +14,14 @@ from casewright.llm.toxicity import TOXIC_AT, toxicity_score
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts in no language that the corpus declares, null and letterless ones included."""
-    kept = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select("*", F.col("doc_id").alias("_row")).toDF(*kept.values(), "_row")
-    found = identify(rows, keep=tuple(kept.values()), declared=F.col(kept["lang"]), host=F.col(kept["source"]), id_col="_row", text_col=kept["text"])
-    return found.where("accepted").select(*(F.col(x).alias(c) for c, x in kept.items()))
+    """Drops texts in no language that the corpus declares, null and letterless ones included.
+
+    What is decided depends on text, declaration and source alone, so rejected rows are told by these.
+    """
+    key = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "lang", "source")
+    found = identify(docs.select(key.alias("key"), "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"), id_col="key")
+    rejected = small(written(found.where("NOT accepted").select("key").distinct(), "rejected"))
+    return docs.select(F.struct("*").alias("row"), key.alias("key")).join(rejected, "key", "left_anti").select("row.*")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
