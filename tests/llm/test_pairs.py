@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from casewright.llm import jaccard
 from casewright.llm.common import ascii_words, shingle_hashes, WordHashes
-from casewright.llm.decontaminate import BLOCKS, RADIUS, SIMILAR, Matcher, find_leaks, without_leaks, words_of
+from casewright.llm.decontaminate import BLOCKS, RADIUS, SIMILAR, Matcher, find_leaks, simhash, window_prints, without_leaks, words_of
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -185,6 +185,8 @@ def test_benchmark_in_slices(spark, monkeypatch):
     monkeypatch.setattr(d, "SLICE_ITEMS", 4)
     got = {(r.doc_id, r.item_id) for r in find_leaks(table(spark, items), benchmark(spark, items)).collect()}
     assert got == {(i, i) for i in range(10)}
+    texts = [*items, "nothing of it", "", None]
+    assert [r.doc_id for r in without_leaks(table(spark, texts), benchmark(spark, items[:9])).orderBy("doc_id").collect()] == [9, 10, 11, 12]
 
 
 def test_index_finds_all_within_the_radius():
@@ -196,5 +198,48 @@ def test_index_finds_all_within_the_radius():
             for b in rnd.choice(64, flips, replace=False):
                 q = q ^ (np.uint64(1) << np.uint64(b))
             expected = np.flatnonzero(np.bitwise_count(m.prints ^ q) <= RADIUS)
-            assert m.within_radius(q).tolist() == expected.tolist()
+            windows, found = m.within_radius(np.array([q, ~q]), np.arange(300))
+            assert found[windows == 0].tolist() == expected.tolist()
     assert 64 % BLOCKS == 0
+
+
+def test_windows_have_the_fingerprints_of_their_shingles():
+    rnd = np.random.default_rng(5)
+    h, weight = rnd.integers(0, 1 << 63, 60).astype(np.uint64), rnd.integers(1, 40, 60).astype(np.float32)
+    for size in (1, 7, 60):
+        assert window_prints(h, weight, size).tolist() == [simhash(h[i : i + size], weight[i : i + size]) for i in range(61 - size)]
+
+
+def test_leaks_equal_the_similarity_of_all_windows(monkeypatch):
+    """Passages with ever more changed words, against the weighted similarity of every window with every item."""
+    rnd = random.Random(12)
+    items = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(5, 50))) for _ in range(200)]
+    m, compared = Matcher(list(enumerate(items))), []
+    within = Matcher.within_radius
+    monkeypatch.setattr(Matcher, "within_radius", lambda self, f, i: compared.append(len(f) * len(i)) or within(self, f, i))
+    weights = lambda w: {tuple(w[i : i + 5]): sum(map(len, w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+    sets = [weights(words_of(t)) for t in items]
+    expected, got, near, windows = 0, 0, 0, 0
+    for n in range(150):
+        own = items[n].split()
+        for _ in range(rnd.randint(0, 3)):
+            at = rnd.randrange(len(own))
+            own[at : at + 1] = rnd.choice([[], ["changed"], [own[at], "more"]])
+        words = [rnd.choice(WORDS) for _ in range(30)] + own + [rnd.choice(WORDS) for _ in range(30)]
+        words = words_of(" ".join(words))
+        best = {}
+        for i, x in enumerate(sets):
+            size = len(words_of(items[i]))
+            windows += len(words) - size + 1
+            for at in range(len(words) - size + 1):
+                y = weights(words[at : at + size])
+                if not x.keys().isdisjoint(y):
+                    best[i] = max(best.get(i, 0), 2 * sum(x[s] for s in x if s in y) / (sum(x.values()) + sum(y.values())))
+        found = m.leaks(words, WordHashes())
+        near += sum(v >= SIMILAR for v in best.values())
+        for i, (alike, _, _) in found.items():
+            assert alike == pytest.approx(best[i]) and alike >= SIMILAR
+        expected += sum(v >= SIMILAR for v in best.values())
+        got += len(found)
+    assert expected > 60 and got >= 0.99 * expected
+    assert sum(compared) < 0.02 * windows  # of all windows with all items
