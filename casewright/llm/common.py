@@ -18,7 +18,7 @@ BROADCAST_ROWS = 50_000
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
-WORD_CACHE = 1 << 20
+WORD_CACHE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,10 @@ def remove(*tables: DataFrame) -> None:
 
 
 def short_batches(df: DataFrame) -> None:
-    """Let Arrow batches of the session have BATCH_ROWS rows at most, for rows hold whole texts."""
+    """Let Arrow batches of the session have BATCH_ROWS rows at most from here on, for rows hold whole texts.
+
+    Spark bounds them by bytes as well (spark.sql.execution.arrow.maxBytesPerBatch), so that long texts make short batches.
+    """
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -10,29 +10,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.llm.common import short_batches, sub_batches, written
 
-#: Labelled rows of each class that the models are fitted on at most: the smallest by a hash of their id.
-FIT_ROWS = 2048
+#: Labelled rows of each class that the models are fitted on at most: the smallest by a hash of their id.  Of these, texts
+#: over FIT_TEXT bytes are left out, and then what comes after FIT_BYTES of text in the same order.
+FIT_ROWS, FIT_TEXT, FIT_BYTES = 2048, 1 << 20, 32 << 20
 #: Characters of the longest expression.
 ORDER = 6
-#: What every count above it gives up to the shared model, and the weight of the shared model in each context beside.
-DISCOUNT, STRENGTH = 0.8, 50.0
-#: Evidence of a word for toxicity up to this log ratio is taken for noise of the sample.
-MARGIN = 2.5
-#: Parts of the fitting rows; to set the scale, each is scored by models of the others.
+#: What every count above it gives up to the shared model.
+DISCOUNT = 0.8
+#: Weights of the shared model in each context beside, and log ratios of a word up to which it differs from its text's
+#: background by chance: of these the pair is taken that tells the classes best in texts that other texts' models score.
+STRENGTHS, MARGINS = (5.0, 50.0), (1.0, 1.5, 2.0, 2.5, 3.0)
+#: Parts of the fitting rows; to set margin, strength and scale, each is scored by models of the others.
 FOLDS = 3
+#: Shares of the ordinary fitting texts' backgrounds between which any text's background is held.
+LOWEST, HIGHEST = 0.01, 0.99
 #: Score from which a text is predicted to be toxic.
 TOXIC_AT = 0.7
 #: Characters at which a longer run of letters and digits is cut.
 LONGEST_WORD = 40
 WORD = re.compile(r"[^\W_]{1,%d}" % LONGEST_WORD)
-WORD_MEMORY = 1 << 19
-#: What is added to the evidence before its logarithm is taken.
-LEAST_EVIDENCE = 0.003
+WORD_MEMORY = 1 << 18
 START, END = "\x02", "\x03"
 
 
@@ -59,7 +61,7 @@ class KneserNey:
     """Class-conditional Kneser-Ney models of words, letter by letter, that back off to one shared model.
 
     A word counts in a class by how many different words it followed there, so that copies of a text add nothing.  A
-    class keeps counts of the longest contexts only; the discounts and STRENGTH go to the shared model, which
+    class keeps counts of the longest contexts only; the discounts and the strength go to the shared model, which
     interpolates all orders over both classes, shorter sequences by the number of contexts they were met in.  So an
     expression that is rare in both classes says little, and one never met says nothing but how much each model backs
     off there.  Kept is just the log ratio of every sequence, and of anything new after every context.
@@ -90,19 +92,20 @@ class KneserNey:
                 known[g] = p = (max(shared[g] - DISCOUNT, 0.0) + DISCOUNT * kinds * probability(g[1:])) / total
             return p
 
-        none = (0.0, 0)
-        self.ratio: dict[str, float] = {}
-        for g in seen:
-            p = probability(g)
-            logs = []
-            for c in (0, 1):
-                n, kinds = own_after[c].get(g[:-1], none)
-                logs.append(math.log((max(own[c][g] - DISCOUNT, 0.0) + (DISCOUNT * kinds + STRENGTH) * p) / (n + STRENGTH)))
-            self.ratio[g] = logs[1] - logs[0]
-        self.new: dict[str, float] = {}
-        for h in own_after[0].keys() | own_after[1].keys():
-            (n0, k0), (n1, k1) = (own_after[c].get(h, none) for c in (0, 1))
-            self.new[h] = math.log((DISCOUNT * k1 + STRENGTH) / (n1 + STRENGTH)) - math.log((DISCOUNT * k0 + STRENGTH) / (n0 + STRENGTH))
+        self.own, self.own_after, self.shared = own, own_after, {g: probability(g) for g in seen}
+
+    def ratios(self, strength: float) -> tuple[dict[str, float], dict[str, float]]:
+        """Log ratios of every sequence, and of anything new after every context, with this weight of the shared model."""
+        (own0, own1), (after0, after1), none = self.own, self.own_after, (0.0, 0)
+        back = {}
+        for h in after0.keys() | after1.keys():
+            (n0, k0), (n1, k1) = after0.get(h, none), after1.get(h, none)
+            back[h] = n0 + strength, DISCOUNT * k0 + strength, n1 + strength, DISCOUNT * k1 + strength
+        ratio = {}
+        for g, p in self.shared.items():
+            n0, b0, n1, b1 = back[g[:-1]]
+            ratio[g] = math.log((max(own1[g] - DISCOUNT, 0.0) + b1 * p) / n1) - math.log((max(own0[g] - DISCOUNT, 0.0) + b0 * p) / n0)
+        return ratio, {h: math.log(b1 / n1) - math.log(b0 / n0) for h, (n0, b0, n1, b1) in back.items()}
 
 
 class Evidence:
@@ -115,53 +118,102 @@ class Evidence:
         return {"columns": self.columns}
 
     def __setstate__(self, state: dict) -> None:
-        self.ratio: dict[str, float] = {}
-        self.new: dict[str, float] = {}
-        for gram, new, ratio in zip(*(state["columns"].column(c).to_pylist() for c in ("gram", "new", "ratio"))):
+        self.columns, self.ratio, self.new = state["columns"], None, None
+
+    def open(self) -> None:
+        """Make the dictionaries, where they are used."""
+        self.ratio, self.new, self.memory = {}, {}, WordEvidence(self)
+        for gram, new, ratio in zip(*(self.columns.column(c).to_pylist() for c in ("gram", "new", "ratio"))):
             (self.new if new else self.ratio)[gram] = ratio
-        self.memory: dict[str, float] = {}
 
-    def word_evidence(self, word: str) -> float:
+    def shut(self) -> None:
+        self.ratio = self.new = self.memory = None
+
+    def of_word(self, word: str) -> float:
+        """Log likelihood of a word as toxic less that as ordinary."""
         ratio, new = self.ratio, self.new
-        total = 0.0
-        for g in grams_of(word):
-            x = ratio.get(g)
-            total += new.get(g[:-1], 0.0) if x is None else x
-        return max(total - MARGIN, 0.0)
-
-    def evidence(self, text: str | None) -> float:
-        """Log likelihood of the words as toxic less that as ordinary, above the margin of each, by their number."""
-        memory, total, words = self.memory, 0.0, words_of(text)
-        for w in words:
-            x = memory.get(w)
-            if x is None:
-                if len(memory) >= WORD_MEMORY:
-                    memory.clear()
-                x = memory[w] = self.word_evidence(w)
-            total += x
-        return total / len(words) if words else 0.0
-
-
-def feature(evidence: np.ndarray) -> np.ndarray:
-    return np.log(np.maximum(evidence, 0.0) + LEAST_EVIDENCE)
-
-
-def fit_scale(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the evidence: slope (not negative) and intercept."""
-    x, slope, base = feature(evidence), 1.0, 0.0
-    if len(set(toxic.tolist())) < 2:
-        return 1.0, -10.0 if not toxic.any() else 10.0
-    centre = x.mean()
-    x = np.column_stack([x - centre, np.ones(len(x))])
-    w = np.array([slope, base])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-3 * np.eye(2), x.T @ (toxic - p) - 1e-3 * w)
-        w = w + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-8:
-            break
-    w[0] = max(w[0], 0.0)
-    return float(w[0]), float(w[1] - w[0] * centre)
+        return sum(new.get(g[:-1], 0.0) if (x := ratio.get(g)) is None else x for g in grams_of(word))
+
+    def of_words(self, text: str | None) -> np.ndarray:
+        """The log ratio of each word of a text, in order."""
+        if self.ratio is None:
+            self.open()
+        words = words_of(text)
+        return np.fromiter(map(self.memory.__getitem__, words), np.float64, len(words))
+
+
+class WordEvidence(dict):
+    """The log ratios of words, each computed once as long as it is remembered."""
+
+    def __init__(self, model: Evidence):
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= WORD_MEMORY:
+            self.clear()
+        x = self[word] = self.model.of_word(word)
+        return x
+
+
+def beyond(x: np.ndarray, background: float, margin: float) -> float:
+    """The mean by which the words' log ratios are further than ``margin`` from the background, on either side."""
+    over = x - background
+    return float((np.sign(over) * np.maximum(np.abs(over) - margin, 0.0)).mean()) if len(x) else 0.0
+
+
+class Scale:
+    """Makes scores of the log ratios of texts' words.
+
+    The mean log ratio tells more than toxicity: a language with a larger share of the toxic texts makes all its words
+    look toxic.  That is so for all words of a text alike, while toxic expressions are few of them, so the median is taken
+    as the text's background.  It is held within what ordinary texts have, for a text may be toxic throughout.  What is
+    within ``margin`` of the background is chance; beyond it each word counts, for either class, and the mean is taken.
+    The score is a logistic regression on that mean: on its root, and in proportion to its error (times the root of the
+    number of words).
+    """
+
+    def __init__(self, margin: float, median: np.ndarray, value: np.ndarray, n: np.ndarray, toxic: np.ndarray):
+        use = n > 0
+        median, value, n, toxic = median[use], value[use], n[use], toxic[use]
+        ordinary = median[toxic == 0]
+        self.margin = margin
+        self.low, self.high = np.quantile(ordinary, [LOWEST, HIGHEST]).tolist() if len(ordinary) else (0.0, 0.0)
+        self.centre, self.spread, self.weights = np.zeros(2), np.ones(2), np.array([0.0, 0.0, 10.0 if toxic.any() else -10.0])
+        if len(set(toxic.tolist())) == 2:
+            x = self.features(value, n)
+            self.centre, self.spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+            x = np.column_stack([(x - self.centre) / self.spread, np.ones(len(x))])
+            w = np.zeros(3)
+            for _ in range(100):  # Newton steps with a small penalty, so that classes that part cleanly have an end too
+                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+                step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(3), x.T @ (toxic - p) - 1e-2 * w)
+                w = w + np.clip(step, -3, 3)
+                if np.abs(step).max() < 1e-8:
+                    break
+            self.weights = w
+        p = np.clip(self.scores(value, n), 1e-9, 1 - 1e-9)
+        self.loss = float(-np.log(np.where(toxic == 1, p, 1 - p)).mean()) if len(p) else 0.0
+
+    @staticmethod
+    def features(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.sign(value) * np.sqrt(np.abs(value)), value * np.sqrt(n)])
+
+    def value(self, x: np.ndarray) -> float:
+        return beyond(x, min(max(float(np.median(x)), self.low), self.high), self.margin) if len(x) else 0.0
+
+    def scores(self, value: np.ndarray, n: np.ndarray) -> np.ndarray:
+        x = (self.features(value, n) - self.centre) / self.spread
+        return np.where(n > 0, 1 / (1 + np.exp(-np.clip(x @ self.weights[:2] + self.weights[2], -30, 30))), 0.0)
+
+
+def best_scale(scored: pd.DataFrame) -> tuple[int, Scale]:
+    """The number of a strength and the scale with the least log loss, of rows (toxic, strength, median, n, values by margin)."""
+    found = []
+    for k, part in sorted(scored.groupby("strength")):
+        values = np.array(part["values"].tolist(), np.float64)
+        for j, margin in enumerate(MARGINS):
+            found.append((int(k), Scale(margin, part["median"].to_numpy(float), values[:, j], part["n"].to_numpy(float), part["toxic"].to_numpy(float))))
+    return min(found, key=lambda x: x[1].loss) if found else (0, Scale(MARGINS[0], *[np.empty(0)] * 4))
 
 
 def fitting_rows(labels: DataFrame) -> DataFrame:
@@ -179,9 +231,13 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame):
-    """The broadcast model, slope and intercept, from a bounded number of labelled rows (see FIT_ROWS); labels are used nowhere else."""
+    """The broadcast model and the scale, from a bounded number of labelled rows (see FIT_ROWS); labels are used nowhere else."""
     chosen = F.broadcast(fitting_rows(labels))
-    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "fold", "text"), "fitting")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = written(docs.select("doc_id", "text").join(chosen, "doc_id").where(size <= FIT_TEXT).select("doc_id", "toxic", "fold", "text", F.xxhash64("doc_id").alias("h"), size.alias("size")), "fitting")
+    so_far = F.sum("size").over(Window.partitionBy("toxic").orderBy("h", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    within = F.broadcast(rows.select("doc_id", "toxic", "h", "size").withColumn("so_far", so_far).where(F.col("so_far") <= FIT_BYTES).select("doc_id").distinct())
+    rows = rows.join(within, "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "fold", "text")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sub_batches(batches, "text"):
@@ -195,59 +251,69 @@ def fit(docs: DataFrame, labels: DataFrame):
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["toxic", "fold", "word", "last"])
 
-    counts = rows.select(F.col("toxic").cast("int").alias("toxic"), "fold", "text").mapInArrow(pairs, "toxic int, fold int, word string, last string").distinct().groupBy("toxic", "fold", "word").count()
-    # model FOLDS is of all rows, model k of the rows outside fold k; a model's words are bounded by FIT_ROWS, so each fits a task
+    counts = rows.mapInArrow(pairs, "toxic int, fold int, word string, last string").distinct().groupBy("toxic", "fold", "word").count()
+    # model FOLDS is of all rows, model k of the rows outside fold k; a model's words are bounded by FIT_BYTES, so each fits a task
     models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS)), lambda m: m != F.col("fold"))).alias("model")
+    strengths = F.explode(F.sequence(F.lit(0), F.lit(len(STRENGTHS) - 1))).alias("strength")
 
     def build(words: pd.DataFrame) -> pd.DataFrame:
         counted: list[Counter] = [Counter(), Counter()]
         for c, w, n in zip(words.toxic, words.word, words["count"]):
             counted[c][w] += int(n)
-        m = KneserNey(counted)
-        grams, ratios = [*m.ratio, *m.new], [*m.ratio.values(), *m.new.values()]
-        return pd.DataFrame({"model": words.model.iloc[0], "gram": grams, "new": [False] * len(m.ratio) + [True] * len(m.new), "ratio": ratios})
-
-    built = written(counts.select("toxic", "word", "count", models).groupBy("model").applyInPandas(build, "model int, gram string, new boolean, ratio double"), "models")
-
-    def model(k: int):
-        return docs.sparkSession.sparkContext.broadcast(Evidence(built.where(F.col("model") == k).select("gram", "new", "ratio").toArrow()))
-
-    evidence, toxic = [], []
-    for fold in range(FOLDS):
-        other = model(fold)
-        part = rows.where(F.col("fold") == fold).select("toxic", evidence_of(F.col("text"), other).alias("evidence")).toPandas()
-        evidence.append(part.evidence.to_numpy())
-        toxic.append(part.toxic.to_numpy())
-        other.destroy()
-    slope, base = fit_scale(np.concatenate(evidence), np.concatenate(toxic))
-    return model(FOLDS), slope, base
-
-
-def evidence_of(text, model):
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        m = model.value
-        return pd.Series([m.evidence(t) for t in texts], dtype="float64")
-
-    return run(text)
+        m, out = KneserNey(counted), []
+        for k, strength in enumerate(STRENGTHS):
+            ratio, new = m.ratios(strength)
+            out.append(pd.DataFrame({"model": words.model.iloc[0], "strength": k, "gram": [*ratio, *new], "new": [False] * len(ratio) + [True] * len(new), "ratio": [*ratio.values(), *new.values()]}))
+        return pd.concat(out)
+
+    built = written(counts.select("toxic", "word", "count", models).groupBy("model").applyInPandas(build, "model int, strength int, gram string, new boolean, ratio double"), "models")
+    columns = lambda m, k: Evidence(built.where((F.col("model") == m) & (F.col("strength") == k)).select("gram", "new", "ratio").toArrow())
+    others = docs.sparkSession.sparkContext.broadcast([[columns(m, k) for k in range(len(STRENGTHS))] for m in range(FOLDS)])
+
+    @F.pandas_udf("median double, n long, values array<double>")
+    def by_others(texts: pd.Series, folds: pd.Series, strength: pd.Series) -> pd.DataFrame:
+        out = []
+        for i in np.lexsort((strength, folds)).tolist():  # one model is open at a time
+            model = others.value[folds[i]][strength[i]]
+            if model.ratio is None:
+                for other in (e for of_fold in others.value for e in of_fold):
+                    other.shut()
+            x = model.of_words(texts[i])
+            median = float(np.median(x)) if len(x) else 0.0
+            out.append((i, median, len(x), [beyond(x, median, m) for m in MARGINS]))
+        return pd.DataFrame(out, columns=["i", "median", "n", "values"]).sort_values("i")[["median", "n", "values"]]
+
+    each = rows.select("toxic", "fold", "text", strengths).repartition("fold", "strength").sortWithinPartitions("fold", "strength")  # so that a task opens few models
+    scored = each.select("toxic", "strength", by_others("text", "fold", "strength").alias("e")).select("toxic", "strength", "e.*").toPandas()
+    others.destroy()
+    k, scale = best_scale(scored)
+    return docs.sparkSession.sparkContext.broadcast(columns(FOLDS, k)), scale
 
 
 def toxicity_score(docs: DataFrame, labels: DataFrame, *, text_col: str = "text"):
     """A column with the score of each whole text of ``docs``; the models are fitted when this is called.
 
-    The broadcast models have a size bounded by FIT_ROWS, and scoring has no shuffle.
+    The broadcast models have a size bounded by FIT_BYTES, and scoring has no shuffle.
     """
     short_batches(docs)
-    shared, slope, base = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
-    return 1 / (1 + F.exp(-(F.log(evidence_of(F.col(text_col), shared) + LEAST_EVIDENCE) * slope + base)))
+    model, scale = fit(docs.select("doc_id", F.col(text_col).alias("text")), labels)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        value, n = np.zeros(len(texts)), np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            x = model.value.of_words(t)
+            value[i], n[i] = scale.value(x), len(x)
+        return pd.Series(scale.scores(value, n))
+
+    return score(F.col(text_col))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted (score >= TOXIC_AT) of every row of ``docs``.
 
-    The score is of the whole text and of nothing else.  Null, empty and wordless texts have evidence 0 and so the
-    lowest score; without a label of class 1 all scores are near 0, without one of class 0 near 1; repeated rows and
-    null ids stay.
+    The score is of the whole text and of nothing else.  Null, empty and wordless texts have score 0; without a label of
+    class 1 all scores are near 0, without one of class 0 near 1; repeated rows and null ids stay.
     """
     rows = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity_score(docs, labels).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= TOXIC_AT).cast("int"))
