@@ -27,20 +27,30 @@ def pieces(text: str) -> list[str]:
     return [text] if ODD.search(text) else PIECE.findall(text)
 
 
+def read_vocabulary(tokenizer_file: str) -> bytes:
+    with open(tokenizer_file, "rb") as f:
+        return f.read()
+
+
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 class Counter(dict):
     """Token counts of pieces.  Pieces that are not remembered are encoded in batches of about equal bytes."""
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, content: bytes | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        content = read_vocabulary(tokenizer_file) if content is None else content
         if tokenizer_file.endswith(".model"):
             import sentencepiece
 
-            model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file)
+            model = sentencepiece.SentencePieceProcessor(model_proto=content)
             self.whole, self.encode = True, lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(tokenizer_file)
+            t = Tokenizer.from_buffer(content)
             t.no_truncation()
             t.no_padding()
             # cutting into pieces is proven for byte-level pre-tokenizers without a prefix space and normaliser only
@@ -51,7 +61,7 @@ class Counter(dict):
         batch, size = [], 0
         for p in wanted:
             batch.append(p)
-            size += len(p)
+            size += n_bytes(p)
             if size >= BATCH_BYTES:
                 self.update(zip(batch, self.encode(batch)))
                 batch, size = [], 0
@@ -75,11 +85,13 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id"
     """``id_col``, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``) of every row.
 
     A null or empty text has 0 bytes and 0 tokens; repeated rows and null ids are kept, one row out for each row in;
-    other columns are ignored.  There is no shuffle: lengths leave the Arrow function, tokens and texts do not.
+    other columns are ignored.  There is no shuffle: lengths leave the Arrow function, tokens and texts do not.  The
+    driver reads the vocabulary file (a few MB) and sends it to the tasks.
     """
+    content = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_file)
+        counter = Counter(tokenizer_file, content.value)
         for b in sub_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counter.counts([t or "" for t in b.column(1).to_pylist()]), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
