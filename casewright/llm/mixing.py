@@ -63,13 +63,13 @@ def mixture(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     mix: slot, source_no, start, from_word, words: the stretch of the document at (source_no, start) that the slot takes.
     The order of slots is the order of the mix.
 
-    Each source's documents are shuffled by a hash of their id, laid end to end and cut into blocks of equal words.  The
+    Each source's documents are shuffled by a hash of their id and text, laid end to end and cut into blocks of equal words.  The
     n-th slot of a source takes its block n modulo the number of blocks, so each pass over a source ends before the next
     begins.  Null or wordless texts have size 0 and are never taken; a null source is a source of its own, the last by
     name; repeated rows and null ids are rows like others; an empty table gives empty results.
     """
-    seed = F.xxhash64(F.lit("mixing"), F.col("doc_id"))
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")).withColumn("mixed", seed).withColumn("stretch", F.shiftrightunsigned("mixed", 64 - (STRETCHES - 1).bit_length())), "sized")
+    seed = F.xxhash64(F.lit("mixing"), id_col, text_col)
+    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), seed.alias("mixed")).withColumn("stretch", F.shiftrightunsigned("mixed", 64 - (STRETCHES - 1).bit_length())), "sized")
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     block = max(1.0, total / (1 << BLOCK_BITS))
