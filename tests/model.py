@@ -50,3 +50,16 @@ def section(lines: list[str], words: str = "step|result") -> tuple[str, str, str
             {"d": told, "p": needs}.get(state, []).append(line)
     kept = ["\n".join(r) for s, r in tables if s == "b" or any(re.search(words, c.lower()) for c in r[0].split("|"))]
     return "\n".join(told), "\n".join(needs), "\n\n".join(kept)
+
+
+def pages(blocks: list[tuple]) -> str:
+    """The text of a document's blocks (page, top, left, number, text or rows of cells)."""
+    out: dict[int, list[str]] = {}
+    for page, _, _, _, what in sorted(blocks, key=lambda b: (b[0], round(b[1], 2), round(b[2], 2), b[3])):
+        if isinstance(what, list):
+            text = "\n".join(" | ".join((c or "").replace("\n", " ").strip() for c in row) for row in what) + "\n"
+        else:
+            text = what.strip()
+        if text.strip():
+            out.setdefault(page, []).append(text)
+    return "\n\n".join("\n".join(out[p]) for p in sorted(out)).strip()

@@ -1,7 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
+import model
 from casewright.functions import schemas
 from casewright.sources import files, pages, sinks, word
 from casewright.streaming import events
@@ -133,3 +135,18 @@ def test_texts_that_were_extracted_before(spark, tmp_path):
     (tmp_path / "b.txt").write_text("one line")
     got = {r.path.rsplit("/", 1)[1]: r.doc_text for r in files.read_texts(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": "# A\nb é\n", "b.txt": "one line"}
+
+
+def test_pages_equal_the_model(spark):
+    rnd = random.Random(7)
+    rows, expected = [], {}
+    for doc in range(40):
+        blocks = []
+        for n in range(rnd.randint(1, 12)):
+            what = [[rnd.choice(["a", " b ", None, "c\nd"]) for _ in range(2)] for _ in range(rnd.randint(1, 2))] if rnd.random() < 0.3 else rnd.choice(["word", " two words ", "  ", "\n", "x\ny"])
+            blocks.append((rnd.randint(0, 2), rnd.choice([0.0, 1.004, 1.001, 7.5]), rnd.choice([0.0, 2.5]), n, what))
+        expected[doc] = model.pages(blocks)
+        rows += [(doc, p, t, x, n, "table" if isinstance(w, list) else "text", None if isinstance(w, list) else w, w if isinstance(w, list) else None) for p, t, x, n, w in blocks]
+    df = spark.createDataFrame(rows, "doc_id long, page int, top double, left double, block_no int, kind string, text string, cells array<array<string>>")
+    got = {r.doc_id: r.doc_text for r in pages.page_documents(df).collect()}
+    assert got == {d: t for d, t in expected.items() if t}
