@@ -21,14 +21,16 @@ BLOCK = frozenset(
 )
 CLOSES_P = BLOCK - frozenset("html body caption option optgroup legend tbody td tfoot th thead tr".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-UNREAD_TAGS = frozenset("head script style noscript template iframe object svg canvas select audio video map datalist annotation annotation-xml".split())
+UNREAD_TAGS = frozenset("head script style noscript template iframe svg canvas audio video datalist annotation annotation-xml".split())
 FURNITURE_TAGS = frozenset("nav footer aside dialog menu".split())
-CONTROLS = frozenset(("button", "textarea"))  # text of an article, furniture elsewhere
+CONTROLS = frozenset(("button", "textarea", "select"))  # text of an article, furniture elsewhere
 FURNITURE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus "
-    "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion related replies responses share "
-    "sharing sidebar skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion replies responses sidebar sponsor "
+    "sponsored subscribe".split()
 )
+#: These name furniture but for an element of an article that holds paragraphs and few links.
+LINK_WORDS = frozenset("related share sharing skip social toolbar topbar widget".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 #: Words of a class that say that something is absent or elsewhere, or a state; and words behind the one that names the thing.
 STATES = frozenset("no not non without with has have is hide hides hidden show shows disable disabled enable enabled".split())
@@ -39,16 +41,21 @@ PLACES = frozenset(
 CONTENT = frozenset(("article", "main", "h1"))
 MARKED = frozenset(("article", "main"))
 WORDS = re.compile(r"[a-z]+")
+COMMENT_END = re.compile("--!?>")
+#: What an element's names say: nothing, that it may be furniture (see LINK_WORDS), or that it is.
+PLAIN, LINKS, FURNITURE = 0, 1, 2
+#: Share of linked characters from which an element named by LINK_WORDS is furniture.
+LINKED = 1 / 3
 
 
-def names_furniture(token: str) -> bool:
-    """Whether a class or id as a whole names furniture: its last word but for PLACES, unless it has one of STATES."""
+def names_furniture(token: str) -> int:
+    """What a class or id as a whole names: by its last word but for PLACES, and nothing if it has one of STATES."""
     words = [w for w in WORDS.findall(token) if len(w) > 1]
     if not STATES.isdisjoint(words):
-        return False
+        return PLAIN
     while len(words) > 1 and words[-1] in PLACES and words[-1] not in FURNITURE_WORDS:
         words.pop()
-    return bool(words) and words[-1] in FURNITURE_WORDS
+    return PLAIN if not words else FURNITURE if words[-1] in FURNITURE_WORDS else LINKS if words[-1] in LINK_WORDS else PLAIN
 
 
 class Tree(HTMLParser):
@@ -56,7 +63,7 @@ class Tree(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.noise = ["#root"], [-1], [False]
+        self.tag, self.parent, self.noise = ["#root"], [-1], [PLAIN]
         self.texts: list[tuple[int, str | None]] = []
         self.open, self.held = [0], {"#root": 1}
         self.feed(html)
@@ -91,7 +98,7 @@ class Tree(HTMLParser):
             self.shut_tag(SAME[tag], ("ul", "ol", "dl", "select", "table", "menu"))
         self.tag.append(tag)
         self.parent.append(self.open[-1])
-        self.noise.append(bool(attrs) and self.named_noise(tag, dict(attrs)))
+        self.noise.append(self.named_noise(tag, dict(attrs)) if attrs else PLAIN)
         if tag in BLOCK:
             self.texts.append((len(self.tag) - 1, None))
         if tag not in VOID:
@@ -104,18 +111,40 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in ("html", "body"):
+        if tag == "p" and not self.held.get("p"):  # an empty paragraph
+            self.texts.append((self.open[-1], None))
+        elif tag not in ("html", "body"):
             self.shut_tag((tag,), () if tag in BLOCK else tuple(BLOCK))
 
     def handle_data(self, data: str) -> None:
         self.texts.append((self.open[-1], data))
 
+    # Whatever is malformed reaches as far as browsers take it: to the next >, a comment to its end, all to the end of the page.
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        end = COMMENT_END.search(self.rawdata, i + 2)
+        return end.end() if end else len(self.rawdata)
+
+    def parse_bogus_comment(self, i: int, report: int = 1) -> int:
+        return self.rawdata.find(">", i + 2) + 1 or len(self.rawdata)
+
+    parse_html_declaration = parse_pi = parse_bogus_comment
+
+    def parse_starttag(self, i: int) -> int:
+        end = super().parse_starttag(i)
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i)
+        return end if end >= 0 or self.cdata_elem else len(self.rawdata)
+
     @staticmethod
-    def named_noise(tag: str, attrs: dict[str, str | None]) -> bool:
+    def named_noise(tag: str, attrs: dict[str, str | None]) -> int:
         if tag in ("html", "body", "main"):
-            return False
-        named = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
-        return any(map(names_furniture, named)) or (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+            return PLAIN
+        if (attrs.get("role") or "").lower() in FURNITURE_ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+            return FURNITURE
+        return max(map(names_furniture, f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()), default=PLAIN)
 
 
 def density(c: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
@@ -186,11 +215,27 @@ def most_of_text(tree: Tree, marks: list[int]) -> list[bool]:
     return [2 * chars[i] > chars[0] and marks[i] == marks[0] for i in range(n)]
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: its blocks in page order, joined by line feeds; empty if there is none."""
-    if not html:
-        return ""
-    tree = Tree(html)
+def paragraphs(tree: Tree) -> list[bool]:
+    """Whether an element holds a paragraph, and less than LINKED of its characters are in links."""
+    n = len(tree.tag)
+    chars, links, linked, holds = [0] * n, [0] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
+    for i, t in tree.texts:
+        if t:
+            size = len(" ".join(t.split()))
+            chars[i] += size
+            links[i] += size * linked[i]
+    for i in range(n - 1, 0, -1):
+        p = tree.parent[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        holds[p] = holds[p] or holds[i] or tree.tag[i] == "p" and chars[i] > 0
+    return [holds[i] and links[i] < LINKED * chars[i] for i in range(n)]
+
+
+def dropped(tree: Tree) -> list[bool]:
+    """Which elements are furniture or hold no text to read, with all that is below them."""
     n = len(tree.tag)
     holds, inside, marks = [False] * n, [False] * n, [0] * n
     for i in range(n - 1, 0, -1):
@@ -199,31 +244,84 @@ def main_text(html: str | None) -> str:
         if tree.tag[i] in CONTENT or holds[i]:
             holds[tree.parent[i]] = True
     most = most_of_text(tree, marks) if any(tree.noise[i] or tree.tag[i] == "form" for i in range(1, n)) else [False] * n
+    prose = paragraphs(tree) if LINKS in tree.noise else []
     drop, within = [False] * n, [False] * n  # within: in a named wrapper or an article
     for i in range(1, n):
         p, tag = tree.parent[i], tree.tag[i]
         inside[i] = inside[p] or tag in MARKED
-        within[i] = within[p] or tree.noise[i] or tag == "article"
+        within[i] = within[p] or tree.noise[i] != PLAIN or tag == "article"
         kept = holds[i] or most[i] or tag == "article" and not within[p]
-        named = tag in UNREAD_TAGS or tag in FURNITURE_TAGS or tag in CONTROLS and not inside[p] or (tree.noise[i] or tag == "form") and not kept
+        noise = tree.noise[i] == FURNITURE or tree.noise[i] == LINKS and not (inside[p] and prose[i])
+        named = tag in UNREAD_TAGS or tag in FURNITURE_TAGS or tag in CONTROLS and not inside[p] or (noise or tag == "form") and not kept
         drop[i] = drop[p] or named or tag == "header" and not inside[p]
+    return drop
+
+
+def marked_below(tree: Tree, drop: list[bool], total: list[float], best: int) -> int:
+    """The article or main of the greatest sum below the subtree, if such hold over half of its characters; else the subtree."""
+    n = len(tree.tag)
+    inside, marked = [False] * n, [0] * n
+    inside[best] = True
+    for i in range(best + 1, n):
+        p = tree.parent[i]
+        inside[i] = inside[p]
+        marked[i] = marked[p] or (i if inside[i] and tree.tag[i] in MARKED and not drop[i] else 0)
+    if not any(marked):
+        return best
+    all_chars = marked_chars = 0
+    for i, t in tree.texts:
+        if t and inside[i] and not drop[i]:
+            size = len(" ".join(t.split()))
+            all_chars += size
+            marked_chars += size * bool(marked[i])
+    return max({m for m in marked if m}, key=lambda i: (total[i], -i)) if 2 * marked_chars > all_chars else best
+
+
+def headline(tree: Tree, drop: list[bool], linked: list[bool], best: int) -> int | None:
+    """The last h1 before the subtree that holds none itself; what is a link is the name of the site."""
+    own, links = [False] * len(tree.tag), {tree.parent[i] for i, t in enumerate(tree.tag) if t == "a"}
+    own[best] = True
+    last = None
+    for i in range(1, len(tree.tag)):
+        own[i] = own[i] or own[tree.parent[i]]
+        if tree.tag[i] == "h1" and not drop[i]:
+            if own[i]:
+                return None
+            if i < best and not linked[i] and i not in links:
+                last = i
+    return last
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page: its blocks in page order, an empty line between them; empty if there is none."""
+    if not html:
+        return ""
+    tree = Tree(html)
+    n = len(tree.tag)
+    drop = dropped(tree)
     own, total, linked, share = densities(tree, drop)
     body = next((i for i in range(1, n) if tree.tag[i] == "body"), 0)
     best = max((i for i in range(n) if not drop[i]), key=lambda i: (total[i], -i))
     if not total[best]:
         best = body
+    best = marked_below(tree, drop, total, best)
     path, threshold, i = [best], own[best], best
     while i not in (body, 0):
         i = tree.parent[i]
         path.append(i)
         threshold = min(threshold, own[i])
-    best = next((i for i in reversed(path) if tree.tag[i] in ("article", "main")), best)  # a marked article is taken whole
+    best = next((i for i in reversed(path) if tree.tag[i] in MARKED), best)  # a marked article around it is taken whole
     above = set(path[path.index(best) + 1 :])
+    title, headed = headline(tree, drop, linked, best), [False] * n
+    for i in range(n - 1, 0, -1):
+        headed[i] = headed[i] or tree.tag[i] == "h1"
+        headed[tree.parent[i]] = headed[tree.parent[i]] or headed[i]
+    sure = headed[best] or tree.tag[best] in MARKED  # then what has a headline beside it is no part of it, but may be an article
     taken = [False] * n
     for i in range(n):
         p = tree.parent[i]
-        beside = p in above and i not in above and own[i] >= threshold > 0 and total[i] >= threshold
-        taken[i] = not drop[i] and (i == best or p >= 0 and taken[p] or beside or tree.tag[i] == "h1")
+        beside = p in above and i not in above and own[i] >= threshold > 0 and total[i] >= threshold and not (headed[i] and sure and tree.tag[i] not in MARKED)
+        taken[i] = not drop[i] and (i == best or p >= 0 and taken[p] or beside or i == title)
     blocks, now, direct = [], [], False
     for i, t in [*tree.texts, (0, None)]:
         if t is None:
@@ -233,7 +331,7 @@ def main_text(html: str | None) -> str:
         elif not drop[i]:
             now.append((i, t))
             direct = direct or i in above and not t.isspace()
-    return "\n".join(b for b in blocks if b)
+    return "\n\n".join(b for b in blocks if b)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

@@ -101,11 +101,11 @@ def test_threshold_stops_early_and_right():
     ("html", "expected"),
     [
         (None, ""), ("", ""), ("<p>", ""), ("<html><body></body></html>", ""), ("plain &amp; text", "plain & text"),
-        ("<nav><a href=x>menu</a></nav><article><h1>T</h1><p>a&nbsp; b<br>c<p>d</article><footer>f</footer>", "T\na b c\nd"),
+        ("<nav><a href=x>menu</a></nav><article><h1>T</h1><p>a&nbsp; b<br>c<p>d</article><footer>f</footer>", "T\n\na b c\n\nd"),
         ("<script>var t='<p>x</p>'</script><style>p{}</style><!-- c --><p>one &lt;two&gt;</p><noscript>n</noscript>", "one <two>"),
-        ("<article><header><h1>H</h1></header><p>Body</p><aside>no</aside><div class='comments'><p>c</p></div></article><div class='cookie-notice'>n</div>", "H\nBody"),
+        ("<article><header><h1>H</h1></header><p>Body</p><aside>no</aside><div class='comments'><p>c</p></div></article><div class='cookie-notice'>n</div>", "H\n\nBody"),
         ("<div id=sidebar><p>side</p></div><main><p>text</p><form><p>fill</p></form></main>", "text"),
-        ("<article><p><b>unclosed<br><p>next</p></article>", "unclosed\nnext"),
+        ("<article><p><b>unclosed<br><p>next</p></article>", "unclosed\n\nnext"),
     ],
 )
 def test_main_text(html, expected):
@@ -115,14 +115,14 @@ def test_main_text(html, expected):
 @pytest.mark.parametrize(
     ("html", "expected"),
     [
-        ("<body><form id=aspnetForm><div><p>one text</p><p>two</p></div></form></body>", "one text\ntwo"),
+        ("<body><form id=aspnetForm><div><p>one text</p><p>two</p></div></form></body>", "one text\n\ntwo"),
         ("<body><form><nav><a href=x>menu</a></nav><article><p>text</p></article></form></body>", "text"),
         ("<article class='post has-comments'><p>text</p></article>", "text"), ("<article class='sponsor'><p>text</p></article>", "text"),
-        *((f"<main><p>more</p><div class='{c}'><p>two</p></div></main>", "more\ntwo") for c in ("no-sidebar", "with-navigation", "social-policy")),
+        *((f"<main><p>more</p><div class='{c}'><p>two</p></div></main>", "more\n\ntwo") for c in ("no-sidebar", "with-navigation", "social-policy")),
         ("<body><div class='sidebar'><p>all the text that there is</p></div></body>", "all the text that there is"),
         ("<main><p>text</p><div class='left-sidebar'><p>s</p></div><div id='comment-list'><p>c</p></div><div class='site-footer'>f</div></main>", "text"),
         ("<main><p>text</p></main><div id='comments'><article class='comment-body'><p>c</p></article></div>", "text"),
-        ("<article><p>so <math><mi>x</mi><annotation>tex</annotation></math></p><h2><button>Part</button></h2><textarea>code</textarea></article><button>Buy</button>", "so x\nPart\ncode"),
+        ("<article><p>so <math><mi>x</mi><annotation>tex</annotation></math></p><h2><button>Part</button></h2><textarea>code</textarea></article><button>Buy</button>", "so x\n\nPart\n\ncode"),
     ],
 )
 def test_wrappers_that_hold_the_text(html, expected):
@@ -132,12 +132,94 @@ def test_wrappers_that_hold_the_text(html, expected):
 def test_dense_neighbours_of_the_best_subtree():
     long = lambda c, n: f"{c * 5} " * (n // 6)
     section = "<div>" + "".join(f"<p>{long('s', 500)}</p>" for _ in range(5)) + "</div>"
-    got = main_text(f"<body><div><p>{long('a', 700)}</p>{section}<pre>{long('b', 700)}</pre><p>tiny</p></div></body>").split("\n")
+    got = main_text(f"<body><div><p>{long('a', 700)}</p>{section}<pre>{long('b', 700)}</pre><p>tiny</p></div></body>").split("\n\n")
     assert [g[0] for g in got] == ["a", *"sssss", "b"]
-    got = main_text(f"<body>{long('c', 350)}<i>{long('i', 40)}</i>{long('d', 350)}<div>{section}tiny<a href=x>link</a></div>{long('e', 700)}</body>").split("\n")
+    got = main_text(f"<body>{long('c', 350)}<i>{long('i', 40)}</i>{long('d', 350)}<div>{section}tiny<a href=x>link</a></div>{long('e', 700)}</body>").split("\n\n")
     assert [g[0] for g in got] == ["c", *"sssss", "e"] and "iiiii" in got[0] and "ddddd" in got[0]
 
 
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<p>a</p><![foo[x]]>", "a"), ("<![ <p>q", "q"), ("<p>a</p><!--unclosed <p>b", "a"), ("<!--><p>a</p>", "a"), ("<p>a<!x>b</p></ >", "ab"), ("<p>a</p><?pi <p>b?></p>c", "a\n\nb?>\n\nc"), ("<p>a</p><div class=\"x", "a"), ("a</div", "a"),
+        *((f"<article><p>one</p><div class='{c}'><p>a paragraph of its text</p></div></article>", "one\n\na paragraph of its text") for c in ("notice-period", "social-history", "share", "menu-of-the-day")),
+        ("<article><p>one</p><div class='share'>on <a href=x>this site</a> and <a href=y>that site</a></div></article>", "one"),
+        *((f"<article><p>one</p><{t}><p>two</p></{t}></article>", "one\n\ntwo") for t in ("object", "map")),
+        ("<article><p>one <select><option>two</option></select></p></article><select><option>x</option></select>", "one\n\ntwo"),
+        ("<div><h1>Site</h1></div><article><h1>T</h1><p>text</p></article>", "T\n\ntext"), ("<div><h1><a href=/>Site</a></h1></div><h1>T</h1><article><p>the text of it</p></article>", "T\n\nthe text of it"),
+    ],
+)
+def test_broken_markup_and_wrongly_named_text(html, expected):
+    assert main_text(html) == expected
+
+
+PARTS = ["<p>", "</p>", "<div class='ad'>", "</div>", "<![CDATA[", "]]>", "<!--", "-->", "<!", "<?", "</", "<", ">", "<a href=\"", "\"", "'", "&amp;", "&#x;", "&#1114112;", "<script>", "</script>", "<table><td>", "<article>", "</article>", "text ", "\x00", "<svg/>", "<![if x", "<br>", "<h1>", "="]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=40))
+def test_no_page_stops_the_job(parts):
+    got = main_text("".join(parts))
+    assert isinstance(got, str) and all(b and b == " ".join(b.split()) for b in got.split("\n\n") if got)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_densities_equal_brute_force(seed):
+    """Random trees, counted by recursion over nested lists, and the subtree of the greatest sum by comparing all."""
+    import math
+
+    from casewright.llm.html_text import Tree, densities
+
+    rnd = random.Random(seed)
+
+    def make(depth):
+        tag = rnd.choice(["div", "section", "p", "a", "b"] if depth else ["b", "i", "a"])
+        inside = [make(depth - 1) if depth and rnd.random() < 0.6 else "w" * rnd.randint(1, 40) for _ in range(rnd.randint(1, 5))]
+        return (tag if tag != "p" or all(isinstance(x, str) for x in inside) else "div", inside)
+
+    html = lambda x: x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(html, x[1])) + f"</{x[0]}>"
+    page = ("body", [("div", [make(3) for _ in range(4)]), ("div", [make(2)])])
+
+    def count(x, linked=False):
+        """chars, tags below, linked chars, links below"""
+        out = [0, 0, 0, 0]
+        for y in x[1]:
+            here = linked or x[0] == "a"
+            got = (len(y), 0, len(y) * here, 0) if isinstance(y, str) else count(y, here)
+            out = [a + b for a, b in zip(out, got)]
+            if not isinstance(y, str):
+                out[1] += 1
+                out[3] += y[0] == "a"
+        return out
+
+    c, _, lc, _ = count(page)
+    share, expected = lc / c, []
+
+    def visit(x, linked=False):
+        """own densities and sums of children, in page order"""
+        n, t, links, tags = count(x, linked)
+        below = linked or x[0] == "a"
+        own = n / max(t, 1) * math.log(max(n / max(links, 1) * max(t, 1) / max(tags, 1), 1)) / max(math.log(math.log(n / max(n - links, 1) * links + share * n + math.e)), 0.1)
+        at = len(expected)
+        expected.append(None)
+        children = [visit(y, below) for y in x[1] if not isinstance(y, str)]
+        expected[at] = (own, sum(children) if children else own)
+        return own
+
+    tree = Tree(html(page))
+    if [t for t in tree.tag[1:]] != [t for t in __import__("re").findall(r"<(\w+)>", html(page))]:
+        pytest.skip("the parser closes elements of this tree")
+    visit(page)
+    own, total, _, got_share = densities(tree, [False] * len(tree.tag))
+    assert got_share == pytest.approx(share)
+    assert own[1:] == pytest.approx([e[0] for e in expected]) and total[1:] == pytest.approx([e[1] for e in expected])
+
+
+def test_very_long_page():
+    many = "".join(f"<p>{'word ' * 20}{i}</p>" for i in range(20_000))
+    assert main_text(f"<nav><a href=x>m</a></nav><div>{many}</div><footer>f</footer>").count("\n\n") == 19_999
+
+
 def test_pages_of_the_tables_shape(spark):
     rnd = random.Random(2)
     rows, expected = [], {}
@@ -147,7 +229,7 @@ def test_pages_of_the_tables_shape(spark):
         links = "".join(f'<li><a href="/{n}">{words(1)}</a></li>' for n in range(6))
         head = f'<html><head><title>{words(5)}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul>{links}</ul></nav><div class="ad">{words(9)}</div>'
         rows.append((i, f"http://h{i}", head + f"<article><h1>{paragraphs[0]}</h1>" + "".join(f"<p>\n {p}\n</p>" for p in paragraphs[1:]) + f"</article><footer>{words(8)}</footer>" + ("</body></html>" if i % 2 else "")))
-        expected[i] = "\n".join(paragraphs).replace("&amp;", "&")
+        expected[i] = "\n\n".join(paragraphs).replace("&amp;", "&")
     rows += [(None, None, None), (99, "u", "<div>" * 2000 + "deep")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: r for r in extract_text(df).collect()}
@@ -308,3 +390,87 @@ def test_wrapped_embedded_and_complete_licences(spark):
         assert (got[i].licence, got[i].line) == (licence, line), kind
         assert got[i].is_licence_file == (kind.startswith(("file", "MIT with"))), kind
     assert all(got[1000 + i].licence is None for i in range(60))
+
+
+def test_cosines_and_inheritance_equal_brute_force(spark):
+    import math
+    from collections import Counter
+
+    from casewright.llm.licences import LICENCE_NAME, SIMILAR, TEMPLATES, terms_of
+
+    import re
+
+    rnd = random.Random(8)
+    wordings = [(name, w) for name, ws in TEMPLATES.items() for w in ws]
+    rows = []
+    for i in range(160):
+        name, w = rnd.choice(wordings)
+        own = w.split()
+        for _ in range(rnd.randint(0, 3)):
+            own[rnd.randrange(len(own))] = rnd.choice(["other", "words", "here"])
+        text = " ".join(own) if rnd.random() < 0.5 else " ".join(rnd.choice(["plain", "prose", "the", "of", "license"]) for _ in range(rnd.randint(0, 30)))
+        parts = [rnd.choice("ab") for _ in range(rnd.randint(0, 3))] + [rnd.choice(["LICENSE", "copying.txt", f"f{i}.py"])]
+        rows.append((i, text, "/".join(parts)))
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string, place string"), F.col("place")).collect()}
+    having = Counter(t for _, text, _ in rows for t in set(terms_of(text)))
+    known = {t for _, w in wordings for t in terms_of(w)}
+    idf = lambda t: math.log((len(rows) + 1) / (having[t] + 1)) + 1
+
+    def unit(terms):
+        v = {t: (1 + math.log(n)) * (idf(t) if t in known or t in vocabulary_ else math.log(len(rows) + 1) + 1) for t, n in Counter(terms).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    from casewright.llm.licences import vocabulary
+
+    vocabulary_ = set(vocabulary())
+    whole = {}
+    for i, text, _ in rows:
+        v = unit(terms_of(text)) if terms_of(text) else {}
+        whole[i] = max((sum(x * v.get(t, 0) for t, x in unit(terms_of(w)).items()) for _, w in wordings), default=0)
+        if whole[i] >= SIMILAR:
+            assert got[i].licence is not None and got[i].cosine >= whole[i] - 1e-9
+    # each row's own licence is what was found; who licenses a directory, and who inherits, follows from paths alone
+    files = {}
+    for i, _, path in rows:
+        r, folder = got[i], path.rpartition("/")[0]
+        own = r.licence is not None and r.inherited_from is None
+        assert r.is_licence_file == (own and (whole[i] >= SIMILAR or re.match(LICENCE_NAME, path.rpartition("/")[2]) is not None))
+        if r.is_licence_file:
+            files.setdefault(folder, []).append((-r.cosine, path, r.licence))
+    inherited = 0
+    for i, _, path in rows:
+        r = got[i]
+        if r.licence is not None and r.inherited_from is None:
+            continue
+        parts = path.split("/")[:-1]
+        above = next(("/".join(parts[:n]) for n in range(len(parts), -1, -1) if "/".join(parts[:n]) in files), None)
+        assert r.inherited_from == above and r.licence == (min(files[above])[2] if above is not None else None)
+        inherited += above is not None
+    assert inherited > 10
+
+
+def test_very_long_texts_of_every_kind(spark):
+    long = "word " * 300_000
+    rows = [(1, long + "\nReleased under the MIT License.", "a/b"), (2, "short", "a/c")]
+    got = {r.doc_id: r.licence for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string, place string"), F.col("place")).collect()}
+    assert got == {1: "MIT", 2: None}
+    mixed = mixing.mixed_words(spark.createDataFrame([(1, long, "s"), (2, "a b", "s"), (3, "c", "t")], "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.size for r in mixed} == {1: 300_000, 2: 2, 3: 1} and all(r.taken <= 3 * r.size for r in mixed)
+    said = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    r = chat.chat_digests(said).first()
+    assert r.loss_chars == len(long) and r.n_turns == 2
+
+
+def test_topk_with_a_first_block(spark, monkeypatch):
+    import casewright.llm.topk as t
+
+    monkeypatch.setattr(t, "BLOCK", 100)
+    monkeypatch.setattr(t, "FIRST", 90)
+    rnd = random.Random(4)
+    rows = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)]) for i in range(700)]  # with many ties
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, df.where("vec_id % 100 = 0")).collect())
+    assert got == brute_topk(rows, 10)
+    few = df.limit(3)
+    assert len(top_k(few, few.where("vec_id = 0")).collect()) == 2
