@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,17 +98,77 @@ def test_held_out_labels_do_not_matter(spark):
     assert scores(truth) == scores(other)
 
 
-def test_models_add_up():
+def plain_kneser_ney(words):
+    """Probabilities of a sequence's last letter in each class, by the formulas, from lists of (sequence, count) alone."""
+    own = [[], []]
+    for c in (0, 1):
+        for w, n in words[c].items():
+            own[c] += [(g, n) for g in toxicity.grams_of(w)]
+    sequences = {g for o in own for g, _ in o}
+    letters = len({g[-1] for g in sequences}) + 1
+
+    def shared(g):
+        if not g:
+            return 1 / letters
+        count = lambda x: sum(n for o in own for y, n in o if y == x) + len({y for y in every if len(y) == len(x) + 1 and y[1:] == x})
+        after = {x for x in every if x[:-1] == g[:-1] and len(x) == len(g)}
+        total = sum(map(count, after))
+        return (max(count(g) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(after) * shared(g[1:])) / total
+
+    every = {g[i:] for g in sequences for i in range(len(g))}
+
+    def of_class(c, g):
+        met = {}
+        for x, n in own[c]:
+            if x[:-1] == g[:-1]:
+                met[x] = met.get(x, 0) + n
+        return (max(met.get(g, 0) - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * len(met) + STRENGTH) * shared(g)) / (sum(met.values()) + STRENGTH)
+
+    return sequences, of_class, shared
+
+
+STRENGTH = 50.0
+
+
+def test_models_equal_plain_kneser_ney():
+    import math
+
+    words = [{"aa": 2, "ab": 1, "bab": 4}, {"ab": 3, "grim": 40}]
+    ratio, new = toxicity.KneserNey(words).ratios(STRENGTH)
+    sequences, of_class, shared = plain_kneser_ney(words)
+    assert set(ratio) == sequences and set(new) == {g[:-1] for g in sequences}
+    for g in sequences:
+        assert ratio[g] == pytest.approx(math.log(of_class(1, g) / of_class(0, g)))
+    for h in {g[:-1] for g in sequences}:  # probabilities of what was met after a context and what is left for the rest
+        met = {g for g in sequences if g[:-1] == h}
+        for c in (0, 1):
+            assert sum(of_class(c, g) for g in met) <= 1 + 1e-9
+        assert sum(shared(g) for g in met) <= 1 + 1e-9
+    assert toxicity.KneserNey([{}, {}]).ratios(STRENGTH) == ({}, {})
+
+
+def test_evidence_of_texts():
     import pickle
 
+    import numpy as np
     import pyarrow as pa
 
-    m = toxicity.KneserNey([{"aa": 2, "ab": 1}, {"ab": 3, "grimble": 40}])
-    assert all(abs(x) < 50 for x in m.ratio.values()) and m.new
-    columns = pa.table({"gram": [*m.ratio, *m.new], "new": [False] * len(m.ratio) + [True] * len(m.new), "ratio": [*m.ratio.values(), *m.new.values()]})
+    ratio, new = toxicity.KneserNey([{"aa": 2, "ab": 1}, {"ab": 3, "grimble": 40}]).ratios(STRENGTH)
+    columns = pa.table({"gram": [*ratio, *new], "new": [False] * len(ratio) + [True] * len(new), "ratio": [*ratio.values(), *new.values()]})
     e = pickle.loads(pickle.dumps(toxicity.Evidence(columns)))
-    assert e.ratio == m.ratio and e.new == m.new and e.word_evidence("zz") >= 0 and e.evidence(None) == e.evidence("") == 0
-    assert toxicity.KneserNey([{}, {}]).ratio == {}
+    assert len(e.of_words(None)) == len(e.of_words("")) == 0 and e.ratio == ratio and e.new == new
+    each = [e.of_word(w) for w in ("aa", "grimble", "ab")]
+    assert each[1] > max(each[0], each[2]) and e.of_words("Aa grimble, AB").tolist() == pytest.approx(each)
+    assert toxicity.beyond(np.array([5.0, 1.0, -4.0, 0.0]), 0.5, 2.0) == pytest.approx((2.5 - 2.5) / 4) and toxicity.beyond(np.empty(0), 0, 1) == 0
+    # a shift of all words is cancelled within what ordinary texts have, and no further
+    rng = np.random.default_rng(1)
+    shift, toxic, n = rng.normal(0, 1, 400), np.repeat([0.0, 1.0], 200), np.full(400, 100.0)
+    value = rng.normal(0, 0.05, 400) + 0.5 * toxic
+    k, scale = toxicity.best_scale(pd.DataFrame({"toxic": [*toxic, *toxic], "strength": [0] * 400 + [1] * 400, "median": [*shift, *shift], "n": [*n, *n], "values": [*([v] * 5 for v in rng.normal(0, 1, 400)), *([rng.normal()] * 2 + [v] + [rng.normal()] * 2 for v in value)]}))
+    assert (k, scale.margin) == (1, toxicity.MARGINS[2]) and ((scale.scores(value, n) >= 0.7) == (toxic == 1)).mean() > 0.95
+    text = np.array([s := float(shift[0]), s, s, s + 9.0])
+    assert scale.value(text) == pytest.approx((9 - scale.margin) / 4) and scale.value(np.full(4, 30.0)) > 20 and scale.value(np.empty(0)) == 0
+    assert scale.scores(np.array([0.0]), np.array([0.0]))[0] == 0
 
 
 # --- the pipeline
@@ -172,3 +233,51 @@ def test_one_row_of_each_group_stays(spark):
     got = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert got.columns == ["doc_id", "text"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a), (1, b), (5, c), (None, d), (7, e)], key=str)
+
+
+def test_fusion_equals_brute_force(spark):
+    """Priors, signals and posteriors counted in Python from the text likelihoods."""
+    import numpy as np
+
+    rnd = random.Random(9)
+    rows = [(*r, rnd.choice([None, "en", "de"]), f"{r[3]}.{rnd.choice('ab')}") for r in corpus(rnd, 90)]
+    rows = [(i, " ".join(t.split()[: rnd.choice([1, 2, 80])]), lang if rnd.random() < 0.8 else None, host, suffix, domain) for i, t, lang, host, suffix, domain in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string, suffix string, domain string")
+    found = {r.doc_id: r for r in identify(df, declared=F.col("lang"), host=F.col("host"), domain=F.col("domain"), suffix=F.col("suffix")).collect()}
+    names, model = language.fit_text_model(df.selectExpr("doc_id AS id", "text", "lang AS declared"))
+    like = {r[0]: x for r in rows if (x := language.log_likelihood(r[1], model)) is not None}
+    best = {i: int(np.argmax(x)) for i, x in like.items()}
+    k = len(names)
+
+    def count(key, value):
+        out = np.zeros(k)
+        for r in rows:
+            if r[0] in best and best[r[0]] < k and (key is None or r[key] == value):
+                out[best[r[0]]] += 1
+        return out
+
+    whole = count(None, None)
+    spread = (whole + 1) / (whole.sum() + k)
+    mix = lambda own, wider, strength: (own + wider * strength) / (own.sum() + strength)
+    for r in rows:
+        i, host, domain = r[0], r[3], r[5]
+        if i not in like:
+            continue
+        domains = sorted({x[5] for x in rows if x[3] == host and x[0] in best and best[x[0]] < k})
+        prior = mix(count(3, host), mix(count(5, domains[0]), spread, language.DOMAIN_STRENGTH) if domains else spread, language.HOST_STRENGTH) if count(3, host).sum() else mix(count(5, domain), spread, language.DOMAIN_STRENGTH) if count(5, domain).sum() else spread
+        post = like[i] + np.append(np.log(prior * (1 - language.NONE_PRIOR)), np.log(language.NONE_PRIOR))
+        for key in (2, 4):
+            own = count(key, r[key])
+            if r[key] is not None and own.sum():
+                says = (own + language.SIGNAL_STRENGTH * (own.sum() + 1) / (whole.sum() + 1)) / (whole + language.SIGNAL_STRENGTH)
+                post = post + np.append(np.log(says), np.log(says @ spread))
+        q = np.exp(post - post.max()) / np.exp(post - post.max()).sum()
+        assert found[i].probability == pytest.approx(q.max(), abs=1e-5)
+        assert found[i].lang_id == [*names, "und"][int(q.argmax())]
+
+
+def test_equally_likely_languages(spark):
+    rows = [(i, "abc abd", lang, None) for i, lang in enumerate(["xx", "yy"] * 20)]
+    rows += [(100, "abc abd", None, None)]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), declared=F.col("lang"), host=F.col("source")).collect()}
+    assert got[100].text_lang == "xx" and got[100].lang_id == "xx"
