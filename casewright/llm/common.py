@@ -18,7 +18,7 @@ BROADCAST_ROWS = 50_000
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
 #: Words whose hashes a task remembers; the memory is emptied when it is full.
-WORD_CACHE = 1 << 18
+WORD_CACHE = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

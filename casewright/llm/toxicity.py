@@ -34,7 +34,7 @@ TOXIC_AT = 0.7
 #: Characters at which a longer run of letters and digits is cut.
 LONGEST_WORD = 40
 WORD = re.compile(r"[^\W_]{1,%d}" % LONGEST_WORD)
-WORD_MEMORY = 1 << 18
+WORD_MEMORY = 1 << 17
 START, END = "\x02", "\x03"
 
 
@@ -123,8 +123,9 @@ class Evidence:
     def open(self) -> None:
         """Make the dictionaries, where they are used."""
         self.ratio, self.new, self.memory = {}, {}, WordEvidence(self)
-        for gram, new, ratio in zip(*(self.columns.column(c).to_pylist() for c in ("gram", "new", "ratio"))):
-            (self.new if new else self.ratio)[gram] = ratio
+        for b in self.columns.select(["gram", "new", "ratio"]).to_batches(max_chunksize=1 << 14):
+            for gram, new, ratio in zip(*(c.to_pylist() for c in b.columns)):
+                (self.new if new else self.ratio)[gram] = ratio
 
     def shut(self) -> None:
         self.ratio = self.new = self.memory = None
