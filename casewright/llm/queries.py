@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from casewright.llm.chat import chat_digests, probe
 from casewright.llm.common import table
 from casewright.llm.decontaminate import find_leaks
+from casewright.llm.filter_audit import filter_audit
 from casewright.llm.html_text import extract_text
 from casewright.llm.jaccard import near_groups
 from casewright.llm.language import host_parts, identify
@@ -74,6 +75,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(probe(spark)))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_licence_scan": op9_licence_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
@@ -127,4 +133,31 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(length({ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 13 END) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+judged AS (
+  SELECT doc_id, part, CAST(len(w) < 200 AS INTEGER) + CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INTEGER) * 2
+    + CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INTEGER) * 4 + CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) * 8
+    + CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) * 16 AS mask FROM cut),
+marked AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM judged LEFT JOIN marked USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.b + q.b + r.b + s.b + t.b = 31 AND p.b | q.b | r.b | s.b | t.b = 31),
+steps AS (SELECT filter_order, step, bits[step] AS bit, list_sum(bits[:step]) - bits[step] AS before FROM orders, generate_series(1, 5) g(step)),
+told AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (bit | before)::INTEGER = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before::INTEGER = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before::INTEGER <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before::INTEGER = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before::INTEGER = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told""",
 }
