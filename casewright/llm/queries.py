@@ -16,6 +16,8 @@ from casewright.llm.jaccard import near_groups
 from casewright.llm.language import host_parts, identify
 from casewright.llm.licences import scan_licences
 from casewright.llm.mixing import mixed_words
+from casewright.llm.packing import pack
+from casewright.llm.prefix_trie import prefix_trie, rebuilt
 from casewright.llm.token_count import count_tokens
 from casewright.llm.topk import top_k
 from casewright.llm.toxicity import toxicity
@@ -79,6 +81,16 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
 
+def op12_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_counts": op2_token_counts,
@@ -92,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licence_scan": op9_licence_scan,
     "op10_chat_format": op10_chat_format,
     "op11_filter_audit": op11_filter_audit,
+    "op12_pattern_packing": op12_pattern_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ESCAPED = "replace({0}, chr(92), chr(92) || chr(92))"
@@ -160,4 +174,35 @@ told AS (
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
   CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM told""",
+    "op13_prefix_trie": r"""
+WITH RECURSIVE crc AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)
+  UNION ALL
+  SELECT conv_id, s, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END
+  FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN xor(c, ascii(s[k // 8 + 1])::BIGINT) ELSE c END AS v FROM crc WHERE k < 8 * length(s))),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(c, 4294967295) % 6 AS h FROM crc WHERE k = 8 * length(s)),
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+deep AS (SELECT conv_id, text, {'r': role, 't': text} AS said, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM whole),
+paths AS (
+  SELECT conv_id, depth, text, list(said) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM deep
+  UNION ALL SELECT conv_id, 0, '', [] FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(length(text)) AS chars,
+    string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM paths JOIN lengths USING (conv_id) GROUP BY path),
+ups AS (SELECT n.depth, n.conv_id, n.n_convs, n.chars, n.ends, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM ups WHERE depth > 0 GROUP BY parent_conv_id, depth - 1),
+told AS (SELECT u.*, coalesce(k.n_children, 0) AS n_children FROM ups u LEFT JOIN kids k ON k.conv_id = u.conv_id AND k.depth = u.depth),
+named AS (SELECT p.conv_id AS member, p.depth, n.conv_id FROM paths p JOIN nodes n ON n.path = p.path),
+sums AS (
+  SELECT a.conv_id, a.depth, sum(CASE WHEN t.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((t.n_convs - 1) * t.chars) AS saved
+  FROM told t JOIN named a ON a.member = t.conv_id AND a.depth <= t.depth GROUP BY a.conv_id, a.depth)
+SELECT t.conv_id, CAST(t.depth AS BIGINT) AS depth, t.parent_conv_id, CAST(t.n_convs AS BIGINT) AS n_convs, CAST(t.n_children AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(t.ends, '')) AS ends_sha256
+FROM told t JOIN sums s ON s.conv_id = t.conv_id AND s.depth = t.depth""",
 }
