@@ -24,8 +24,15 @@ COMBINED = 50_000
 SALTS = 8
 UPPER = bytes(range(65, 91))
 SIGNS = re.compile(r"[#$%&*|]")
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Rows of the table for each entry of the state, which holds what is known of the texts of one bucket of digests.
+BUCKET_ROWS = 64
+#: How the stream's state is kept: on disk beyond memory, of each micro-batch only the changes are written to the shared folder,
+#: and executors keep no state between the few micro-batches.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 class Text:
@@ -56,7 +63,7 @@ def _judged(filters: list[Filter]) -> Callable[[Iterator[pa.RecordBatch]], Itera
             keys, masks = [], []
             for text in b.column(2).to_pylist():
                 t = Text(text)
-                keys.append(hashlib.sha256(t.bytes).hexdigest())
+                keys.append(hashlib.blake2b(t.bytes, digest_size=16).hexdigest())
                 masks.append(sum(1 << i for i, fails in enumerate(filters) if fails(t)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(masks, pa.int32())], ["id", "part", "key", "mask"])
 
@@ -101,47 +108,54 @@ class LeastIds(StatefulProcessor):
     """For each text the least id so far, and the rows that have it: the only ones that are no copies.
 
     Rows give changes of counters (part, good, toxic, mask, n).  When a smaller id arrives, the rows that were no copies
-    until then are taken back from the mask without the bit of copies and are added to the one with it.
+    until then are taken back from the mask without the bit of copies and are added to the one with it.  Texts are keyed by
+    their digests; the state has an entry for each bucket of them, for each access to it costs a call: {digest: [least id,
+    [[part, good, toxic, rows]]]} as JSON.
     """
 
-    def __init__(self, id_kind: str, bit: int):
-        self.kind, self.bit = id_kind, bit
+    def __init__(self, bit: int):
+        self.bit = bit
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("least", f"least {self.kind}, holders array<struct<part:string,good:int,toxic:int,n:long>>")
+        self.state = handle.getValueState("texts", "texts string")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
         before = self.state.get()
-        least = before[0] if before else None
-        holders = {(h[0], h[1], h[2]): h[3] for h in before[1]} if before else {}
-        changed, deltas, mask = False, {}, 0
+        texts = json.loads(before[0]) if before else {}
+        deltas: dict[tuple, int] = {}
+        changed = False
 
-        def add(what: tuple, copy: int, n: int) -> None:
-            deltas[(*what, copy)] = deltas.get((*what, copy), 0) + n
+        def add(part: str, good: int, toxic: int, mask: int, n: int) -> None:
+            deltas[part, good, toxic, mask] = deltas.get((part, good, toxic, mask), 0) + n
 
         for r in rows:
-            what, mask = (r.part, r.good, r.toxic), r.mask
-            if r.least is None:
-                add(what, 0, r.n)
+            _, text, part, good, toxic, mask, n, least, n_least = r
+            copy = mask | self.bit
+            if least is None:
+                add(part, good, toxic, mask, n)
                 continue
-            if least is None or r.least < least:
-                for held, n in holders.items():
-                    add(held, 0, -n)
-                    add(held, self.bit, n)
-                least, holders, changed = r.least, {what: r.n_least}, True
-                first = r.n_least
-            elif r.least == least:
-                holders[what] = holders.get(what, 0) + r.n_least
-                first, changed = r.n_least, True
+            known = texts.get(text)
+            if known is None or least < known[0]:
+                for *held, m in known[1] if known else ():
+                    add(*held, mask, -m)
+                    add(*held, copy, m)
+                texts[text], changed = [least, [[part, good, toxic, n_least]]], True
+            elif least == known[0]:
+                mine = next((h for h in known[1] if h[:3] == [part, good, toxic]), None)
+                if mine is None:
+                    known[1].append([part, good, toxic, n_least])
+                else:
+                    mine[3] += n_least
+                changed = True
             else:
-                first = 0
-            add(what, 0, first)
-            add(what, self.bit, r.n - first)
+                n_least = 0
+            add(part, good, toxic, mask, n_least)
+            add(part, good, toxic, copy, n - n_least)
         if changed:
-            self.state.update((least, [(*h, n) for h, n in holders.items()]))
-        for (part, good, toxic, copy), n in deltas.items():
+            self.state.update((json.dumps(texts, ensure_ascii=False, separators=(",", ":")),))
+        for (part, good, toxic, mask), n in deltas.items():
             if n:
-                yield Row(part=part, good=good, toxic=toxic, mask=mask | copy, n=n)
+                yield Row(part=part, good=good, toxic=toxic, mask=mask, n=n)
 
     def close(self) -> None:
         pass
@@ -157,14 +171,15 @@ def document_stream(spark: SparkSession, path: str, micro_batches: int = MICRO_B
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).option("maxFileAge", "36500d").parquet(path)
 
 
-def mask_counts(stream: DataFrame, labels: DataFrame, filters: dict[str, Filter] = FILTERS, *, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
+def mask_counts(stream: DataFrame, labels: DataFrame, filters: dict[str, Filter] = FILTERS, *, buckets: int = 1, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """part, mask, n, good, toxic: documents by the set of filters that fail them (bit i: the i-th filter, then that of copies).
 
     ``stream``: see :func:`document_stream`.  A null text is an empty one, a null part is "".  A row is a copy if a row with
     its text has a smaller id; a row without id never is one and makes none.  ``labels`` (doc_id, quality, toxic): a document
     is good or toxic if any of its rows says 1; good and toxic count only such documents.  The stream runs until all files
-    that are there have been read; its state is a row for each distinct text, its output the changes of the counters, by
-    micro-batch, in a folder that a repeated micro-batch writes again.
+    that are there have been read; its state is an entry for each of ``buckets`` shares of the texts, and should grow with
+    the table; its output is the changes of the counters, by micro-batch, in a folder that a repeated micro-batch writes
+    again.  Ids are numbers or strings.
     """
     spark, kind, bit = stream.sparkSession, stream.schema[id_col].dataType.simpleString(), 1 << len(filters)
     short_batches(stream)
@@ -181,18 +196,21 @@ def mask_counts(stream: DataFrame, labels: DataFrame, filters: dict[str, Filter]
     labelled = labelled.select("id", "key", "part", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"), "mask")
     combined = labelled.mapInArrow(_combined, f"key string, part string, good int, toxic int, mask int, n long, least {kind}, n_least long")
     fields = "part string, good int, toxic int, mask int, n long"
-    deltas = combined.groupBy("key").transformWithState(LeastIds(kind, bit), fields, "update", "none")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    deltas = combined.select(bucket, *COMBINED_FIELDS).groupBy("bucket").transformWithState(LeastIds(bit), fields, "update", "none")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "good", "toxic", "mask").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/deltas/batch={number}")
 
     spark.createDataFrame([], fields).write.parquet(f"{folder}/deltas/batch=-1")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = deltas.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
     counted = spark.read.schema(fields).parquet(f"{folder}/deltas").groupBy("part", "mask")
     return counted.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("good") == 1, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
@@ -230,5 +248,6 @@ def filter_audit(spark: SparkSession, path: str, labels: DataFrame, filters: dic
     An empty table has no parts and so no rows.  Repeated rows each count; those that share the least id of a text are no
     copies of each other.
     """
-    counts = written(mask_counts(document_stream(spark, path), labels, filters, **columns), "counts")
+    buckets = max(1, spark.read.parquet(path).count() // BUCKET_ROWS)  # the files' footers tell
+    counts = written(mask_counts(document_stream(spark, path), labels, filters, buckets=buckets, **columns), "counts")
     return interactions(counts, "".join(filters) + COPY)
