@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from casewright.functions import text as X
 from casewright.operators import report, template
 from casewright.plans import jobs
-from casewright.sources import files, pages, sinks, word
+from casewright.sources import files, listed, pages, sinks, word
+from casewright.sources.work import kept
 
 MANIFEST = "out_name string, path string"
 #: Paths that are sent to all tasks.
@@ -37,25 +38,26 @@ class Options:
 
 
 def read_folder(spark: SparkSession, source: str, options: Options, only: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
-    """path, out_name, reason, detail and doc_text of the files of a folder; a file's bytes go no further than its task.
+    """doc_id, path, file_name, out_name, reason, detail and doc_text of the files of a folder; doc_id is the place by path.
 
-    With ``only`` (path), no other file is parsed; the list is sent to all tasks if it is counted to be short, otherwise
-    the files are dealt by path.  ``blocks``: positioned blocks of pdf files, see page_documents, with path for doc_id.
+    With ``only`` (path), files that it does not have are neither opened nor numbered.  Files are listed without their
+    bytes and opened by the tasks that parse them, see sources.listed.  ``blocks``: positioned blocks of pdf files, see
+    page_documents, with path for doc_id.
     """
-    found = files.admitted(files.discover(spark, source, options.recursive))
+    found = files.listed(spark, source, options.recursive)
     if only is not None:
         found = found.join(F.broadcast(only) if only.limit(MOST_SENT + 1).count() <= MOST_SENT else only, "path", "left_semi")
-    texts = word.word_texts(word.word_blocks(found.where("kind = 'ok' AND suffix = '.docx'")))
+    about = kept(files.admitted(listed.numbered(found)).withColumn("out_name", files.output_name(F.col("path"), options.by_suffix)))
+    texts = word.word_texts(listed.read_listed(about.where("kind = 'ok' AND suffix = '.docx'")))
     if blocks is not None:
         read = pages.page_documents(blocks.withColumnRenamed("path", "doc_id")).withColumnRenamed("doc_id", "path")
         given = blocks.select("path").distinct().join(read, "path", "left")
         texts = texts.unionByName(given.select("path", F.coalesce("doc_text", F.lit("")).alias("doc_text"), F.lit(None).cast("string").alias("error")))
-    about = found.drop("content").withColumn("out_name", files.output_name(F.col("path"), options.by_suffix))
     rows = about.join(texts, "path", "left")
     unread = (F.col("kind") == "ok") & (F.col("suffix") == ".pdf") & F.col("doc_text").isNull()
     reason = F.coalesce("reason", F.when(F.col("error").isNotNull(), "exception"), F.when(unread, "unsupported"), F.when(X.is_blank(F.coalesce("doc_text", F.lit(""))), "empty_text"))
     detail = F.coalesce("detail", "error", F.when(unread, "Give positioned blocks of this file to page_documents"), F.when(reason == "empty_text", "No text could be extracted"))
-    return rows.select(F.xxhash64("path").alias("doc_id"), "path", "file_name", "out_name", reason.alias("reason"), detail.alias("detail"), "doc_text")
+    return rows.select(F.col("doc_ord").alias("doc_id"), "path", "file_name", "out_name", reason.alias("reason"), detail.alias("detail"), "doc_text")
 
 
 def one_of_each_name(inputs: DataFrame) -> DataFrame:
@@ -77,15 +79,15 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     """
     spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{output}/manifest")
     done = spark.read.schema(MANIFEST).parquet(f"{output}/manifest").select("out_name").distinct()
-    kept: list[str] = []
+    steps: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.append(f"{output}/work/{len(kept)}")
-        df.write.mode("overwrite").parquet(kept[-1])
-        return spark.read.schema(df.schema).parquet(kept[-1])
+        steps.append(f"{output}/work/{len(steps)}")
+        df.write.mode("overwrite").parquet(steps[-1])
+        return spark.read.schema(df.schema).parquet(steps[-1])
 
-    listed = files.discover(spark, source, options.recursive).select("path").withColumn("out_name", files.output_name(F.col("path"), options.by_suffix))
-    todo = files.not_done(listed, done, options.force).select("path")
+    inputs_found = files.listed(spark, source, options.recursive).select("path").withColumn("out_name", files.output_name(F.col("path"), options.by_suffix))
+    todo = files.not_done(inputs_found, done, options.force).select("path")
     texts = keep(read_folder(spark, source, options, None if options.force else todo, blocks))
     if options.caller is None:
         named = template.with_template(texts.where("reason IS NULL").select("doc_id", "doc_text"), options.templates).select("doc_id", "template")
@@ -106,5 +108,5 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     sinks.append_json(results.drop("exists"), f"{output}/results")
     sinks.append_json(report.failure_records(results), f"{output}/failures")
     results.where("status = 'written'").select("out_name", "path").write.mode("append").parquet(f"{output}/manifest")
-    skipped = listed.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))
+    skipped = inputs_found.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))
     return report.batch_summary(results.select("status").unionByName(skipped), options.strict)

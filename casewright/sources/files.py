@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.schemas import FILES
+from casewright.sources.work import kept
 
 #: Bytes of a file that is taken.
 MOST_BYTES = 50 << 20
@@ -24,18 +25,23 @@ def discover(spark: SparkSession, folder: str, recursive: bool = False) -> DataF
     return files.where(F.lower("path").rlike(r"\.(docx|pdf)$"))
 
 
+def listed(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+    """path, modificationTime and length of what :func:`discover` finds; no file is opened."""
+    return discover(spark, folder, recursive).select("path", "modificationTime", "length")
+
+
 def discover_stream(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """As :func:`discover`, for files that are new since the stream's checkpoint."""
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return files.where(F.lower("path").rlike(r"\.(docx|pdf)$"))
 
 
-def in_order(files: DataFrame, scope: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> DataFrame:
+def in_order(files: DataFrame, scope: list[str] | None = None, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Adds doc_ord, the place by path within ``scope``, or of all paths; rows of one path then share a place.
 
     Without a scope the paths alone are dealt in ranges, numbered within each, and moved by the sizes of the ranges before;
-    so no task sees all.  Ranges are drawn from a sample, so ``keep`` has to hold the numbered paths: it may write and
-    reread them.  Files are joined by path: give a listing without content.
+    so no task sees all.  Ranges are drawn from a sample, so ``keep`` has to hold the numbered paths: it writes and
+    rereads them.  Files are joined by path: give a listing without content.
     """
     if scope:
         return files.withColumn("doc_ord", F.row_number().over(Window.partitionBy(*scope).orderBy("path")))
