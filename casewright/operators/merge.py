@@ -2,36 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.schemas import TEXT_FIELDS
+from casewright.operators.scan import in_ranges, marked
+from casewright.sources.work import kept
 
 # What reviewers read.
 NOTE = "⚠ Duplicate test_id (non-contiguous): "
 WARNING = ("⚠ test_id '", "' has non-contiguous duplicate rows — review required.")
 
 
+def _runs(marked: DataFrame, keys: list[str], scope: list[str], place: Column, text_fields: tuple[str, ...], columns: list[str]) -> DataFrame:
+    """A row for each group of ``keys``: the first row's columns, the non-blank values of text fields joined, and run_rows."""
+    others = [c for c in columns if c not in scope and c not in text_fields]
+
+    def merged(field: str) -> Column:
+        kept = F.sort_array(F.collect_list(F.when(~X.is_blank(F.col(field)), F.struct(place.alias("o"), F.col(field).alias("v")))))
+        alone = F.min(F.struct(place.alias("o"), F.col(field).alias("v")))["v"]
+        return F.when(F.sum("_rows") > 1, F.array_join(F.transform(kept, lambda s: s["v"]), "\n")).otherwise(alone).alias(field)
+
+    first = F.min(F.struct(place.alias("o"), *others)).alias("_first")
+    got = marked.groupBy(*keys).agg(first, F.sum("_rows").alias("run_rows"), *(merged(f) for f in text_fields))
+    return got.select(*([c for c in keys if c not in scope]), *((F.col(f"_first.{c}").alias(c) if c in others else F.col(c)) for c in columns), "run_rows")
+
+
 def merge_runs(rows: DataFrame, scope: list[str], order: list[str], text_fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
     """Adjacent rows of one non-empty test_id, in ``order`` within ``scope``, become the first of them.
 
-    Their text fields are the non-blank values joined by line feeds.  Adds run_rows, the rows that went into each.
+    Their text fields are the non-blank values joined by line feeds.  Adds run_rows, the rows that went into each.  A scope
+    is ordered in one task; see :func:`merge_runs_in_ranges` for large ones.
     """
     w = Window.partitionBy(*scope).orderBy(*order)
     same = F.coalesce((F.lag("test_id").over(w) == F.col("test_id")) & (F.col("test_id") != ""), F.lit(False))
-    marked = rows.withColumn("_starts", (~same).cast("int")).withColumn("_run", F.sum("_starts").over(w))
-    others = [c for c in rows.columns if c not in scope and c not in text_fields]
-    place = F.struct(*order)
+    marked = rows.withColumn("_starts", (~same).cast("int")).withColumns({"_run": F.sum("_starts").over(w), "_rows": F.lit(1).cast("long")})
+    return _runs(marked, [*scope, "_run"], scope, F.struct(*order), text_fields, rows.columns).drop("_run")
 
-    def merged(field: str) -> Column:
-        kept = F.sort_array(F.collect_list(F.when(~X.is_blank(F.col(field)), F.struct(place.alias("o"), F.col(field).alias("v")))))
-        alone = F.min(F.struct(place.alias("o"), F.col(field).alias("v")))["v"]
-        return F.when(F.count("*") > 1, F.array_join(F.transform(kept, lambda s: s["v"]), "\n")).otherwise(alone).alias(field)
 
-    first = F.min(F.struct(*order, *(c for c in others if c not in order))).alias("_first")
-    got = marked.groupBy(*scope, "_run").agg(first, F.count("*").alias("run_rows"), *(merged(f) for f in text_fields))
-    return got.select(*((F.col(f"_first.{c}").alias(c) if c in others else F.col(c)) for c in rows.columns), "run_rows")
+def merge_runs_in_ranges(rows: DataFrame, scope: list[str], order: list[str], text_fields: tuple[str, ...] = TEXT_FIELDS, keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+    """As :func:`merge_runs`, for scopes of any size: no task orders a scope.
+
+    Rows are dealt in ranges of scope and order and runs are merged within each range.  What may go on beyond a border is
+    the first and the last run of a range, two rows without texts for each: from these, in order, it is found which runs are
+    parts of one, over any number of ranges, and only those parts are merged once more.  ``order`` has to tell rows apart.
+    """
+    placed = in_ranges(rows, scope, order, keep=keep)
+    own = Window.partitionBy("_range", *scope).orderBy("_place")
+    same = F.coalesce((F.lag("test_id").over(own) == F.col("test_id")) & (F.col("test_id") != ""), F.lit(False))
+    marked = placed.withColumns({"_starts": (~same).cast("int"), "_rows": F.lit(1).cast("long")}).withColumn("_run", F.sum("_starts").over(own))
+    # the place of a run's first row names it
+    parts = keep(_runs(marked.withColumn("_at", F.col("_place")), ["_range", *scope, "_run"], scope, F.col("_place"), text_fields, [*rows.columns, "_at"]).drop("_run"))
+    ends = parts.groupBy("_range").agg(F.min("_at").alias("a"), F.max("_at").alias("z"))
+    outer = parts.select("_range", "_at", "test_id", F.struct(*scope).alias("_scope")).join(F.broadcast(ends), "_range").where("_at = a OR _at = z")
+    line = Window.orderBy("_at")  # two rows a range at most
+    before = lambda c: F.lag(c).over(line)
+    goes_on = (before("_range") < F.col("_range")) & (F.col("_at") == F.col("a")) & before("_scope").eqNullSafe(F.col("_scope")) & (before("test_id") == F.col("test_id")) & (F.col("test_id") != "")
+    linked = outer.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("int")).withColumn("_chain", F.sum("_new").over(line))
+    chains = keep(linked.withColumn("_size", F.count("*").over(Window.partitionBy("_chain"))).where("_size > 1").select("_at", "_chain"))
+    again = parts.join(F.broadcast(chains), "_at").withColumnRenamed("run_rows", "_rows")
+    merged = _runs(again, [*scope, "_chain"], scope, F.col("_at"), text_fields, rows.columns).drop("_chain")
+    return parts.join(F.broadcast(chains), "_at", "left_anti").select(*rows.columns, "run_rows").unionByName(merged)
 
 
 def flag_scattered(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
@@ -47,6 +81,21 @@ def flag_scattered(rows: DataFrame, scope: list[str], order: list[str]) -> DataF
     return counted.withColumn("description", F.when((F.col("_n") > 1) & ~empty, note).otherwise(F.col("description"))).drop("_n", "_apart")
 
 
+def flag_scattered_in_ranges(rows: DataFrame, scope: list[str], total: int) -> DataFrame:
+    """As :func:`flag_scattered`, for scopes of any size and ids that any part of a scope has.
+
+    Ids are counted with partial sums, and what is found is brought to the rows without dealing those of a frequent id to one
+    task; rows with an empty id are not dealt at all.  Give ``rows`` kept, and their number as ``total``.
+    """
+    key = [*scope, "test_id"]
+    named = rows.where("test_id <> ''")
+    several = named.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    noted = marked(named, several, key, "_n", total, "_several")
+    note = F.concat(F.lit(NOTE), F.col("test_id"), F.lit("\n\n"), F.col("description"))
+    noted = noted.withColumn("description", F.when(F.col("_several"), note).otherwise(F.col("description"))).select(*rows.columns)
+    return noted.unionByName(rows.where("test_id IS NULL OR test_id = ''"))
+
+
 def scattered_warnings(rows: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
     """scope, test_id, n_rows, first (its earliest place) and warning of each scattered id."""
     got = rows.where("test_id <> ''").groupBy(*scope, "test_id").agg(F.count("*").alias("n_rows"), F.min(F.struct(*order)).alias("first")).where("n_rows > 1")

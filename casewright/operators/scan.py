@@ -44,3 +44,20 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column | str], su
     joined = within.join(F.broadcast(carried), (F.col("_range") == F.col("_r")) & key.eqNullSafe(F.col("_k")), "left")
     total = {name: F.col(f"_s{v}") + F.coalesce(F.col(f"_c{v}"), F.lit(0)) for name, v in zip(sums, values)}
     return joined.select(*(c for c in placed.columns if c not in values and c not in ("_range", "_place") and c not in sums), *(c.alias(n) for n, c in total.items()))
+
+
+#: Keys with more than this part of all rows are sent to all tasks; there are no more than so many.
+HOT_KEYS = 10_000
+
+
+def marked(rows: DataFrame, keys: DataFrame, on: list[str], size: str, total: int, flag: str) -> DataFrame:
+    """Adds ``flag``: whether ``keys``, unique on ``on``, has the row's key.  ``size``: how many of ``total`` rows have it.
+
+    At most HOT_KEYS keys can have more than a HOT_KEYS-th of the rows: these are sent to all tasks, and only rows of other
+    keys are dealt by them.  Give ``rows`` kept, for they are read twice.
+    """
+    hot = F.col(size) > total // HOT_KEYS + 1000
+    few = F.broadcast(keys.where(hot).select(*on))
+    here = rows.join(few, on, "left_semi").withColumn(flag, F.lit(True))
+    rest = rows.join(few, on, "left_anti").join(keys.where(~hot).select(*on, F.lit(True).alias(flag)), on, "left")
+    return here.unionByName(rest.withColumn(flag, F.coalesce(flag, F.lit(False))))

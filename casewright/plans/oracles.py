@@ -102,6 +102,12 @@ VIEWS: dict[str, str] = {
         THEN coalesce(string_agg(CASE WHEN trim(t) <> '' THEN t END, chr(10) ORDER BY n), '') ELSE any_value(t) END AS t, count(*) AS run_rows FROM (
           SELECT *, sum(starts) OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM (
             SELECT *, CASE WHEN lag(test_id) OVER (PARTITION BY l_orderkey ORDER BY n) = test_id THEN 0 ELSE 1 END AS starts FROM line_rows)) GROUP BY l_orderkey, run""",
+    "all_rows": """SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS test_id, CASE WHEN l_linenumber % 3 = 0 THEN ' ' ELSE CAST(l_partkey AS VARCHAR) END AS t,
+        row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_returnflag) AS n FROM lineitem""",
+    "all_merged": """SELECT arg_min(l_orderkey, n) AS l_orderkey, arg_min(l_linenumber, n) AS l_linenumber, arg_min(l_partkey, n) AS l_partkey, any_value(test_id) AS test_id, CASE WHEN count(*) > 1
+        THEN coalesce(string_agg(CASE WHEN trim(t) <> '' THEN t END, chr(10) ORDER BY n), '') ELSE any_value(t) END AS t, count(*) AS run_rows FROM (
+          SELECT *, sum(starts) OVER (ORDER BY n) AS run FROM (
+            SELECT *, CASE WHEN lag(test_id) OVER (ORDER BY n) = test_id THEN 0 ELSE 1 END AS starts FROM all_rows)) GROUP BY run""",
     "matched": r"""SELECT d.doc_id, d.file_name, CASE WHEN EXISTS (SELECT 1 FROM plan_lines l WHERE l.doc_id = d.doc_id AND starts_with(l.line, '## ')
         AND regexp_matches(l.line, '\b([A-Z][A-Z0-9]*(_[A-Z0-9]+){1,})\s*$')) THEN 'Underscore-ID Test Plan' END AS template FROM plan_docs d""",
     "results": """SELECT m.doc_id, m.file_name, m.template, count(t.doc_id) AS n_rows,
@@ -187,6 +193,9 @@ oracle("merge_runs", f"SELECT doc_id, section_no, {CASES}, run_rows FROM merged"
 oracle("merge_runs_lineitem", "SELECT l_orderkey, l_linenumber, l_partkey, test_id, t AS description, t AS preconditions, t AS procedure_steps, t AS expected_results, run_rows FROM line_merged")
 oracle("scattered_duplicates", f"SELECT l_orderkey, l_linenumber, l_partkey, test_id, CASE WHEN count(*) OVER (PARTITION BY l_orderkey, test_id) > 1 THEN {NOTE} || t ELSE t END AS description FROM line_merged")
 oracle("scattered_warnings", f"SELECT l_orderkey, test_id, count(*) AS n_rows, min(l_linenumber) AS first, {WARN} AS warning FROM line_merged GROUP BY l_orderkey, test_id HAVING count(*) > 1")
+oracle("merge_runs_request", "SELECT 1 AS request, l_orderkey, l_linenumber, l_partkey, test_id, t AS description, t AS preconditions, t AS procedure_steps, t AS expected_results, run_rows FROM all_merged")
+oracle("scattered_request", f"SELECT l_orderkey, l_linenumber, l_partkey, test_id, CASE WHEN count(*) OVER (PARTITION BY test_id) > 1 THEN {NOTE} || t ELSE t END AS description FROM all_merged")
+oracle("scattered_warnings_request", f"SELECT test_id, count(*) AS n_rows, min(l_orderkey) AS first_order, arg_min(l_linenumber, (l_orderkey, l_linenumber)) AS first_line, {WARN} AS warning FROM all_merged GROUP BY test_id HAVING count(*) > 1")
 oracle("file_results", "SELECT doc_id, file_name, template, n_rows, reason IS NULL AS ok, reason FROM results")
 oracle("templates_used", "SELECT doc_id % 10 AS scope, string_agg(DISTINCT template, ' · ') AS templates FROM results WHERE template IS NOT NULL GROUP BY doc_id % 10")
 oracle("batch_summary", "SELECT count(*) FILTER (status = 'written') AS written, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'not_written') AS not_written, count(*) FILTER (status = 'failed') AS failures FROM status")

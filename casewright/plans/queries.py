@@ -13,6 +13,7 @@ from casewright.operators import merge, prep, replies, report, sections, templat
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
 from casewright.sources import files, pages, sinks
+from casewright.sources.work import kept
 from casewright.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,6 +168,28 @@ def scattered_warnings(spark, sf_dir):
     return got.select("l_orderkey", "test_id", "n_rows", F.col("first.l_linenumber").alias("first"), "warning")
 
 
+def _merged_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.merge_rows(spark, sf_dir).withColumn("request", F.lit(1))
+    return kept(merge.merge_runs_in_ranges(rows, ["request"], ["l_orderkey", *LINE_ORDER]))
+
+
+@query
+def merge_runs_request(spark, sf_dir):
+    return _merged_request(spark, sf_dir)
+
+
+@query
+def scattered_request(spark, sf_dir):
+    rows = _merged_request(spark, sf_dir)
+    return merge.flag_scattered_in_ranges(rows, ["request"], rows.count()).select("l_orderkey", "l_linenumber", "l_partkey", "test_id", "description")
+
+
+@query
+def scattered_warnings_request(spark, sf_dir):
+    got = merge.scattered_warnings(_merged_request(spark, sf_dir), ["request"], ["l_orderkey", *LINE_ORDER])
+    return got.select("test_id", "n_rows", F.col("first.l_orderkey").alias("first_order"), F.col("first.l_linenumber").alias("first_line"), "warning")
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = template.with_template(views.plan_docs(spark, sf_dir))
     admitted = files.admitted(docs.select("doc_id", "template", F.col("file_name").alias("path"), F.char_length("doc_text").cast("long").alias("length")))

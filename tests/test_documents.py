@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -132,6 +133,37 @@ def test_merging_equals_the_model(spark):
         assert [(r.test_id, r.description) for r in got] == model.merge(rows) and sum(r.run_rows for r in got) == 30
 
 
+def test_merging_over_ranges_equals_the_model(spark):
+    rnd = random.Random(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for ids in (["A", "B", ""], ["A"], ["A"] * 60 + ["B"], ["A", None]):  # runs of a few rows, and over several ranges
+            rows = [(rnd.choice(ids), rnd.choice(["x", " ", "", "y\n"])) for _ in range(300)]
+            got = merge.merge_runs_in_ranges(cases(spark, rows).repartition(3), ["doc_id"], ["n"])
+            plain = sorted(model.merge(rows), key=lambda r: r[0] or "")
+            told = got.orderBy("n").collect()
+            assert [(r.test_id, r.description) for r in told] == model.merge(rows) and sum(r.run_rows for r in told) == 300, plain
+            flagged = merge.flag_scattered_in_ranges(got, ["doc_id"], 300).orderBy("n").collect()
+            assert [tuple(r) for r in flagged] == [tuple(r) for r in merge.flag_scattered(got, ["doc_id"], ["n"]).orderBy("n").collect()]
+        two = cases(spark, rows).unionByName(cases(spark, rows).withColumn("doc_id", F.lit(None).cast("int")))
+        assert merge.merge_runs_in_ranges(two, ["doc_id"], ["n"]).count() == 2 * len(told)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_jobs_over_a_request_and_whole_documents(spark):
+    two = docs(spark, "## Case TC_1_A\nfirst\nSteps:\n1 | go", "## Case TC_1_A\nsecond\nSteps:\n2 | stop\n## Case TC_2_B\nlast\nSteps:\n3 | x")
+    assert jobs.by_template(two).cases.count() == 3
+    got = jobs.by_template(two, request=True).cases.orderBy("doc_id", "section_no").collect()
+    assert [(r.test_id, r.description, r.run_rows) for r in got] == [("TC_1_A", "first\nsecond", 2), ("TC_2_B", "last", 1)]
+
+    def caller(payloads):
+        return [json.dumps({"test_cases": [{"test_id": "X", "description": str("Section: " in p)}]}) for p in payloads]
+
+    got = jobs.by_model(two.unionByName(docs(spark, " ").withColumn("doc_id", F.lit(9))), caller, "m", whole=True)
+    assert [(r.doc_id, r.section_no, r.test_id, r.description) for r in got.cases.orderBy("doc_id").collect()] == [(r.doc_id, 0, "X", "False") for r in two.orderBy("doc_id").collect()]
+
+
 def test_scattered(spark):
     merged = merge.merge_runs(cases(spark, [("A", "1"), ("A", "2"), ("B", "3"), ("A", "4"), ("", "5"), ("", "6")]), ["doc_id"], ["n"])
     got = {r.n: r.description for r in merge.flag_scattered(merged, ["doc_id"], ["n"]).collect()}
