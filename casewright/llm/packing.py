@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -12,20 +13,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import sub_batches, written
-from casewright.llm.token_count import PIECE_CACHE, Counter, pieces, read_vocabulary
+from casewright.llm.token_count import ODD, PIECE_CACHE, Counter, n_bytes, read_vocabulary
 from casewright.operators.scan import running_sums
 
+#: A piece starts where white space follows other characters, or one of .,;:!? a letter: no byte-level token crosses these places.
+PIECE = re.compile(r"\s*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s]|$)|\S+)|\s+")
 #: Pieces of text that are longer are not remembered.
 LONG = 64
+#: Pieces that are encoded as one text.
+BESIDE = 2000
 #: Rounds of the fit, and patterns that may enter in one.
 ROUNDS, ENTER = 40, 256
 
 
 class Ids(Counter):
-    """The ids of texts as little-endian unsigned 32-bit integers; pieces of text are encoded once as long as they are remembered."""
+    """The ids of texts as little-endian unsigned 32-bit integers; pieces of text are encoded once as long as they are remembered.
+
+    Pieces that are not remembered are encoded as one text where they may stand side by side, and cut apart by the bytes of
+    their tokens.  What was used since half of the memory was filled stays remembered when the other half is.
+    """
 
     def __init__(self, tokenizer_file: str, content: bytes):
         super().__init__(tokenizer_file, content)
+        self.before: dict[str, bytes] = {}
         if tokenizer_file.endswith(".model"):
             import sentencepiece
 
@@ -38,17 +48,39 @@ class Ids(Counter):
             t.no_truncation()
             t.no_padding()
             self.encode = lambda texts: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
+            added = {i: len(a.content.encode()) for i, a in t.get_added_tokens_decoder().items()}
+            sizes = {i: len(token) for token, i in t.get_vocab().items()} | added  # a character of a byte-level token is a byte
+            self.bytes_of = np.zeros(max(sizes) + 1, np.int64)
+            self.bytes_of[list(sizes)] = list(sizes.values())
+
+    def learn(self, wanted: list[str]) -> None:
+        beside = [p for p in wanted if p[:1].isspace() and not p[-1].isspace()]
+        super().learn(list(set(wanted).difference(beside)))
+        for i in range(0, len(beside), BESIDE):
+            some = beside[i : i + BESIDE]
+            raw = self.encode(["".join(some)])[0]
+            ends = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
+            cuts = np.cumsum([n_bytes(p) for p in some])
+            at = np.searchsorted(ends, cuts)
+            if at[-1] >= len(ends) or (ends[at] != cuts).any():
+                super().learn(some)
+                continue
+            stops = (4 * (at + 1)).tolist()
+            self.update((p, raw[x:y]) for p, x, y in zip(some, [0, *stops], stops))
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [self.encode([t])[0] if t else b"" for t in texts]
-        cut = [pieces(t) for t in texts]
-        if len(self) > PIECE_CACHE:
+        cut = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
+        if len(self) > PIECE_CACHE // 2:
+            self.before = dict(self)
             self.clear()
         missing = list({p for c in cut for p in c}.difference(self))
-        self.learn(missing)
+        new = [p for p in missing if p not in self.before]
+        self.update((p, self.before[p]) for p in missing if p in self.before)
+        self.learn(new)
         out = [b"".join(map(self.__getitem__, c)) for c in cut]
-        for p in missing:
+        for p in new:
             if len(p) > LONG:
                 del self[p]
         return out

@@ -12,9 +12,25 @@ from tokenizers import Tokenizer
 from casewright.llm import packing
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
+PLAIN, IDS = Tokenizer.from_file(FILE), packing.Ids(FILE, packing.read_vocabulary(FILE))
 TEXTS = ["", None, "one two  three", " <|endoftext|> in\ttext \x1c odd", "é日本 " * 700, "word " * 5000, "x" * 9000, "same text here", "same text here"]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("aB1é '\n\t\u00a0\u2003.,!?:<|>endoftext日\x1c\x85_"), max_size=60), max_size=4))
+def test_ids_equal_the_tokenizer(texts):
+    expected = [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in IDS.of(texts)] == expected
+
+
+def test_memory_of_two_halves(monkeypatch):
+    monkeypatch.setattr(packing, "PIECE_CACHE", 20)
+    ids = packing.Ids(FILE, packing.read_vocabulary(FILE))
+    for i in range(30):
+        texts = [f"common words, here {i} {i * 7919}", " ".join(f"w{i}x{j}" for j in range(i))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids.of(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
 def plain_best_fit(counts):
     limit = len(counts) - 1
     gaps, used = [], 0
