@@ -69,15 +69,21 @@ def call(requested: DataFrame, caller: Callable[[list[str]], list[str | Exceptio
     return dealt.select(*spread, "payload").mapInPandas(run, f"doc_id {kinds['doc_id']}, section_no {kinds['section_no']}, content string, error string")
 
 
+def reply_parts(lines: DataFrame) -> DataFrame:
+    """request_id, seq, done and part of each line: whether it is [DONE], or what it adds to the reply, null if nothing."""
+    data = F.when(F.col("line").startswith("data: "), X.strip(F.substring("line", 7, 1 << 30)))
+    rows = lines.select("request_id", F.col("seq").cast("long").alias("seq"), data.alias("data"))
+    choices = F.from_json("data", REPLY_CHOICES)["choices"]
+    said = F.flatten(F.transform(choices, lambda c: F.array(c["delta"]["content"], c["message"]["content"])))
+    part = F.array_join(F.filter(said, lambda x: x.isNotNull()), "")
+    return rows.select("request_id", "seq", F.coalesce(F.col("data") == "[DONE]", F.lit(False)).alias("done"), part.alias("part"))
+
+
 def assembled(lines: DataFrame) -> DataFrame:
     """request_id and content of streamed replies, from (request_id, seq, line): what comes before [DONE], in order."""
-    data = lines.where(F.col("line").startswith("data: ")).withColumn("data", X.strip(F.substring("line", 7, 1 << 30)))
-    done = F.min(F.when(F.col("data") == "[DONE]", F.col("seq"))).over(Window.partitionBy("request_id"))
-    rows = data.withColumn("_done", done).where("_done IS NULL OR seq < _done")
-    rows = rows.withColumn("choices", F.from_json("data", REPLY_CHOICES)["choices"])
-    said = F.flatten(F.transform("choices", lambda c: F.array(c["delta"]["content"], c["message"]["content"])))
-    part = F.array_join(F.filter(said, lambda x: x.isNotNull()), "")
-    pieces = F.sort_array(F.collect_list(F.when(part.isNotNull(), F.struct("seq", part.alias("part")))))
+    done = F.min(F.when(F.col("done"), F.col("seq"))).over(Window.partitionBy("request_id"))
+    rows = reply_parts(lines).withColumn("_done", done).where("_done IS NULL OR seq < _done")
+    pieces = F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("seq", "part"))))
     got = rows.groupBy("request_id").agg(F.array_join(F.transform(pieces, lambda s: s["part"]), "").alias("content"))
     return lines.select("request_id").distinct().join(got, "request_id", "left").select("request_id", F.coalesce("content", F.lit("")).alias("content"))
 
