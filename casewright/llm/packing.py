@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import sub_batches, written
-from casewright.llm.token_count import ODD, PIECE_CACHE, Counter, n_bytes, read_vocabulary
+from casewright.llm.token_count import ODD, PIECE_CACHE, Counter, read_vocabulary
 from casewright.operators.scan import running_sums
 
 #: A piece starts where white space follows other characters, or one of .,;:!? a letter: no byte-level token crosses these places.
@@ -60,13 +60,13 @@ class Ids(Counter):
             some = beside[i : i + BESIDE]
             raw = self.encode(["".join(some)])[0]
             ends = np.cumsum(self.bytes_of[np.frombuffer(raw, "<u4")])
-            cuts = np.cumsum([n_bytes(p) for p in some])
+            cuts = np.cumsum(list(map(len, map(str.encode, some))))
             at = np.searchsorted(ends, cuts)
             if at[-1] >= len(ends) or (ends[at] != cuts).any():
                 super().learn(some)
                 continue
             stops = (4 * (at + 1)).tolist()
-            self.update((p, raw[x:y]) for p, x, y in zip(some, [0, *stops], stops))
+            self.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops))))
 
     def of(self, texts: list[str]) -> list[bytes]:
         if self.whole:
@@ -75,9 +75,10 @@ class Ids(Counter):
         if len(self) > PIECE_CACHE // 2:
             self.before = dict(self)
             self.clear()
-        missing = list({p for c in cut for p in c}.difference(self))
-        new = [p for p in missing if p not in self.before]
-        self.update((p, self.before[p]) for p in missing if p in self.before)
+        missing = set().union(*cut).difference(self)
+        known = missing & self.before.keys()
+        self.update(zip(known, map(self.before.__getitem__, known)))
+        new = list(missing - known)
         self.learn(new)
         out = [b"".join(map(self.__getitem__, c)) for c in cut]
         for p in new:
