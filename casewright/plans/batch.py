@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,9 @@ from pyspark.sql import functions as F
 from casewright.functions import text as X
 from casewright.operators import report, template
 from casewright.plans import jobs
-from casewright.sources import files, listed, pages, sinks, word
+from casewright.sources import commits, files, listed, pages, sinks, word
 from casewright.sources.work import kept
 
-MANIFEST = "out_name string, path string"
 #: Paths that are sent to all tasks.
 MOST_SENT = 100_000
 
@@ -35,6 +35,11 @@ class Options:
     patterns: list[str] | None = None
     hints: str = ""
     tasks: int | None = None
+    #: A document is asked as a whole, without sections; runs of one id are merged over all documents of the run.
+    whole: bool = False
+    request: bool = False
+    #: What the caller sends beside payloads; the audit has it without tokens.
+    headers: dict[str, str] = field(default_factory=dict)
 
 
 def read_folder(spark: SparkSession, source: str, options: Options, only: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
@@ -69,17 +74,39 @@ def one_of_each_name(inputs: DataFrame) -> DataFrame:
     return marked.withColumn("reason", F.when(F.col("_taken"), "name_taken").otherwise(F.col("reason"))).drop("_nth", "_taken")
 
 
+def _messages(inputs: DataFrame, got: jobs.Extraction, request: bool) -> DataFrame:
+    """place and message of files, sections and duplicates, in the order in which they are told."""
+    named = inputs.select("doc_id", "file_name")
+    told = inputs.select(F.lit(0).alias("scope"), F.col("doc_id").alias("doc_ord"), "file_name", "detail")
+    failed = got.errors if got.errors is not None else inputs.limit(0).select("doc_id", F.lit(0).alias("section_no"), F.lit("").alias("message"))
+    failed = failed.join(named, "doc_id").select(F.lit(0).alias("scope"), F.col("doc_id").alias("doc_ord"), "section_no", "file_name", "message")
+    doc = F.col("first.doc_id") if request else F.col("doc_id")
+    warned = got.warnings.select(F.lit(0).alias("scope"), F.struct(doc.alias("doc_ord")).alias("first"), "warning")
+    return report.messages(told, failed, warned).select("place", "message")
+
+
+def export(spark: SparkSession, output: str, run: str) -> None:
+    """Writes a committed run's documents, one folder each, and says so in the log; doing it again changes nothing."""
+    sinks.write_outputs(spark.read.parquet(f"{output}/cases/run={run}"), f"{output}/rows")
+    commits.commit(spark, output, run, exported=True)
+
+
 def run_folder(spark: SparkSession, source: str, output: str, options: Options = Options(), blocks: DataFrame | None = None) -> DataFrame:
     """Extract the documents of ``source`` that ``output`` does not have yet; returns the counts of the run.
 
-    Below ``output``: rows (one folder for each document), manifest (what is done), results and failures (JSON lines) and
-    work (texts and replies of this run, so that nothing is read or called twice).  Documents without rows are tried again.
-    Of documents whose outputs have one name the first by path that can be read is taken; the others are skipped with a
-    record: ``by_suffix`` tells a docx and a pdf apart.  ``blocks``: see :func:`read_folder`.
+    A run stages its cases, results, failures, messages, audit and manifest (what is done) below ``output``, and one entry of
+    the log makes all of them visible; read them with sources.commits.  After that ``rows`` (one folder for each
+    document) is exported, and a later run exports what a lost one could not.  What was never
+    committed is swept away.  work: texts and replies of this run, so that nothing is read or called twice.  Documents
+    without rows are tried again.  Of documents whose outputs have one name the first by path that can be read is taken;
+    the others are skipped with a record: ``by_suffix`` tells a docx and a pdf apart.  ``blocks``: see :func:`read_folder`.
     """
-    spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{output}/manifest")
-    done = spark.read.schema(MANIFEST).parquet(f"{output}/manifest").select("out_name").distinct()
-    steps: list[str] = []
+    commits.sweep(spark, output)
+    for r in commits.commits(spark, output).where("NOT exported").collect():
+        export(spark, output, r.run)
+    manifest = commits.committed(spark, output, "manifest")
+    done = manifest.select("out_name").distinct() if manifest is not None else spark.createDataFrame([], "out_name string")
+    run, steps = uuid.uuid4().hex, []
 
     def keep(df: DataFrame) -> DataFrame:
         steps.append(f"{output}/work/{len(steps)}")
@@ -97,16 +124,21 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     inputs = keep(one_of_each_name(inputs))
     good = texts.join(inputs.where("reason IS NULL").select("doc_id"), "doc_id", "left_semi").select("doc_id", "file_name", "doc_text")
     if options.caller is None:
-        got = jobs.by_template(good, options.templates)
+        got = jobs.by_template(good, options.templates, options.request, keep)
     else:
-        got = jobs.by_model(good, options.caller, options.model, options.level, options.patterns, options.hints, options.tasks, keep)
-    cases = keep(got.cases.join(inputs.select("doc_id", "out_name"), "doc_id"))
+        got = jobs.by_model(good, options.caller, options.model, options.level, options.patterns, options.hints, options.tasks, keep, options.whole, options.request)
+        calls = got.calls.select("doc_id", "section_no", F.when(F.col("error").isNull(), "response").otherwise("error").alias("event"), "error", F.char_length("content").alias("reply_chars"))
+        headers = F.create_map(*(F.lit(x) for pair in options.headers.items() for x in pair)) if options.headers else F.lit(None).cast("map<string,string>")
+        commits.stage(sinks.audit_rows(calls.withColumn("headers", headers)), output, "audit", run)
+    commits.stage(got.cases.join(inputs.select("doc_id", "out_name"), "doc_id"), output, "cases", run)
     results = report.file_results(inputs, got.raw.select("doc_id"), got.errors, got.details)
     exists = F.coalesce(F.col("reason") == "name_taken", F.lit(False))
     results = keep(report.with_status(results.withColumn("exists", exists), options.skip_empty_rows))
-    sinks.write_outputs(cases, f"{output}/rows")
-    sinks.append_json(results.drop("exists"), f"{output}/results")
-    sinks.append_json(report.failure_records(results), f"{output}/failures")
-    results.where("status = 'written'").select("out_name", "path").write.mode("append").parquet(f"{output}/manifest")
+    commits.stage(results.drop("exists"), output, "results", run)
+    commits.stage(report.failure_records(results), output, "failures", run)
+    commits.stage(_messages(inputs, got, options.request), output, "messages", run)
+    commits.stage(results.where("status = 'written'").select("out_name", "path"), output, "manifest", run)
+    commits.commit(spark, output, run)
+    export(spark, output, run)
     skipped = inputs_found.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))
     return report.batch_summary(results.select("status").unionByName(skipped), options.strict)

@@ -15,7 +15,7 @@ from casewright.sources.work import kept
 
 @dataclass(frozen=True)
 class Extraction:
-    """cases: merged and flagged; raw: as they were found; warnings; errors, plan and details where a model was asked."""
+    """cases: merged and flagged; raw: as they were found; warnings; errors, plan, details and calls where a model was asked."""
 
     cases: DataFrame
     raw: DataFrame
@@ -23,6 +23,7 @@ class Extraction:
     errors: DataFrame | None = None
     sections: DataFrame | None = None
     details: DataFrame | None = None
+    calls: DataFrame | None = None
 
 
 ORDER = ["section_no", "case_no"]
@@ -71,4 +72,4 @@ def by_model(docs: DataFrame, caller: Callable[[list[str]], list[str]], model: s
     raw = replies.case_rows(parsed).unionByName(sections.placeholder_cases(planned))
     good = parsed.where("error IS NULL").select("doc_id", "section_no")
     details = report.section_details(prep.prepared(docs), planned, asked.select("doc_id", "section_no", "truncated").join(good, ["doc_id", "section_no"]))
-    return _merged(raw, request, kept, errors=replies.section_errors(parsed), sections=planned, details=details)
+    return _merged(raw, request, kept, errors=replies.section_errors(parsed), sections=planned, details=details, calls=answered)

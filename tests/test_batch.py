@@ -3,7 +3,9 @@ import os
 
 import pytest
 
+from casewright.plans import batch
 from casewright.plans.batch import Options, run_folder
+from casewright.sources.commits import committed, latest
 from tests_docx import docx, p
 
 
@@ -24,7 +26,7 @@ def test_folder_with_templates(spark, tmp_path):
     assert first == {"written": 1, "skipped": 0, "not_written": 0, "failures": 4}
     rows = spark.read.option("header", "true").option("multiLine", "true").csv(f"{out}/rows").collect()
     assert [(r["Test ID"], r["Description"], r["Procedure / steps"], r.out_name) for r in rows] == [("TC_1_A", "Told.\nTold.", "1 | go\n1 | go", "a.xlsx"), ("TC_2_B", "Told.", "1 | go", "a.xlsx")]
-    failed = {r.file: (r.phase, r.reason) for r in spark.read.json(f"{out}/failures").collect()}
+    failed = {r.file: (r.phase, r.reason) for r in committed(spark, out, "failures").collect()}
     assert failed == {"bad.docx": ("unexpected", "exception"), "c.pdf": ("extract", "unsupported"), "d.docx": ("extract", "no_template"), "e.docx": ("extract", "empty_text")}
     plan(source, "f.docx", "TC_9_Z")
     again = run_folder(spark, str(source), out).first().asDict()
@@ -47,7 +49,7 @@ def test_folder_with_a_model(spark, tmp_path):
     assert got.written == 1 and got.failures == 0
     rows = spark.read.option("header", "true").csv(f"{out}/rows").collect()
     assert sorted(r["Test ID"] for r in rows) == ["TC_1_A", "TC_2_B"] and {r["File Name"] for r in rows} == {"a.docx"}
-    told = spark.read.json(f"{out}/results").first()
+    told = committed(spark, out, "results").first()
     assert (told.n_rows, told.section_calls, told.placeholders, told.truncated, told.prep_fallback, told.status) == (2, 2, 0, False, False, "written")
 
 
@@ -68,7 +70,7 @@ def test_outputs_of_one_name(spark, tmp_path):
     assert rows_of(spark, out) == [("a.xlsx", "TC_1_A", "a.docx"), ("a.xlsx", "TC_2_A", "a.docx"), ("b.xlsx", "TC_3_B", "b.docx")]
     read = [x.read_text() for x in (tmp_path / "out" / "rows" / "out_name=a.xlsx").iterdir() if x.name.startswith("part")]
     assert len(read) == 1 and read[0].index("TC_1_A") < read[0].index("TC_2_A")
-    assert sorted((r.file, r.phase, r.reason) for r in spark.read.json(f"{out}/failures").collect()) == [("a.docx", "output", "name_taken"), ("a.docx", "unexpected", "exception")]
+    assert sorted((r.file, r.phase, r.reason) for r in committed(spark, out, "failures").collect()) == [("a.docx", "output", "name_taken"), ("a.docx", "unexpected", "exception")]
     again = run_folder(spark, str(source), out, Options(recursive=True)).first().asDict()
     assert again == {"written": 0, "skipped": 4, "not_written": 0, "failures": 0}
 
@@ -133,4 +135,44 @@ def test_pdf_files_given_as_blocks(spark, tmp_path):
     blocks = spark.createDataFrame(rows, "path string, page int, top double, left double, block_no int, kind string, text string, cells array<array<string>>")
     got = run_folder(spark, str(source), out, blocks=blocks).first().asDict()
     assert got == {"written": 1, "skipped": 0, "not_written": 0, "failures": 2} and rows_of(spark, out) == [("a.xlsx", "TC_1_A", "a.pdf")]
-    assert {r.file: r.reason for r in spark.read.json(f"{out}/failures").collect()} == {"b.pdf": "empty_text", "c.pdf": "unsupported"}
+    assert {r.file: r.reason for r in committed(spark, out, "failures").collect()} == {"b.pdf": "empty_text", "c.pdf": "unsupported"}
+
+
+def test_a_lost_run_leaves_nothing_visible(spark, tmp_path, monkeypatch):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    plan(source, "a.docx", "TC_1_A")
+    with monkeypatch.context() as m:
+        m.setattr(batch.commits, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            run_folder(spark, str(source), out)
+    assert [committed(spark, out, t) for t in batch.commits.TABLES] == [None] * 6 and not (tmp_path / "out" / "rows").exists()
+    assert len(list((tmp_path / "out" / "cases").iterdir())) == 1
+    with monkeypatch.context() as m:  # and one that is lost after it was committed is exported by the next
+        m.setattr(batch.sinks, "write_outputs", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError, match="killed"):
+            run_folder(spark, str(source), out)
+    assert len(list((tmp_path / "out" / "cases").iterdir())) == 1  # the first one's was swept away
+    assert [r.test_id for r in latest(spark, out).collect()] == ["TC_1_A"] and not (tmp_path / "out" / "rows").exists()
+    assert run_folder(spark, str(source), out).first().skipped == 1 and rows_of(spark, out) == [("a.xlsx", "TC_1_A", "a.docx")]
+    plan(source, "a.docx", "TC_2_B")
+    run_folder(spark, str(source), out, Options(force=True))
+    assert [r.test_id for r in latest(spark, out).collect()] == ["TC_2_B"] and committed(spark, out, "cases").count() == 2
+
+
+def test_messages_audit_and_whole_documents_of_a_run(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    plan(source, "a.docx", "TC_1_A")
+    plan(source, "b.docx", "TC_2_B")
+    (source / "c.docx").write_bytes(b"no zip")
+
+    def caller(payloads):
+        return [ValueError("HTTP error 503") if "b.docx" in p else json.dumps({"test_cases": [{"test_id": t} for t in ("X", "Y", "X")]}) for p in payloads]
+
+    got = run_folder(spark, str(source), out, Options(caller=caller, model="m", whole=True, request=True, headers={"Authorization": "Bearer secret"})).first()
+    assert (got.written, got.failures) == (1, 2)
+    told = [r.message for r in committed(spark, out, "messages").orderBy("place").collect()]
+    assert told[0] == 'b.docx: Section "": HTTP error 503' and told[1].startswith("c.docx: BadZipFile") and "'X' has non-contiguous" in told[2] and len(told) == 3
+    audit = committed(spark, out, "audit").orderBy("doc_id").collect()
+    assert [(r.event, r.error) for r in audit] == [("response", None), ("error", "HTTP error 503")] and {r.headers["Authorization"] for r in audit} == {"Bearer <redacted>"}
