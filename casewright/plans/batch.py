@@ -97,7 +97,8 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     A run stages its cases, results, failures, messages, audit and manifest (what is done) below ``output``, and one entry of
     the log makes all of them visible; read them with sources.commits.  After that ``rows`` (one folder for each
     document) is exported, and a later run exports what a lost one could not.  What was never
-    committed is swept away.  work: texts and replies of this run, so that nothing is read or called twice.  Documents
+    committed is swept away.  work: texts and replies of this run, so that nothing is read twice; calls: answers of
+    the caller as they come, which a run after a lost one takes over instead of asking again.  Documents
     without rows are tried again.  Of documents whose outputs have one name the first by path that can be read is taken;
     the others are skipped with a record: ``by_suffix`` tells a docx and a pdf apart.  ``blocks``: see :func:`read_folder`.
     """
@@ -126,7 +127,7 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     if options.caller is None:
         got = jobs.by_template(good, options.templates, options.request, keep)
     else:
-        got = jobs.by_model(good, options.caller, options.model, options.level, options.patterns, options.hints, options.tasks, keep, options.whole, options.request)
+        got = jobs.by_model(good, options.caller, options.model, options.level, options.patterns, options.hints, options.tasks, keep, options.whole, options.request, calls=f"{output}/calls")
         calls = got.calls.select("doc_id", "section_no", F.when(F.col("error").isNull(), "response").otherwise("error").alias("event"), "error", F.char_length("content").alias("reply_chars"))
         headers = F.create_map(*(F.lit(x) for pair in options.headers.items() for x in pair)) if options.headers else F.lit(None).cast("map<string,string>")
         commits.stage(sinks.audit_rows(calls.withColumn("headers", headers)), output, "audit", run)
@@ -139,6 +140,7 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     commits.stage(_messages(inputs, got, options.request), output, "messages", run)
     commits.stage(results.where("status = 'written'").select("out_name", "path"), output, "manifest", run)
     commits.commit(spark, output, run)
+    commits.delete(spark, f"{output}/calls")
     export(spark, output, run)
     skipped = inputs_found.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))
     return report.batch_summary(results.select("status").unionByName(skipped), options.strict)

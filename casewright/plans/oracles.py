@@ -225,6 +225,12 @@ oracle(
 oracle("partial_failures", "SELECT doc_id, section_no, 'Section \"' || title || '\": ' || error AS message FROM reply_errors WHERE error IS NOT NULL")
 oracle("retryable_requests", "SELECT request_id, coalesce(request_id % 7 IN (0, 2, 3, 5), false) AS retryable, coalesce(request_id % 7 IN (0, 2, 3, 4, 5), false) AS retryable_batch FROM failing")
 oracle("resubmit_requests", "SELECT request_id FROM failing WHERE request_id % 7 IN (0, 2, 3, 5)")
+oracle(
+    "call_ledger",
+    """SELECT conv_id, turn, CASE WHEN form > 1 THEN CAST(n AS VARCHAR) || ' ' || substr(said, 1, 20) END AS content,
+    CASE form WHEN 0 THEN 'HTTP error 503: busy' WHEN 1 THEN 'HTTP error 400: refused' END AS error, CAST(CASE WHEN form = 0 THEN 6 ELSE 1 END AS INT) AS attempt
+    FROM (SELECT conv_id, turn, coalesce(text, '') AS said, length(coalesce(text, '')) AS n, length(coalesce(text, '')) % 7 AS form FROM conversations)""",
+)
 oracle(
     "running_totals",
     """SELECT doc_id, section_no, n_rows, CAST(row_number() OVER w AS INT) AS section_index, CAST(sum(n_rows) OVER w AS BIGINT) AS cumulative_rows FROM (

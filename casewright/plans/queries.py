@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from casewright.functions import text as X
 from casewright.functions.schemas import CASE_FIELDS
-from casewright.operators import merge, prep, replies, report, sections, template
+from casewright.operators import ledger, merge, prep, replies, report, sections, template
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
 from casewright.sources import files, pages, sinks
-from casewright.sources.work import kept
+from casewright.sources.work import kept, shared_folder
 from casewright.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,18 @@ def resubmit_requests(spark, sf_dir):
     return replies.to_resubmit(calls.select("request_id"), calls, ["request_id"])
 
 
+def flaky_caller(payloads: list[str]):
+    """Stands in for a server: some payloads always meet a busy one, some are refused."""
+    for p in payloads:
+        yield {0: TimeoutError("HTTP error 503: busy"), 1: ValueError("HTTP error 400: refused")}.get(len(p) % 7) or f"{len(p)} {p[:20]}"
+
+
+@query
+def call_ledger(spark, sf_dir):
+    asked = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("payload"))
+    return ledger.call_once(asked, flaky_caller, shared_folder(spark), ["conv_id", "turn"])
+
+
 @query
 def running_totals(spark, sf_dir):
     counted = _parsed(spark, sf_dir).select("doc_id", "section_no", F.coalesce(F.size("cases"), F.lit(0)).cast("long").alias("n_rows"))

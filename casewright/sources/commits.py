@@ -16,6 +16,17 @@ def _children(spark: SparkSession, folder: str) -> list[tuple[str, object, objec
     return [(s.getPath().getName(), s.getPath(), system) for s in system.listStatus(path)] if system.exists(path) else []
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as tasks need it that do not read by Spark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, output: str, what: str, run: str) -> None:
     """Writes a run's rows of a table; nobody sees them yet."""
     df.write.mode("overwrite").parquet(f"{output}/{what}/run={run}")
