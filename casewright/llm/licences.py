@@ -46,19 +46,31 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
         "GNU General Public License Version 3, 29 June 2007",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "GNU General Public License Version 2, June 1991",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "LGPL-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "GNU Lesser General Public License Version 3, 29 June 2007",
         "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "AGPL-3.0": (
         "GNU Affero General Public License Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
@@ -68,6 +80,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
     "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "EPL-2.0": (
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -82,15 +99,56 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
 }
+#: What reserves rights and grants none; it names a text only where no grant does.
+RESERVATION = "Proprietary"
+#: A wording that has one of these is no match of a text without it.
+NAMES = frozenset({"apache", "mit", "gnu", "bsd", "mozilla", "eclipse", "cc", "cc0", "creative", "isc"})
+#: Words before "General Public License" that make it another licence.
+KINDS = {"lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}
+#: Terms in which the title of a complete licence stands, and in which the clauses of a BSD licence follow its opening.
+TITLE, CLAUSES = 40, 320
+# Fixed value: what the users of AGPL-3.0 are promised beyond GPL-3.0, in its section 13.
+REMOTE_USE = "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."
+
+
+def versions(terms: list[str]) -> set[str]:
+    """Numbers of versions: after "version" or "v", as "v2", or with a dot; 2.0 is 2."""
+    found = set()
+    for before, t in zip(["", *terms], terms):
+        n = re.fullmatch(r"v?(\d+(?:\.\d+)*)", t)
+        if n and (before in ("version", "v") or t[0] == "v" or "." in t):
+            found.add(re.sub(r"(\.0)+$", "", n[1]))
+    return found
+
+
+def kinds(terms: list[str]) -> set[str]:
+    """What tells licences of one family apart: GNU licences by the word before "general", others by their hyphened names."""
+    gnu = {KINDS[t] for t, after in zip(terms, terms[1:]) if t in KINDS and after == "general"}
+    return gnu | {t for t in terms if re.fullmatch(r"by(-(nc|sa|nd))+|attribution(-(noncommercial|sharealike|noderivatives))+|[234]-clause", t)}
+
+
+def family(name: str, terms: list[str]) -> str:
+    """The licence without its version, of the kind that the terms tell."""
+    stem = "CC" if name.startswith("CC-") else name.split("-")[0]
+    return min(kinds(terms) & set(KINDS.values()), default="GPL") if stem in ("GPL", "LGPL", "AGPL") else stem
+
+
+def bsd_by_clauses(terms: list[str]) -> str:
+    """Which BSD licence an opening begins, by the clauses up to the disclaimer; the family where that is not there."""
+    said = " ".join(terms[:CLAUSES])
+    clauses, disclaimer, _ = said.partition("this software is provided")
+    if "neither the name" in clauses:
+        return "BSD-3-Clause"
+    return "BSD-2-Clause" if disclaimer else "BSD"
 
 
 @cache
 def complete_texts() -> dict[str, str]:
-    """Complete texts of licences by name; that of AGPL-3.0 is GPL-3.0's under its own name, from which it hardly differs otherwise."""
+    """Complete texts of licences by name; that of AGPL-3.0 is GPL-3.0's under its own name and with its own section 13."""
     folder = package_files("casewright.llm") / "licence_texts"
     texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
     texts["AGPL-3.0"] = re.sub(r"(?i)(GNU)(\s+General\s+Public)", r"\1 Affero\2", texts["GPL-3.0"])
-    texts["BSD-2-Clause"] = re.sub(r"(?s)\n3\..*?(?=\n\s*\n)", "", texts["BSD-3-Clause"])
+    texts["AGPL-3.0"] = re.sub(r"(?s)\n\s*13\. Use with.*?(?=\n\s*14\.)", f"\n  13. Remote Network Interaction; Use with the GNU General Public License.\n\n{REMOTE_USE}\n", texts["AGPL-3.0"])
     return texts
 
 
@@ -133,7 +191,11 @@ class Scanner:
                     rest -= x * x
         self.ids = {t: i for i, t in enumerate(self.by_term)}
         self.squares = self.squared([v for _, v in self.templates], self.ids)
+        self.told = [(frozenset(NAMES.intersection(terms)), versions(terms), kinds(terms), "spdx-license-identifier" in terms) for ws in TEMPLATES.values() for w in ws for terms in [terms_of(w)]]
+        #: How much of a licence a wording says: the length of its vector before it is made a unit.
+        self.weight = [self.length(terms_of(w)) for ws in TEMPLATES.values() for w in ws]
         self.complete = [(name, self.unit(terms_of(text))) for name, text in complete_texts().items()]
+        self.titles = [terms_of(text)[:TITLE] for text in complete_texts().values()]
         self.complete_ids = {t: i for i, t in enumerate(sorted({t for _, v in self.complete for t in v}))}
         self.complete_squares = self.squared([v for _, v in self.complete], self.complete_ids).T.copy()
 
@@ -146,62 +208,83 @@ class Scanner:
                 squares[n, ids[t]] = x * x
         return squares
 
+    def raw(self, terms: list[str]) -> dict[str, float]:
+        return {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in Counter(terms).items()}
+
+    def length(self, terms: list[str]) -> float:
+        return math.sqrt(sum(x * x for x in self.raw(terms).values()))
+
     def unit(self, terms: list[str]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in Counter(terms).items()}
+        v = self.raw(terms)
         length = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / length for t, x in v.items()} if length else {}
 
-    def best(self, terms: list[str]) -> tuple[float, str | None]:
-        """The greatest cosine with a template and its licence; ties go to the earlier template."""
-        if self.keys.isdisjoint(terms):
-            return 0.0, None
-        cosine: dict[int, float] = {}
-        for t, x in self.unit(terms).items():
-            for n, y in self.by_term.get(t, ()):
-                cosine[n] = cosine.get(n, 0.0) + x * y
-        if not cosine:
-            return 0.0, None
-        n = min(cosine, key=lambda i: (-round(cosine[i], 12), i))
-        return min(cosine[n], 1.0), self.templates[n][0]
+    def cosines(self, terms: list[str]) -> dict[int, float]:
+        """The cosine with each template that it may reach SIMILAR with."""
+        found: dict[int, float] = {}
+        if not self.keys.isdisjoint(terms):
+            for t, x in self.unit(terms).items():
+                for n, y in self.by_term.get(t, ()):
+                    found[n] = found.get(n, 0.0) + x * y
+        return found
+
+    def best(self, terms: list[str]) -> float:
+        """The greatest cosine with a template."""
+        return min(max(self.cosines(terms).values(), default=0.0), 1.0)
+
+    def named(self, n: int, terms: list[str], rest: list[str]) -> tuple[str, bool] | None:
+        """The licence that ``terms``, similar to wording ``n``, name, and whether it is just that; None if they name another.
+
+        Version and kind have to be the wording's, or the answer is the family.  ``rest``: the text from these terms on.
+        """
+        name, (names, version, kind, spdx) = self.templates[n][0], self.told[n]
+        met = set(terms)
+        if not names <= met or spdx and not self.templates[n][1].keys() <= met:
+            return None
+        if name == "BSD-3-Clause" and "redistribution" in self.templates[n][1]:
+            said = bsd_by_clauses(rest)
+            return said, said != "BSD"
+        if spdx or kind == kinds(terms) and version <= versions(terms):
+            return name, True
+        return family(name, terms), False
 
     def best_complete(self, terms: list[str]) -> tuple[float, str | None]:
         """The greatest cosine of a text with a complete licence, and its name; 0 if it is below SIMILAR."""
         met = [i for t in set(terms) if (i := self.complete_ids.get(t)) is not None]
         # the cosine is at most the length of what the text has of the licence's unit vector
         near = np.flatnonzero(self.complete_squares[met].sum(0) >= SIMILAR**2 - 1e-9)
-        top: tuple[float, str | None] = (0.0, None)
+        top: tuple[float, str | None, int] = (0.0, None, 0)
         if len(near):
             u = self.unit(terms)
             for n in near:
                 name, v = self.complete[n]
                 x = sum(y * u.get(t, 0.0) for t, y in v.items())
                 if x >= SIMILAR and x > top[0]:
-                    top = (min(x, 1.0), name)
-        return top
+                    top = (min(x, 1.0), name, n)
+        if top[1]:
+            title, own = terms[:TITLE], self.titles[top[2]]
+            agrees = kinds(title) == kinds(own) and versions(own) <= versions(title)
+            return top[0], top[1] if agrees else family(top[1], title)
+        return top[:2]
 
-    def best_window(self, terms: list[str], least: float) -> tuple[float, str | None, int]:
-        """The greatest cosine, above ``least``, of a wording with a run of as many terms; its licence and where it begins."""
-        top: tuple[float, str | None, int] = (least, None, 0)
-        met = set(terms)
-        ids = np.fromiter(map(self.ids.get, terms, repeat(-1)), np.int64, len(terms))
-        for n, (name, v) in enumerate(self.templates):
-            size = self.sizes[n]
-            if size > len(terms) or self.own_keys[n].isdisjoint(met):
+    def windows(self, n: int, terms: list[str], ids: np.ndarray, least: float) -> Iterator[tuple[float, int]]:
+        """cosine, at least ``least``, and place of the runs of terms as long as wording ``n``, each run once."""
+        v, size = self.templates[n][1], self.sizes[n]
+        if size > len(terms):
+            return
+        sums = np.concatenate(([0.0], np.cumsum(self.squares[n][ids])))
+        bound = sums[size:] - sums[:-size]  # at least the square of the cosine, see best_complete
+        seen: set[tuple[str, ...]] = set()
+        for at in np.flatnonzero(bound >= least**2 - 1e-9).tolist():
+            window = tuple(terms[at : at + size])
+            if window in seen:
+                continue
+            seen.add(window)
+            if size < SHORT and self.rarest[n].isdisjoint(window):
                 continue
-            sums = np.concatenate(([0.0], np.cumsum(self.squares[n][ids])))
-            bound = sums[size:] - sums[:-size]  # at least the square of the cosine, see best_complete
-            seen: set[tuple[str, ...]] = set()
-            for at in np.flatnonzero(bound >= max(top[0], SIMILAR) ** 2 - 1e-9).tolist():
-                window = tuple(terms[at : at + size])
-                if bound[at] < top[0] ** 2 - 1e-9 or window in seen:
-                    continue
-                seen.add(window)
-                if size < SHORT and self.rarest[n].isdisjoint(window):
-                    continue
-                x = sum(y * v.get(t, 0.0) for t, y in self.unit(window).items())
-                if x >= SIMILAR and x > top[0] + 1e-12:
-                    top = (min(x, 1.0), name, at)
-        return top
+            x = sum(y * v.get(t, 0.0) for t, y in self.unit(window).items())
+            if x >= least:
+                yield min(x, 1.0), at
 
     def scan(self, text: str | None) -> tuple[str | None, float, int | None, bool]:
         """Licence, cosine, line (from 0, null for the whole text) and whether the text as a whole is a licence.
@@ -217,19 +300,37 @@ class Scanner:
             return whole_name, whole, None, True
         if self.keys.isdisjoint(terms):
             return None, 0.0, None, False
-        whole, whole_name = self.best(terms)
-        top: tuple[float, str | None, int | None] = (whole, whole_name, None)
-        for i, line in enumerate(lines):
-            x, name = self.best(line)
-            if x > top[0]:
-                top = (x, name, i)
-        if top[0] < 1 - 1e-12:
-            x, name, at = self.best_window(terms, top[0])
-            if name:
-                top = (x, name, bisect_right(list(accumulate(map(len, lines))), at))
-        if top[0] < SIMILAR:
-            return None, top[0], None, False
-        return top[1], top[0], top[2], whole >= SIMILAR
+        starts = [0, *accumulate(map(len, lines))]
+        top: tuple = ()
+        highest = 0.0
+
+        def consider(n: int, x: float, at: int, size: int, line: int | None) -> None:
+            nonlocal top
+            got = self.named(n, terms[at : at + size], terms[at : at + CLAUSES])
+            if got:
+                name, exact = got
+                # a grant before a family before a reservation; then what says most, is nearest, listed first, and earliest
+                key = (name != RESERVATION, exact, round(x * self.weight[n], 9), round(x, 9), -n, line is None, -at)
+                if not top or key > top[0]:
+                    top = (key, name, min(x, 1.0), line)
+
+        for at, size, line in [(0, len(terms), None), *((starts[i], len(t), i) for i, t in enumerate(lines))]:
+            for n, x in self.cosines(terms[at : at + size]).items():
+                highest = max(highest, x)
+                if x >= SIMILAR:
+                    consider(n, x, at, size, line)
+        whole = self.best(terms)
+        met = set(terms)
+        ids = np.fromiter(map(self.ids.get, terms, repeat(-1)), np.int64, len(terms))
+        for n in sorted(range(len(self.templates)), key=lambda n: (self.templates[n][0] == RESERVATION, -self.weight[n])):
+            if top and (top[0][:2] > (self.templates[n][0] != RESERVATION, True) or top[0][0] and top[0][1] and top[0][2] >= self.weight[n] + 1e-6):
+                break  # nothing that follows can say more
+            if not self.own_keys[n].isdisjoint(met):
+                for x, at in self.windows(n, terms, ids, SIMILAR):
+                    consider(n, x, at, self.sizes[n], bisect_right(starts, at) - 1)
+        if not top:
+            return None, min(highest, 1.0), None, False
+        return top[1], top[2], top[3], whole >= SIMILAR
 
 
 def vocabulary() -> list[str]:
@@ -239,8 +340,11 @@ def vocabulary() -> list[str]:
 def scan_licences(docs: DataFrame, path: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, path, licence, cosine, line, is_licence_file and inherited_from of every row of ``docs``.
 
-    A row's own licence is the template nearest to one of its lines, to a run of as many terms anywhere in its text, line
-    ends within or not, or to its whole text, from cosine SIMILAR on; a text that is a complete licence is that one.  A row
+    A row's own licence is that of a template near, from cosine SIMILAR on, to one of its lines, to a run of as many terms
+    anywhere in its text, line ends within or not, or to its whole text; of several the one that says most (cosine times
+    the length of the wording's vector).  Version and kind ("Lesser", "version 2") have to be the template's, or the answer
+    is a family ("GPL", "BSD") where nothing better is found; a reservation of rights counts only where no grant is found.
+    A text that is a complete licence is that one.  A row
     without one takes that of the nearest directory above it that has a licence file: a text that is a licence as a
     whole, or a licensed text so named.  Of several in a directory the greatest cosine, then the smallest path counts.
     ``inherited_from`` is that directory.  Null, empty and termless texts have no licence of their own; a null path has
