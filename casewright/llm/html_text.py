@@ -42,8 +42,15 @@ CONTENT = frozenset(("article", "main", "h1"))
 MARKED = frozenset(("article", "main"))
 WORDS = re.compile(r"[a-z]+")
 COMMENT_END = re.compile("--!?>")
-#: What an element's names say: nothing, that it may be furniture (see LINK_WORDS), or that it is.
-PLAIN, LINKS, FURNITURE = 0, 1, 2
+#: Of these, what others write into an article, in its own boxes; other names may be of a box of the article itself.
+OTHERS_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising comment comments disqus replies responses sponsor sponsored".split())
+#: What an element's names say: nothing, that it may be furniture (see LINK_WORDS, FURNITURE_WORDS, OTHERS_WORDS; judged
+#: inside an article by :func:`own_parts`), or that it is (its role, or hidden).
+PLAIN, LINKS, NAMED, OTHERS, FURNITURE = 0, 1, 2, 3, 4
+#: Elements that an article's own prose may be in, whatever they are called; and what is in threads and boxes but not in prose.
+PROSE_TAGS, BOX_TAGS = frozenset(("p", "blockquote", "section", "div")), frozenset("div article li time header footer cite form input button textarea select iframe".split())
+#: A paragraph of an article is at least so long, as a part of its mean paragraph; a div of its own has at least so much of its text.
+PARAGRAPH, SHARE = 1 / 2, 1 / 4
 #: Share of linked characters from which an element named by LINK_WORDS is furniture.
 LINKED = 1 / 3
 
@@ -55,7 +62,7 @@ def names_furniture(token: str) -> int:
         return PLAIN
     while len(words) > 1 and words[-1] in PLACES and words[-1] not in FURNITURE_WORDS:
         words.pop()
-    return PLAIN if not words else FURNITURE if words[-1] in FURNITURE_WORDS else LINKS if words[-1] in LINK_WORDS else PLAIN
+    return PLAIN if not words else OTHERS if words[-1] in OTHERS_WORDS else NAMED if words[-1] in FURNITURE_WORDS else LINKS if words[-1] in LINK_WORDS else PLAIN
 
 
 class Tree(HTMLParser):
@@ -215,23 +222,58 @@ def most_of_text(tree: Tree, marks: list[int]) -> list[bool]:
     return [2 * chars[i] > chars[0] and marks[i] == marks[0] for i in range(n)]
 
 
-def paragraphs(tree: Tree) -> list[bool]:
-    """Whether an element holds a paragraph, and less than LINKED of its characters are in links."""
+def own_parts(tree: Tree) -> list[bool]:
+    """Which named elements of an article (article or main) are its own text, judged by what is in them.
+
+    Less than LINKED of their characters are in links.  Named by LINK_WORDS they hold a paragraph.  Others are prose: they
+    hold no controls, no boxes as a comment thread or an advert has, and nothing that is named itself; a paragraph or the
+    mean one of a section is at least PARAGRAPH of the article's mean one; a div that no OTHERS_WORDS name has SHARE of the
+    article's text; and of paragraphs called by OTHERS_WORDS there is one among brothers, for several are a thread.
+    """
     n = len(tree.tag)
-    chars, links, linked, holds = [0] * n, [0] * n, [False] * n, [False] * n
+    chars, links, linked, holds = [0] * n, [0] * n, [False] * n, [0] * n
+    said, mark, plain, boxed, voices = [0] * n, [0] * n, [True] * n, [False] * n, [0] * n
     for i in range(1, n):
-        linked[i] = linked[tree.parent[i]] or tree.tag[i] == "a"
+        p, tag = tree.parent[i], tree.tag[i]
+        linked[i] = linked[p] or tag == "a"
+        mark[i] = i if tag in MARKED else mark[p]
+        plain[i] = tag in MARKED or plain[p] and tree.noise[i] == PLAIN and tag not in FURNITURE_TAGS
+        voices[p] += tag == "p" and tree.noise[i] == OTHERS
     for i, t in tree.texts:
-        if t:
+        if t and tree.tag[i] not in UNREAD_TAGS:
             size = len(" ".join(t.split()))
             chars[i] += size
             links[i] += size * linked[i]
+    count, length = [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
-        p = tree.parent[i]
+        p, tag = tree.parent[i], tree.tag[i]
         chars[p] += chars[i]
         links[p] += links[i]
-        holds[p] = holds[p] or holds[i] or tree.tag[i] == "p" and chars[i] > 0
-    return [holds[i] and links[i] < LINKED * chars[i] for i in range(n)]
+        if tag == "p" and chars[i]:
+            holds[i] += 1
+            said[i] += chars[i]
+            if plain[i]:
+                count[mark[i]] += 1
+                length[mark[i]] += chars[i]
+        holds[p] += holds[i]
+        said[p] += said[i]
+        boxed[p] = boxed[p] or boxed[i] or tag in BOX_TAGS or tree.noise[i] != PLAIN
+
+    def own(i: int) -> bool:
+        if not mark[i] or links[i] >= LINKED * chars[i]:
+            return False
+        if tree.noise[i] == LINKS:
+            return holds[i] > 0
+        if tree.tag[i] not in PROSE_TAGS or boxed[i] or not chars[i]:
+            return False
+        if tree.tag[i] == "div":
+            return tree.noise[i] == NAMED and holds[i] > 0 and chars[i] >= SHARE * chars[mark[i]]
+        mean = length[mark[i]] / count[mark[i]] if count[mark[i]] else 0
+        if tree.tag[i] == "section":
+            return holds[i] > 0 and said[i] / holds[i] >= PARAGRAPH * mean
+        return chars[i] >= PARAGRAPH * mean and not (tree.noise[i] == OTHERS and voices[tree.parent[i]] > 1)
+
+    return [PLAIN < tree.noise[i] < FURNITURE and own(i) for i in range(n)]
 
 
 def dropped(tree: Tree) -> list[bool]:
@@ -244,14 +286,14 @@ def dropped(tree: Tree) -> list[bool]:
         if tree.tag[i] in CONTENT or holds[i]:
             holds[tree.parent[i]] = True
     most = most_of_text(tree, marks) if any(tree.noise[i] or tree.tag[i] == "form" for i in range(1, n)) else [False] * n
-    prose = paragraphs(tree) if LINKS in tree.noise else []
+    own = own_parts(tree) if any(PLAIN < x < FURNITURE for x in tree.noise) else [False] * n
     drop, within = [False] * n, [False] * n  # within: in a named wrapper or an article
     for i in range(1, n):
         p, tag = tree.parent[i], tree.tag[i]
         inside[i] = inside[p] or tag in MARKED
         within[i] = within[p] or tree.noise[i] != PLAIN or tag == "article"
         kept = holds[i] or most[i] or tag == "article" and not within[p]
-        noise = tree.noise[i] == FURNITURE or tree.noise[i] == LINKS and not (inside[p] and prose[i])
+        noise = tree.noise[i] != PLAIN and not (inside[p] and own[i])
         named = tag in UNREAD_TAGS or tag in FURNITURE_TAGS or tag in CONTROLS and not inside[p] or (noise or tag == "form") and not kept
         drop[i] = drop[p] or named or tag == "header" and not inside[p]
     return drop

@@ -153,6 +153,68 @@ def test_broken_markup_and_wrongly_named_text(html, expected):
     assert main_text(html) == expected
 
 
+NAMES_OF_BOXES = ["comment", "menu", "alert", "notice", "red-alert", "banner", "promo", "ad", "disclaimer", "legal-notice", "subscribe", "replies"]
+
+
+@pytest.mark.parametrize("name", NAMES_OF_BOXES)
+def test_named_blocks_of_an_article_are_judged_by_their_text(name):
+    one, two, three = "a sentence of the article, as long as any. " * 4, "another that says what follows from it all. " * 4, "and a third one, which ends it. " * 5
+    page = lambda inner: f"<body><nav><a href=x>m</a></nav><article><h1>H</h1><p>{one}</p>{inner}</article></body>"
+    lines = lambda *texts: "\n\n".join(t.strip() for t in ("H", *texts))
+    assert main_text(page(f"<p class='{name}'>{two}</p>")) == lines(one, two)
+    assert main_text(page(f"<section class='{name}'><h2>S</h2><p>{two}</p><p>{three}</p></section>")) == lines(one, "S", two, three)
+    gone = [
+        f"<div class='{name}'>{two[:40]}</div>", f"<p class='{name}'>short words</p>", f"<section class='{name}'><p>short words</p></section>", f"<div class='{name}'><p>short words</p></div>",
+        f"<section class='{name}'><p>{two} <a href=x>{two}</a></p></section>", f"<p class='{name}'><a href=x>{two}</a></p>", f"<section class='{name}'><p>{two}</p><form><input name=q><button>Send</button></form></section>",
+        f"<section class='{name}'><div class='c'><b>Jo</b> <time>May 1</time><p>{two}</p></div><div class='c'><b>Al</b><p>{three}</p></div></section>",
+        f"<section class='{name}'><ul><li><p>{two}</p></li></ul></section>", f"<section class='{name}'><p class='{name}'>{two}</p><p class='{name}'>{three}</p></section>",
+        f"<div class='{name}' role='alert'><p>{two}</p></div>", f"<p class='{name}' hidden>{two}</p>",
+    ]
+    for inner in gone:
+        assert main_text(page(inner)) == lines(one), inner
+    assert main_text(page(f"<div class='{name}'><p>{two}</p><p>{three}</p></div>")) == (lines(one) if name in ("comment", "ad", "replies") else lines(one, two, three))
+    assert main_text(f"<body><section class='{name}'><p>{two}</p></section><article><p>{one}{one}</p></article></body>") == (one + one).strip()
+
+
+def test_a_thread_of_paragraphs_goes():
+    long = "words that a reader left below it. " * 5
+    thread = "".join(f"<p class='comment'>{long}{i}</p>" for i in range(3))
+    assert main_text(f"<article><p>{long}</p><p>{long}</p>{thread}</article>") == f"{long.strip()}\n\n{long.strip()}"
+
+
+def plain_own_text(parts):
+    """The blocks of an article that stay: a second, plain reading of the rule, over (tag, named, linked, paragraphs)."""
+    plain = [len(p) for tag, named, linked, ps in parts if not named for p in ps]
+    mean, whole = sum(plain) / len(plain) if plain else 0, sum(len(p) for *_, ps in parts for p in ps)
+    kept = []
+    for tag, named, linked, ps in parts:
+        size = sum(map(len, ps))
+        if not named or not linked and (tag == "div" and named == "notice" and size >= whole / 4 or tag != "div" and size / len(ps) >= mean / 2):
+            kept += ps
+    return "\n\n".join(kept)
+
+
+def test_blocks_that_stay_equal_a_plain_reading_on_random_articles():
+    rnd, told = random.Random(12), 0
+    for _ in range(400):
+        parts = [("p", "", False, ["w" * rnd.randint(30, 90)]) for _ in range(rnd.randint(1, 4))]
+        seen = False  # one paragraph of "ad": more are a thread
+        for _ in range(rnd.randint(0, 4)):
+            tag, named = rnd.choice(["p", "section", "div"]), rnd.choice(["notice", "ad", ""])
+            if tag == "p" and named == "ad":
+                if seen:
+                    continue
+                seen = True
+            parts.insert(rnd.randrange(len(parts) + 1), (tag, named, bool(named) and rnd.random() < 0.3, ["w" * rnd.randint(5, 90) for _ in range(1 if tag == "p" else rnd.randint(1, 3))]))
+        html = ""
+        for tag, named, linked, ps in parts:
+            inner = [f"<a href=x>{p}</a>" if linked else p for p in ps]
+            html += f"<{tag} class='{named}'>" + (inner[0] if tag == "p" else "".join(f"<p>{p}</p>" for p in inner)) + f"</{tag}>"
+        assert main_text(f"<article>{html}</article>") == plain_own_text(parts), html
+        told += any(named for _, named, *_ in parts)
+    assert told > 200
+
+
 PARTS = ["<p>", "</p>", "<div class='ad'>", "</div>", "<![CDATA[", "]]>", "<!--", "-->", "<!", "<?", "</", "<", ">", "<a href=\"", "\"", "'", "&amp;", "&#x;", "&#1114112;", "<script>", "</script>", "<table><td>", "<article>", "</article>", "text ", "\x00", "<svg/>", "<![if x", "<br>", "<h1>", "="]
 
 
