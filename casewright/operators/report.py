@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from casewright.functions.schemas import CASE_FIELDS, EVENTS
 from casewright.operators.lines import joined
 
 
@@ -85,3 +87,51 @@ def failure_records(results: DataFrame) -> DataFrame:
     """
     phase = F.when(F.col("status") == "empty", "rows").when(F.col("status") == "skipped", "output").when(F.col("reason") == "exception", "unexpected").otherwise("extract")
     return results.where("status IN ('failed', 'empty') OR status = 'skipped' AND reason = 'name_taken'").select(F.col("file_name").alias("file"), phase.alias("phase"), "reason", "detail")
+
+
+def job_events(results: DataFrame, cases: DataFrame, errors: DataFrame | None = None, sections: DataFrame | None = None) -> DataFrame:
+    """The feed of a run, as EVENTS: each document that was not skipped is a job, its path is the id.
+
+    A job tells of each try of each section that was asked, in order (llm_retry, then llm_section_done with the rows so far
+    or llm_section_error), and ends with its result or, if its status is a failure, with an error.  ``results``: see
+    :func:`with_status`, with path; ``cases``: doc_id, section_no, case_no and the fields of a case; ``errors``: doc_id, section_no,
+    message; ``sections``: doc_id, section_no, title, error, attempt (tries) and n_rows.  A document is the largest group.
+    """
+    jobs = results.where("status <> 'skipped'").withColumn("job_id", F.col("path"))
+    fields = {f.name: f.dataType for f in EVENTS}
+    event = lambda **own: [(own[n] if n in own else F.lit(None)).cast(t).alias(n) for n, t in fields.items()]
+
+    def progress(**own: Column) -> Column:
+        return F.struct(*((own[f.name] if f.name in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields["data"]))
+
+    listed = lambda df, what, name: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(what)).alias(name))
+    rows = listed(cases, F.struct("section_no", "case_no", F.struct(*CASE_FIELDS).alias("x")), "_rows")
+    done = jobs.join(rows, "doc_id", "left")
+    if errors is not None:
+        done = done.join(listed(errors, F.struct("section_no", F.col("message").alias("x")), "_errors"), "doc_id", "left")
+    else:
+        done = done.withColumn("_errors", F.lit(None).cast("array<struct<section_no:int,x:string>>"))
+    if sections is not None:
+        done = done.join(sections.groupBy("doc_id").agg(F.sum("attempt").alias("_told")), "doc_id", "left")
+    else:
+        done = done.withColumn("_told", F.lit(None).cast("long"))
+    bad = F.col("status").isin("failed", "empty")
+    values = lambda c, t: F.when(~bad, F.coalesce(F.transform(c, lambda s: s["x"]), F.array().cast(t)))
+    told = F.when(~bad, F.array(F.struct(F.col("file_name").alias("filename"), "template", F.col("n_rows").alias("rows"), "ok", "reason", "detail")))
+    last = done.select(*event(
+        job_id=F.col("job_id"), seq=F.coalesce("_told", F.lit(0)) + 1, type=F.when(bad, "error").otherwise("result"), message=F.when(bad, F.coalesce("detail", "reason", F.lit("No rows were found"))),
+        rows=values(F.col("_rows"), fields["rows"]), errors=values(F.col("_errors"), T.ArrayType(T.StringType())), template=F.when(~bad, F.col("template")), file_results=told,
+    ))
+    if sections is None:
+        return last
+    inside = Window.partitionBy("doc_id").orderBy("section_no")
+    part = sections.withColumns({"n_rows": F.coalesce("n_rows", F.lit(0)).cast("long"), "index": F.row_number().over(inside), "total": F.count("*").over(Window.partitionBy("doc_id"))})
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    part = part.withColumns({"cumulative": F.sum("n_rows").over(so_far), "_after": F.sum("attempt").over(so_far)})
+    tries = part.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("attempt")))).join(jobs.select("doc_id", "job_id", "file_name"), "doc_id")
+    again, good = F.col("nth") < F.col("attempt"), F.col("error").isNull()
+    own = progress(
+        step=F.when(again, "llm_retry").when(good, "llm_section_done").otherwise("llm_section_error"), file=F.col("file_name"), title=F.col("title"), error=F.when(~again, F.col("error")), index=F.col("index"), total=F.col("total"),
+        rows_in_section=F.when(~again & good, F.col("n_rows")), cumulative_rows=F.when(~again & good, F.col("cumulative")),
+    )
+    return last.unionByName(tries.select(*event(job_id=F.col("job_id"), seq=F.col("_after") - F.col("attempt") + F.col("nth"), type=F.lit("progress"), data=own)))

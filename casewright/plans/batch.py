@@ -86,17 +86,18 @@ def _messages(inputs: DataFrame, got: jobs.Extraction, request: bool) -> DataFra
 
 
 def export(spark: SparkSession, output: str, run: str) -> None:
-    """Writes a committed run's documents, one folder each, and says so in the log; doing it again changes nothing."""
+    """Writes a committed run's documents, one folder each, and its feed as JSON lines, and says so in the log; doing it again changes nothing."""
     sinks.write_outputs(spark.read.parquet(f"{output}/cases/run={run}"), f"{output}/rows")
+    spark.read.parquet(f"{output}/feed/run={run}").write.mode("overwrite").json(f"{output}/events/run={run}")
     commits.commit(spark, output, run, exported=True)
 
 
 def run_folder(spark: SparkSession, source: str, output: str, options: Options = Options(), blocks: DataFrame | None = None) -> DataFrame:
     """Extract the documents of ``source`` that ``output`` does not have yet; returns the counts of the run.
 
-    A run stages its cases, results, failures, messages, audit and manifest (what is done) below ``output``, and one entry of
+    A run stages its cases, results, failures, messages, audit, feed (see report.job_events) and manifest (what is done) below ``output``, and one entry of
     the log makes all of them visible; read them with sources.commits.  After that ``rows`` (one folder for each
-    document) is exported, and a later run exports what a lost one could not.  What was never
+    document) and ``events`` (the feed as streaming.events reads it) are exported, and a later run exports what a lost one could not.  What was never
     committed is swept away.  work: texts and replies of this run, so that nothing is read twice; calls: answers of
     the caller as they come, which a run after a lost one takes over instead of asking again.  Documents
     without rows are tried again.  Of documents whose outputs have one name the first by path that can be read is taken;
@@ -138,6 +139,7 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     commits.stage(results.drop("exists"), output, "results", run)
     commits.stage(report.failure_records(results), output, "failures", run)
     commits.stage(_messages(inputs, got, options.request), output, "messages", run)
+    commits.stage(report.job_events(results, got.cases, got.errors, got.told), output, "feed", run)
     commits.stage(results.where("status = 'written'").select("out_name", "path"), output, "manifest", run)
     commits.commit(spark, output, run)
     commits.delete(spark, f"{output}/calls")

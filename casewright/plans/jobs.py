@@ -15,7 +15,7 @@ from casewright.sources.work import kept
 
 @dataclass(frozen=True)
 class Extraction:
-    """cases: merged and flagged; raw: as they were found; warnings; errors, plan, details and calls where a model was asked."""
+    """cases: merged and flagged; raw: as they were found; warnings; errors, plan, details, calls and what each section gave where a model was asked."""
 
     cases: DataFrame
     raw: DataFrame
@@ -24,6 +24,7 @@ class Extraction:
     sections: DataFrame | None = None
     details: DataFrame | None = None
     calls: DataFrame | None = None
+    told: DataFrame | None = None
 
 
 ORDER = ["section_no", "case_no"]
@@ -68,9 +69,9 @@ def by_model(docs: DataFrame, caller: Callable[[list[str]], list[str]], model: s
     """
     planned = keep(planned_sections(docs, level, patterns, whole))
     asked = replies.requests(planned.where("action = 'extract'"), model, hints)
-    answered = keep(ledger.call_once(asked, caller, calls, tasks=tasks).drop("attempt") if calls else replies.call(asked, caller, tasks))
+    answered = keep(ledger.call_once(asked, caller, calls, tasks=tasks) if calls else replies.call(asked, caller, tasks).withColumn("attempt", F.lit(1)))
     parsed = replies.with_cases(answered).join(planned.select("doc_id", "section_no", "title", "file_name"), ["doc_id", "section_no"])
     raw = replies.case_rows(parsed).unionByName(sections.placeholder_cases(planned))
     good = parsed.where("error IS NULL").select("doc_id", "section_no")
     details = report.section_details(prep.prepared(docs), planned, asked.select("doc_id", "section_no", "truncated").join(good, ["doc_id", "section_no"]))
-    return _merged(raw, request, kept, errors=replies.section_errors(parsed), sections=planned, details=details, calls=answered)
+    return _merged(raw, request, kept, errors=replies.section_errors(parsed), sections=planned, details=details, calls=answered, told=parsed.select("doc_id", "section_no", "title", "error", "attempt", F.when(F.col("error").isNull(), F.size("cases")).alias("n_rows")))

@@ -146,7 +146,7 @@ def test_a_lost_run_leaves_nothing_visible(spark, tmp_path, monkeypatch):
         m.setattr(batch.commits, "commit", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
         with pytest.raises(RuntimeError, match="killed"):
             run_folder(spark, str(source), out)
-    assert [committed(spark, out, t) for t in batch.commits.TABLES] == [None] * 6 and not (tmp_path / "out" / "rows").exists()
+    assert [committed(spark, out, t) for t in batch.commits.TABLES] == [None] * len(batch.commits.TABLES) and not (tmp_path / "out" / "rows").exists()
     assert len(list((tmp_path / "out" / "cases").iterdir())) == 1
     with monkeypatch.context() as m:  # and one that is lost after it was committed is exported by the next
         m.setattr(batch.sinks, "write_outputs", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
@@ -176,3 +176,33 @@ def test_messages_audit_and_whole_documents_of_a_run(spark, tmp_path):
     assert told[0] == 'b.docx: Section "": HTTP error 503' and told[1].startswith("c.docx: BadZipFile") and "'X' has non-contiguous" in told[2] and len(told) == 3
     audit = committed(spark, out, "audit").orderBy("doc_id").collect()
     assert [(r.event, r.error) for r in audit] == [("response", None), ("error", "HTTP error 503")] and {r.headers["Authorization"] for r in audit} == {"Bearer <redacted>"}
+
+
+def test_the_feed_of_a_run_folds_to_its_summary(spark, tmp_path):
+    from casewright.operators import ledger
+    from casewright.streaming.events import fold_jobs, job_progress, read_events
+
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    plan(source, "a.docx", "TC_1_A", "TC_2_B", "TC_3_C")
+    plan(source, "b.docx", "TC_4_D")
+    (source / "c.docx").write_bytes(b"no zip")
+
+    def ask(payload):
+        if "TC_2_B" in payload:
+            raise OSError("HTTP error 503")
+        if "b.docx" in payload:
+            raise ValueError("HTTP error 400")
+        return json.dumps({"test_cases": [{"test_id": "X"}, {"test_id": "Y"}]})
+
+    got = run_folder(spark, str(source), out, Options(caller=ledger.each(ask), model="m", level="2")).first()
+    feed = read_events(spark, f"{out}/events").cache()
+    jobs = {r.job_id.rsplit("/", 1)[1]: r for r in fold_jobs(feed).collect()}
+    assert {k: r.status for k, r in jobs.items()} == {"a.docx": "done", "b.docx": "failed", "c.docx": "failed"} and (got.written, got.failures) == (1, 2)
+    assert [x.test_id for x in jobs["a.docx"].result.rows] == ["X", "Y", "X", "Y"] and len(jobs["a.docx"].result.errors) == 1 and jobs["a.docx"].result.file_results[0].rows == 4
+    assert "HTTP error 400" in jobs["b.docx"].message and jobs["c.docx"].message.startswith("BadZipFile")
+    told = {r.job_id.rsplit("/", 1)[1]: r[1:] for r in job_progress(feed).collect()}
+    assert told == {"a.docx": (2, 1, 5, 4), "b.docx": (0, 1, 0, None)}
+    mine = [(r.seq, r.type, r.data and (r.data.step, r.data["index"], r.data.total, r.data.cumulative_rows)) for r in feed.where("job_id LIKE '%a.docx'").orderBy("seq").collect()]
+    assert [m[0] for m in mine] == list(range(1, 10)) and [m[1] for m in mine] == ["progress"] * 8 + ["result"]
+    assert [m[2] for m in mine[:8]] == [("llm_section_done", 1, 3, 2), *[("llm_retry", 2, 3, None)] * 5, ("llm_section_error", 2, 3, None), ("llm_section_done", 3, 3, 4)]
