@@ -253,6 +253,24 @@ oracle(
     "page_assembly",
     f"""SELECT doc_id, {strip("string_agg(txt, chr(10) || chr(10) ORDER BY page)")} AS doc_text FROM (SELECT doc_id, page, string_agg(txt, chr(10) ORDER BY top, lft, block_no) AS txt FROM blocks WHERE txt IS NOT NULL GROUP BY doc_id, page) GROUP BY doc_id""",
 )
+oracle(
+    "page_words",
+    """WITH raw AS (SELECT l_suppkey AS doc_id, l_linenumber AS page, CAST((l_orderkey * 31 + l_partkey) % 500 AS DOUBLE) AS x0, CAST((l_orderkey * 7 + l_partkey * 13) % 720 AS DOUBLE) AS top,
+      l_orderkey * 8 + l_linenumber AS no, l_partkey % 12 = 0 AS is_table, l_orderkey, l_partkey, l_returnflag, CASE WHEN l_suppkey % 7 <> 0 THEN 480.0 ELSE 1e9 END AS width, CASE WHEN l_suppkey % 7 <> 0 THEN 700.0 ELSE 1e9 END AS height
+      FROM lineitem WHERE l_suppkey IS NOT NULL AND l_linenumber IS NOT NULL),
+    said AS (SELECT doc_id, page, x0, x0 + 20 AS x1, top, top + 8 AS bottom, no, 'w' || l_partkey AS text FROM raw WHERE NOT is_table AND l_orderkey % 9 <> 0),
+    boxes AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY top, x0, no) AS n, least(top, height) AS upper, least(top + l_orderkey % 60, height) AS low FROM raw WHERE is_table),
+    gaps AS (SELECT doc_id, page, width, 2 * n - 2 AS place, upper AS til, coalesce(max(low) OVER (PARTITION BY doc_id, page ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM boxes
+      UNION ALL SELECT doc_id, page, max(width), 2 * max(n), max(height), max(low) FROM boxes GROUP BY doc_id, page),
+    near AS (SELECT s.*, place, greatest(s.top, since) AS y FROM said s JOIN gaps g ON s.doc_id = g.doc_id AND s.page = g.page AND til > since + 1 AND s.bottom >= since AND s.top <= til AND s.x0 <= width AND s.x1 >= 0
+      UNION ALL SELECT s.*, 0, s.top FROM said s ANTI JOIN boxes b ON s.doc_id = b.doc_id AND s.page = b.page),
+    stepped AS (SELECT *, coalesce(y > lag(y) OVER w + 3, false) AS fresh FROM near WINDOW w AS (PARTITION BY doc_id, page, place ORDER BY y, x0, no)),
+    lined AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id, page, place ORDER BY y, x0, no) AS line FROM stepped),
+    lines AS (SELECT doc_id, page, place, line, string_agg(text, ' ' ORDER BY x0, no) AS line_text FROM lined GROUP BY ALL),
+    parts AS (SELECT doc_id, page, place, string_agg(line_text, chr(10) ORDER BY line) AS part FROM lines GROUP BY ALL
+      UNION ALL SELECT doc_id, page, 2 * n - 1, 'id | flag' || chr(10) || l_partkey || ' | ' || l_returnflag || chr(10) FROM boxes)
+    SELECT doc_id, page, string_agg(part, chr(10) ORDER BY place) AS page_text FROM parts GROUP BY doc_id, page""",
+)
 oracle(
     "export_rows",
     'SELECT doc_id, section_no, file_name AS "File Name", test_id AS "Test ID", test_name AS "Test Name", description AS "Description", preconditions AS "Preconditions / Applicability", procedure_steps AS "Procedure / steps", expected_results AS "Expected results" FROM raw_cases',

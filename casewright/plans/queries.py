@@ -12,7 +12,7 @@ from casewright.functions.schemas import CASE_FIELDS
 from casewright.operators import ledger, merge, prep, replies, report, sections, template
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
-from casewright.sources import files, pages, sinks
+from casewright.sources import files, pages, sinks, words
 from casewright.sources.work import kept, shared_folder
 from casewright.streaming import events
 
@@ -370,6 +370,11 @@ def page_assembly(spark, sf_dir):
     return pages.page_documents(views.page_blocks(spark, sf_dir))
 
 
+@query
+def page_words(spark, sf_dir):
+    return pages.page_texts(words.word_blocks(*views.page_words(spark, sf_dir)))
+
+
 @query
 def export_rows(spark, sf_dir):
     raw = template.as_cases(template.template_cases(views.plan_docs(spark, sf_dir)))

@@ -97,3 +97,15 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def page_words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words, tables and page sizes of suppliers' pages of lineitem rows: every 12th part is a table, every 7th supplier has no size."""
+    rows = _table(spark, sf_dir, "lineitem").where("l_suppkey IS NOT NULL AND l_linenumber IS NOT NULL")
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long")
+    x, y = F.expr("CAST((l_orderkey * 31 + l_partkey) % 500 AS DOUBLE)"), F.expr("CAST((l_orderkey * 7 + l_partkey * 13) % 720 AS DOUBLE)")
+    page, table = [F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page")], F.col("l_partkey") % 12 == 0
+    cells = F.array(F.array(F.lit("id"), F.lit(" flag ")), F.array(F.expr("CAST(l_partkey AS VARCHAR(20))"), F.col("l_returnflag")))
+    words = rows.where(~table).select(*page, x.alias("x0"), y.alias("top"), (x + 20).alias("x1"), (y + 8).alias("bottom"), number.alias("word_no"), F.expr("CASE WHEN l_orderkey % 9 = 0 THEN ' ' ELSE concat(' w', CAST(l_partkey AS VARCHAR(20))) END").alias("text"))
+    height = F.expr("CAST(l_orderkey % 60 AS DOUBLE)")
+    tables = rows.where(table).select(*page, x.alias("x0"), y.alias("top"), (x + 90).alias("x1"), (y + height).alias("bottom"), number.alias("table_no"), cells.alias("cells"))
+    sizes = rows.where("l_suppkey % 7 <> 0").select(*page).distinct().select("*", F.lit(480.0).alias("width"), F.lit(700.0).alias("height"))
+    return words, tables, sizes

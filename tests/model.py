@@ -63,3 +63,32 @@ def pages(blocks: list[tuple]) -> str:
         if text.strip():
             out.setdefault(page, []).append(text)
     return "\n\n".join("\n".join(out[p]) for p in sorted(out)).strip()
+
+
+def page_of_words(words: list[tuple], tables: list[tuple], size: tuple[float, float] | None) -> str:
+    """The text of a page of words (x0, top, x1, bottom, text) and tables (x0, top, x1, bottom, rows of cells)."""
+
+    def said(found: list[tuple]) -> str:
+        lines, last = [], None
+        for top, x0, nth, text in sorted(found):
+            if last is None or top > last + 3:
+                lines.append([])
+            lines[-1].append((x0, nth, text))
+            last = top
+        return "\n".join(" ".join(t for *_, t in sorted(line)) for line in lines)
+
+    named = [(n, *w[:4], w[4].strip()) for n, w in enumerate(words) if w[4] and w[4].strip()]
+    if not tables:
+        return said([(top, x0, n, t) for n, x0, top, _, _, t in named])
+    width, height = size or (float("inf"), float("inf"))
+    parts, cursor = [], 0.0
+    ordered = sorted(enumerate(tables), key=lambda t: (round(t[1][1], 2), round(t[1][0], 2), t[0]))
+    for _, (_, top, _, bottom, rows) in [*ordered, (0, (0, height, 0, height, None))]:
+        top, bottom = max(0.0, min(top, height)), max(0.0, min(bottom, height))
+        if top > cursor + 1:
+            parts.append(said([(max(t, cursor), x0, n, text) for n, x0, t, x1, b, text in named if b >= cursor and t <= top and x0 <= width and x1 >= 0]))
+        if rows is not None:
+            pipes = "\n".join(" | ".join((c or "").replace("\n", " ").strip() for c in row) for row in rows)
+            parts.append(pipes + "\n" if pipes else "")
+        cursor = max(cursor, bottom)
+    return "\n".join(p for p in parts if p)
