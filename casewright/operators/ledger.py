@@ -23,8 +23,9 @@ ANSWERS = "digest string, content string, error string, attempt int, run string,
 ARROW = pa.schema([("digest", pa.string()), ("content", pa.string()), ("error", pa.string()), ("attempt", pa.int32()), ("run", pa.string()), ("at", pa.float64())])
 #: Fixed value: a call is tried so often while its failure is worth another try.
 ATTEMPTS = 6
-#: Payloads that a caller is given at once; what it answered is written before it is given more.
-PIECE = 32
+#: Payloads that a caller is given at once, and what a task may hold of its answers before it writes them: the files of a quick
+#: caller are few, a slow one loses no more than these seconds with an executor.
+PIECE, FLUSH_SECONDS, FLUSH_CHARS = 32, 20.0, 16 << 20
 
 Answer = tuple[str | None, str | None]
 Caller = Callable[[list[str]], Iterable[str | Exception]]
@@ -90,7 +91,7 @@ def latest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("digest").agg(F.min(order).alias("e")).select("digest", "e.content", "e.error", "e.attempt")
 
 
-def _round(todo: DataFrame, caller: Caller, folder: str, run: str, attempt: int, piece: int) -> None:
+def _round(todo: DataFrame, caller: Caller, folder: str, run: str, attempt: int, piece: int, seconds: float = FLUSH_SECONDS) -> None:
     """Asks the payloads of ``todo`` (digest, payload; dealt by digest) and leaves the answers below ``folder``."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,35 +101,44 @@ def _round(todo: DataFrame, caller: Caller, folder: str, run: str, attempt: int,
         # what an earlier attempt of this task, lost with its executor, was answered
         known = {d for f in system.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("answers-") for d in pq.read_table(system.open_input_file(f.path), columns=["digest"])["digest"].to_pylist()}
 
-        def write(rows: list[dict[str, Any]]) -> None:
-            name = uuid.uuid4().hex
-            with system.open_output_stream(f"{inner}/_{name}") as f:
-                pq.write_table(pa.Table.from_pylist(rows, ARROW), f)
-            system.move(f"{inner}/_{name}", f"{inner}/answers-{name}.parquet")  # appears as a whole
-
-        for b in batches:
-            left = b[~b.digest.isin(known)]
-            for start in range(0, len(left), piece):
-                part, rows = left.iloc[start : start + piece], []
-                try:
+        held: list[dict[str, Any]] = []
+        since, chars = time.monotonic(), 0
+
+        def write() -> None:
+            nonlocal since, chars
+            if held:
+                name = uuid.uuid4().hex
+                with system.open_output_stream(f"{inner}/_{name}") as f:
+                    pq.write_table(pa.Table.from_pylist(held, ARROW), f)
+                system.move(f"{inner}/_{name}", f"{inner}/answers-{name}.parquet")  # appears as a whole
+                held.clear()
+            since, chars = time.monotonic(), 0
+
+        try:
+            for b in batches:
+                left = b[~b.digest.isin(known)]
+                for start in range(0, len(left), piece):
+                    part = left.iloc[start : start + piece]
                     for digest, (content, error) in zip(part.digest, answers(caller, part.payload.tolist())):
-                        rows.append({"digest": digest, "content": content, "error": error, "attempt": attempt, "run": run, "at": time.time()})
-                finally:  # also when the task is stopped in between
-                    if rows:
-                        write(rows)
-            yield pd.DataFrame({"n": [len(left)]})
+                        held.append({"digest": digest, "content": content, "error": error, "attempt": attempt, "run": run, "at": time.time()})
+                        chars += len(content or error or "")
+                        if chars > FLUSH_CHARS or time.monotonic() - since > seconds:
+                            write()
+                yield pd.DataFrame({"n": [len(left)]})
+        finally:  # also when the task is stopped in between
+            write()
 
     todo.select("digest", "payload").mapInPandas(ask, "n long").write.format("noop").mode("overwrite").save()
 
 
-def call_once(requested: DataFrame, caller: Caller, folder: str, keys: list[str] | None = None, tasks: int | None = None, attempts: int = ATTEMPTS, piece: int = PIECE) -> DataFrame:
+def call_once(requested: DataFrame, caller: Caller, folder: str, keys: list[str] | None = None, tasks: int | None = None, attempts: int = ATTEMPTS, piece: int = PIECE, seconds: float = FLUSH_SECONDS) -> DataFrame:
     """``keys`` (doc_id, section_no), content, error and attempt of each row of ``requested`` (keys, payload).
 
     Equal payloads are one call.  Calls are known by a digest of the payload: what ``folder`` has a good answer for, of a
     run that was lost too, is not asked.  Failures that are worth another try form the next round, at most ``attempts``
-    rounds in all; earlier runs' failures do not count.  A task writes each ``piece`` of answers before it goes on, and
-    one that runs again after a lost executor reads them, so at most the piece in flight is asked twice.  ``caller`` maps
-    payloads to replies and should give them one by one (:func:`each`).  Waiting between tries is the caller's business.
+    rounds in all; earlier runs' failures do not count.  A task writes its answers every ``seconds`` (and 16 M characters), and
+    one that runs again after a lost executor reads them, so at most the answers of its last seconds are asked twice.
+    ``caller`` is given ``piece`` payloads at a time, maps them to replies and should give them one by one (:func:`each`).  Waiting between tries is the caller's business.
     A null payload is an empty one.  A payload runs in one task at a time only without speculative execution.
     """
     spark, keys, run = requested.sparkSession, keys or ["doc_id", "section_no"], uuid.uuid4().hex
@@ -137,17 +147,18 @@ def call_once(requested: DataFrame, caller: Caller, folder: str, keys: list[str]
     folder = qualified(spark, folder)
     rows = requested.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("digest", F.sha2("payload", 256))
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))  # a given number, for calls are slow however short their payloads
-    dealt = rows.select("digest", "payload").dropDuplicates(["digest"])
-    todo = dealt.join(read(spark, folder).where("error IS NULL").select("digest").distinct(), "digest", "left_anti")
+    known, how = read(spark, folder).where("error IS NULL").select("digest").distinct(), "left_anti"
     for attempt in range(1, attempts + 1):
         now = f"{folder}/run={run}/attempt={attempt}"
-        _round(todo.repartition(tasks, "digest"), caller, f"{now}/pieces", run, attempt, piece)
+        # what is asked is chosen before payloads are made distinct, so that later rounds shuffle just those that failed
+        todo = rows.select("digest", "payload").join(known, "digest", how).dropDuplicates(["digest"])
+        _round(todo.repartition(tasks, "digest"), caller, f"{now}/pieces", run, attempt, piece, seconds)
         # many small files become a few; a run lost in between leaves entries twice, which :func:`latest` makes one
         read(spark, f"{now}/pieces").repartition("digest").write.mode("overwrite").parquet(f"{now}/table")
         delete(spark, f"{now}/pieces")
         again = read(spark, f"{now}/table").where(F.col("error").isNotNull() & X.is_retryable(F.col("error"))).select("digest").distinct()
         if attempt == attempts or again.isEmpty():
             break
-        todo = dealt.join(again, "digest", "left_semi")
+        known, how = again, "left_semi"
     entries = read(spark, folder).where((F.col("run") == run) | F.col("error").isNull())
     return rows.select(*keys, "digest").join(latest(entries), "digest", "left").select(*keys, "content", "error", "attempt")

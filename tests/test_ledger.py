@@ -79,10 +79,18 @@ def test_a_task_that_runs_again_reads_what_it_was_answered(spark, tmp_path):
     ask, todo = counted(str(tmp_path / "n"), lambda p, nth: None), spark.createDataFrame([(str(i), str(i)) for i in range(30)], "digest string, payload string").repartition(2, "digest")
     for _ in range(2):
         ledger._round(todo, ledger.each(ask), str(tmp_path / "pieces"), "r", 1, 4)
+    assert len([x for _, _, fs in os.walk(tmp_path / "pieces") for x in fs if x.startswith("answers-")]) == 2  # a quick caller: a file a task
     assert asked(tmp_path / "n") == {str(i): 1 for i in range(30)}
     assert ledger.read(spark, str(tmp_path / "pieces")).count() == 30
 
 
+def test_answers_of_a_slow_caller_are_written_as_they_come(spark, tmp_path):
+    todo = spark.createDataFrame([(str(i), str(i)) for i in range(6)], "digest string, payload string").repartition(1)
+    ledger._round(todo, ledger.each(str.upper), str(tmp_path / "pieces"), "r", 1, 32, seconds=0.0)
+    assert len([x for _, _, fs in os.walk(tmp_path / "pieces") for x in fs if x.startswith("answers-")]) == 6
+    assert ledger.read(spark, str(tmp_path / "pieces")).count() == 6
+
+
 @pytest.mark.parametrize("raises_at", [0, 1, 3])
 def test_answers_before_an_error_stand(raises_at):
     told = []
