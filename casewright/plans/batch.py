@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casewright.functions import text as X
 from casewright.operators import report, template
 from casewright.plans import jobs
-from casewright.sources import commits, files, listed, pages, sinks, word
+from casewright.sources import clustered, commits, files, listed, pages, sinks, word
 from casewright.sources.work import kept
 
 #: Paths that are sent to all tasks.
@@ -40,6 +40,8 @@ class Options:
     request: bool = False
     #: What the caller sends beside payloads; the audit has it without tokens.
     headers: dict[str, str] = field(default_factory=dict)
+    #: Export a folder for each document; without, for very many documents, read them by sources.clustered.document.
+    folders: bool = True
 
 
 def read_folder(spark: SparkSession, source: str, options: Options, only: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
@@ -85,9 +87,10 @@ def _messages(inputs: DataFrame, got: jobs.Extraction, request: bool) -> DataFra
     return report.messages(told, failed, warned).select("place", "message")
 
 
-def export(spark: SparkSession, output: str, run: str) -> None:
-    """Writes a committed run's documents, one folder each, and its feed as JSON lines, and says so in the log; doing it again changes nothing."""
-    sinks.write_outputs(spark.read.parquet(f"{output}/cases/run={run}"), f"{output}/rows")
+def export(spark: SparkSession, output: str, run: str, folders: bool = True) -> None:
+    """Writes a committed run's documents, one folder each if ``folders``, and its feed as JSON lines, and says so in the log; doing it again changes nothing."""
+    if folders:
+        sinks.write_outputs(spark.read.parquet(f"{output}/cases/run={run}"), f"{output}/rows")
     spark.read.parquet(f"{output}/feed/run={run}").write.mode("overwrite").json(f"{output}/events/run={run}")
     commits.commit(spark, output, run, exported=True)
 
@@ -95,7 +98,7 @@ def export(spark: SparkSession, output: str, run: str) -> None:
 def run_folder(spark: SparkSession, source: str, output: str, options: Options = Options(), blocks: DataFrame | None = None) -> DataFrame:
     """Extract the documents of ``source`` that ``output`` does not have yet; returns the counts of the run.
 
-    A run stages its cases, results, failures, messages, audit, feed (see report.job_events) and manifest (what is done) below ``output``, and one entry of
+    A run stages its cases (few files, sorted by document, with an index, see sources.clustered), results, failures, messages, audit, feed (see report.job_events) and manifest (what is done) below ``output``, and one entry of
     the log makes all of them visible; read them with sources.commits.  After that ``rows`` (one folder for each
     document) and ``events`` (the feed as streaming.events reads it) are exported, and a later run exports what a lost one could not.  What was never
     committed is swept away.  work: texts and replies of this run, so that nothing is read twice; calls: answers of
@@ -105,7 +108,7 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
     """
     commits.sweep(spark, output)
     for r in commits.commits(spark, output).where("NOT exported").collect():
-        export(spark, output, r.run)
+        export(spark, output, r.run, options.folders)
     manifest = commits.committed(spark, output, "manifest")
     done = manifest.select("out_name").distinct() if manifest is not None else spark.createDataFrame([], "out_name string")
     run, steps = uuid.uuid4().hex, []
@@ -132,17 +135,18 @@ def run_folder(spark: SparkSession, source: str, output: str, options: Options =
         calls = got.calls.select("doc_id", "section_no", F.when(F.col("error").isNull(), "response").otherwise("error").alias("event"), "error", F.char_length("content").alias("reply_chars"))
         headers = F.create_map(*(F.lit(x) for pair in options.headers.items() for x in pair)) if options.headers else F.lit(None).cast("map<string,string>")
         commits.stage(sinks.audit_rows(calls.withColumn("headers", headers)), output, "audit", run)
-    commits.stage(got.cases.join(inputs.select("doc_id", "out_name"), "doc_id"), output, "cases", run)
+    cases = keep(got.cases.join(inputs.select("doc_id", "out_name"), "doc_id"))
+    clustered.write(cases, f"{output}/cases/run={run}", f"{output}/index/run={run}")
     results = report.file_results(inputs, got.raw.select("doc_id"), got.errors, got.details)
     exists = F.coalesce(F.col("reason") == "name_taken", F.lit(False))
     results = keep(report.with_status(results.withColumn("exists", exists), options.skip_empty_rows))
     commits.stage(results.drop("exists"), output, "results", run)
     commits.stage(report.failure_records(results), output, "failures", run)
     commits.stage(_messages(inputs, got, options.request), output, "messages", run)
-    commits.stage(report.job_events(results, got.cases, got.errors, got.told), output, "feed", run)
+    commits.stage(report.job_events(results, cases.drop("out_name"), got.errors, got.told), output, "feed", run)
     commits.stage(results.where("status = 'written'").select("out_name", "path"), output, "manifest", run)
     commits.commit(spark, output, run)
     commits.delete(spark, f"{output}/calls")
-    export(spark, output, run)
+    export(spark, output, run, options.folders)
     skipped = inputs_found.join(todo, "path", "left_anti").select(F.lit("skipped").alias("status"))
     return report.batch_summary(results.select("status").unionByName(skipped), options.strict)

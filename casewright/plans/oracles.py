@@ -275,6 +275,11 @@ oracle(
     "export_rows",
     'SELECT doc_id, section_no, file_name AS "File Name", test_id AS "Test ID", test_name AS "Test Name", description AS "Description", preconditions AS "Preconditions / Applicability", procedure_steps AS "Procedure / steps", expected_results AS "Expected results" FROM raw_cases',
 )
+oracle(
+    "clustered_outputs",
+    """SELECT regexp_replace(file_name, '[.][a-zA-Z]+$', '') || '_' || lower(regexp_extract(file_name, '[a-zA-Z]+$')) || '.xlsx' AS out_name, CAST(count(*) AS BIGINT) AS n_rows, count(*) AS n_read, min(section_no) AS first_no, max(section_no) AS last_no, true AS own
+    FROM raw_cases GROUP BY doc_id, file_name""",
+)
 oracle("documents_with_rows", "SELECT doc_id, file_name FROM plan_docs WHERE doc_id IN (SELECT doc_id FROM t_rows )")
 oracle("redact_headers", "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'Bearer <redacted>' ELSE CASE WHEN event_id % 3 = 0 THEN 'Bearer ' ELSE 'Basic ' END || event_type END AS first, 'Bearer json' AS second FROM events")
 oracle(

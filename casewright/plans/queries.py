@@ -12,7 +12,7 @@ from casewright.functions.schemas import CASE_FIELDS
 from casewright.operators import ledger, merge, prep, replies, report, sections, template
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
-from casewright.sources import files, pages, sinks, words
+from casewright.sources import clustered, files, pages, sinks, words
 from casewright.sources.work import kept, shared_folder
 from casewright.streaming import events
 
@@ -381,6 +381,18 @@ def export_rows(spark, sf_dir):
     return sinks.export_rows(raw, "doc_id", "section_no")
 
 
+@query
+def clustered_outputs(spark, sf_dir):
+    cases = template.as_cases(template.template_cases(views.plan_docs(spark, sf_dir))).withColumn("out_name", files.output_name(F.col("file_name"), True))
+    folder = shared_folder(spark)
+    clustered.write(kept(cases), f"{folder}/cases", f"{folder}/index", rows_a_file=20_000)
+    index = spark.read.parquet(f"{folder}/index")
+    rows = spark.read.parquet(f"{folder}/cases").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"), "out_name", "section_no")
+    told = index.groupBy(F.col("out_name").alias("owner")).agg(F.sum("n_rows").alias("n_rows"))
+    read = clustered.at(rows, index).groupBy("owner").agg(F.count("*").alias("n_read"), F.min("section_no").alias("first_no"), F.max("section_no").alias("last_no"), F.bool_and(F.col("owner") == F.col("out_name")).alias("own"))
+    return told.join(read, "owner", "left").withColumnRenamed("owner", "out_name")
+
+
 @query
 def documents_with_rows(spark, sf_dir):
     rows = template.template_cases(views.plan_docs(spark, sf_dir))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 COMMITS = "run string, at timestamp, exported boolean"
 #: Tables that a run stages, by run; the cases of a document are those of its latest run.
-TABLES = ("cases", "results", "failures", "messages", "audit", "feed", "manifest")
+TABLES = ("cases", "index", "results", "failures", "messages", "audit", "feed", "manifest")
 
 
 def _children(spark: SparkSession, folder: str) -> list[tuple[str, object, object]]:

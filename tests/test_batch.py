@@ -5,6 +5,7 @@ import pytest
 
 from casewright.plans import batch
 from casewright.plans.batch import Options, run_folder
+from casewright.sources import clustered
 from casewright.sources.commits import committed, latest
 from tests_docx import docx, p
 
@@ -206,3 +207,34 @@ def test_the_feed_of_a_run_folds_to_its_summary(spark, tmp_path):
     mine = [(r.seq, r.type, r.data and (r.data.step, r.data["index"], r.data.total, r.data.cumulative_rows)) for r in feed.where("job_id LIKE '%a.docx'").orderBy("seq").collect()]
     assert [m[0] for m in mine] == list(range(1, 10)) and [m[1] for m in mine] == ["progress"] * 8 + ["result"]
     assert [m[2] for m in mine[:8]] == [("llm_section_done", 1, 3, 2), *[("llm_retry", 2, 3, None)] * 5, ("llm_section_error", 2, 3, None), ("llm_section_done", 3, 3, 4)]
+
+
+def test_documents_are_read_from_few_files_by_the_index(spark, tmp_path):
+    rows = [(f"d{i % 50:02}.xlsx", i % 50, i // 50, 0, f"t{i}") for i in range(500)] + [("hot.xlsx", 99, n, 0, f"h{n}") for n in range(1000)]
+    df = spark.createDataFrame(rows, "out_name string, doc_id long, section_no int, case_no int, text string").repartition(7)
+    folder, index = str(tmp_path / "cases"), str(tmp_path / "index")
+    clustered.write(df, folder, index, rows_a_file=300)
+    files = [x for x in os.listdir(folder) if x.endswith(".parquet")]
+    assert 2 <= len(files) <= 5  # by rows, not by documents
+    entries = spark.read.parquet(index).collect()
+    assert sum(e.n_rows for e in entries) == 1500 and len({e.file for e in entries if e.out_name == "hot.xlsx"}) >= 2
+    for e in entries:  # rows from first_row on are that document's and no others
+        mine = [r for r in spark.read.parquet(f"{folder}/{e.file}").coalesce(1).collect()][e.first_row : e.first_row + e.n_rows] if e.out_name in ("d07.xlsx", "hot.xlsx") else []
+        assert {r.out_name for r in mine} <= {e.out_name} and mine == sorted(mine, key=lambda r: r.section_no)
+    clustered.write(df.limit(0), str(tmp_path / "none"), str(tmp_path / "no index"))
+    assert spark.read.parquet(str(tmp_path / "no index")).count() == 0
+
+
+def test_a_run_without_folders_is_read_by_document(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name in ("a", "b", "c"):
+        plan(source, f"{name}.docx", f"TC_{name.upper()}_1", f"TC_{name.upper()}_2")
+    assert run_folder(spark, str(source), out, Options(folders=False)).first().written == 3
+    assert not (tmp_path / "out" / "rows").exists()
+    got = clustered.document(spark, out, "b.xlsx")
+    assert [r.test_id for r in got.collect()] == ["TC_B_1", "TC_B_2"] and len(got.inputFiles()) == 1
+    assert clustered.document(spark, out, "none.xlsx") is None and clustered.document(spark, str(tmp_path / "new"), "b.xlsx") is None
+    plan(source, "b.docx", "TC_B_9")
+    run_folder(spark, str(source), out, Options(folders=False, force=True))
+    assert [r.test_id for r in clustered.document(spark, out, "b.xlsx").collect()] == ["TC_B_9"]
