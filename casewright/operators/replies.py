@@ -19,14 +19,18 @@ EMPTY, INVALID = "LLM returned empty content.", "Model output was not valid JSON
 NO_CASES, NOT_ARRAY, NOT_OBJECT = 'JSON must contain a "test_cases" array.', '"test_cases" must be an array.', "JSON must be an object."
 NO_CHOICES = "LLM returned no choices."
 TEMPERATURE = 0.2
-PROMPT = """You find software test cases in plain text taken from Word or PDF documents. Answer with JSON and nothing else, in this shape:
-{"test_cases":[{"file_name":"","test_id":"","test_name":"","description":"","preconditions":"","procedure_steps":"","expected_results":""}]}
-Every value is a string, "" where the text does not say; test_cases is [] where there is no case. Use hints about identifiers if the message has some. If it names a section, take cases from that section only. Put actions and inputs into procedure_steps and outcomes into expected_results, row by row where a table parts them; a table that cannot be parted goes to procedure_steps. test_id is the identifier in the text, or "". file_name repeats the file name of the message."""
+#: What a reply has to be for :func:`with_cases` to take it: the fields of a case, all strings.
+PROMPT = (
+    "Return one JSON object, no other text. Its key test_cases holds an array with an object for each test case of the user's text, each with these string fields: "
+    + ", ".join(CASE_FIELDS)
+    + ". A field that the text does not fill is an empty string; what is done goes to procedure_steps, what should follow to expected_results. Hints in the message tell what identifiers look like."
+)
 
 
 def requests(chunks: DataFrame, model: str, hints: str = "", json_mode: bool = True, most: int = 120_000) -> DataFrame:
     """Adds payload (JSON), truncated and doc_char_count to (doc_id, section_no, file_name, title, body)."""
     section = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("Section: "), F.col("title"), F.lit("\n\n"))).otherwise("")
+    # fixed values: the parts of the message, as callers know them
     hint = f"User hints about identifiers / section titles (from human): {hints.strip()}\n\n" if hints.strip() else ""
     content = F.concat(F.lit("Filename: "), F.col("file_name"), F.lit("\n"), section, F.lit(hint), F.lit("--- Document text ---\n\n"), X.truncated(F.col("body"), most))
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

@@ -12,7 +12,7 @@ from casewright.functions import text as X
 from casewright.functions.schemas import CASE_FIELDS
 from casewright.operators.lines import joined
 
-# Fixed values of the template: labels, and words that tell a table of steps.
+# Fixed values of the template: labels, and words that tell a table of steps (found anywhere in a cell, so longer forms need no entry).
 PRECONDITION_LABELS = ("preconditions", "precondition", "applicability", "prerequisites")
 STEP_LABELS = ("steps", "test steps", "steps and expected results", "expected results", "procedure", "test procedure")
 PROCEDURE_WORDS = ("step", "action", "expect", "result", "outcome", "procedure", "actual", "pass", "fail", "criteria", "description", "verification", "input", "output")
