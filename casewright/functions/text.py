@@ -30,17 +30,19 @@ TOC_LINE = r"(?Ud)\S.*\.{4,}\s*\d+\s*$"
 HEADING = r"(?Ud)^(#{1,6})\s+(.*)$"
 #: Unicode white space and the four separators below it.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TRUNCATED = "\n\n[... truncated for model context ...]"
 
 
 def strip(x: Column) -> Column:
-    """Without white space at the ends."""
-    return F.regexp_replace(F.regexp_replace(x, rf"(?U)^{SPACE}+", ""), rf"(?U){SPACE}+$", "")
+    """Without white space at the ends; reads no more than these ends."""
+    return F.btrim(x, F.lit(SPACES))
 
 
 def is_blank(x: Column) -> Column:
-    return strip(x) == ""
+    """Whether nothing but white space is there; looks no further than the first other character."""
+    return ~x.rlike(rf"(?U)[^{SPACE[1:-1]}]")
 
 
 def heading_level(line: Column) -> Column:

@@ -60,17 +60,18 @@ def planned_sections(docs: DataFrame, level: str = "auto", patterns: list[str] |
     return sections.with_action(cut).join(docs.select("doc_id", "file_name"), "doc_id")
 
 
-def by_model(docs: DataFrame, caller: Callable[[list[str]], list[str]], model: str, level: str = "auto", patterns: list[str] | None = None, hints: str = "", tasks: int | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df, whole: bool = False, request: bool = False, calls: str | None = None) -> Extraction:
+def by_model(docs: DataFrame, caller: Callable[[list[str]], list[str]], model: str, level: str = "auto", patterns: list[str] | None = None, hints: str = "", tasks: int | None = None, keep: Callable[[DataFrame], DataFrame] = kept, whole: bool = False, request: bool = False, calls: str | None = None) -> Extraction:
     """Cases from the replies of ``caller`` to the sections that look like cases, and placeholders for empty ones.
 
     ``whole``: documents are not cut into sections; ``request``: all documents are one scope of merging.
     ``calls``: a folder of answers, see ledger.call_once: failures worth it are tried again, and what was answered is not asked again.
-    ``keep`` is given sections and replies and should write and reread them, so that no call is made twice.
+    ``keep`` is given sections, replies and what was parsed of them and has to write and reread them, so that no document is cut,
+    no call made and no reply parsed twice: cases, errors and details all read them.
     """
     planned = keep(planned_sections(docs, level, patterns, whole))
     asked = replies.requests(planned.where("action = 'extract'"), model, hints)
     answered = keep(ledger.call_once(asked, caller, calls, tasks=tasks) if calls else replies.call(asked, caller, tasks).withColumn("attempt", F.lit(1)))
-    parsed = replies.with_cases(answered).join(planned.select("doc_id", "section_no", "title", "file_name"), ["doc_id", "section_no"])
+    parsed = keep(replies.with_cases(answered).join(planned.select("doc_id", "section_no", "title", "file_name"), ["doc_id", "section_no"]))
     raw = replies.case_rows(parsed).unionByName(sections.placeholder_cases(planned))
     good = parsed.where("error IS NULL").select("doc_id", "section_no")
     details = report.section_details(prep.prepared(docs), planned, asked.select("doc_id", "section_no", "truncated").join(good, ["doc_id", "section_no"]))

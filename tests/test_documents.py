@@ -196,6 +196,17 @@ def test_model_job(spark):
     assert [(e.section_no, e.message) for e in errors] == [(3, 'Section "Two": HTTP error 503')] and not asked
 
 
+def test_a_model_job_asks_once_for_all_its_tables(spark, tmp_path):
+    def caller(payloads):
+        with open(tmp_path / "asked", "a") as f:
+            f.writelines("asked\n" for _ in payloads)
+        return ['{"test_cases":[{"test_id":"T"}]}' for _ in payloads]
+
+    got = jobs.by_model(docs(spark, "# One\nSteps: 1\n# Two\nSteps: 2"), caller, "m")
+    assert (got.cases.count(), got.raw.count(), got.errors.count(), got.details.count()) == (1, 2, 0, 1)  # both have one id, side by side
+    assert (tmp_path / "asked").read_text() == "asked\n" * 2
+
+
 def parsed(spark, *contents):
     rows = spark.createDataFrame([(0, i, c, None) for i, c in enumerate(contents)], "doc_id int, section_no int, content string, error string")
     return {r.section_no: r for r in replies.with_cases(rows).collect()}

@@ -73,3 +73,11 @@ def test_retryable(spark):
     errors = ["HTTP error 503: x", "HTTP error 408", "not valid JSON", "timed out", None]
     assert column(spark, errors, X.is_retryable) == [True, False, False, True, False]
     assert column(spark, errors, X.is_retryable_batch) == [True, True, True, True, False]
+
+
+def test_strip_takes_all_white_space_of_the_ends_and_nothing_else(spark):
+    chars = [chr(c) for c in [*range(0xD800), *range(0xE000, 0xFFFF)]]
+    rows = spark.createDataFrame([(c, c + "a " + c) for c in chars], "c string, t string")
+    space = F.col("c").rlike("(?U)^[\\s\\x1c-\\x1f]$")
+    wrong = (X.is_blank(F.col("c")) != space) | (X.strip(F.col("t")) != F.when(space, "a").otherwise(F.col("t"))) | ((X.strip(F.col("c")) == "") != space)
+    assert rows.where(wrong | wrong.isNull()).count() == 0
