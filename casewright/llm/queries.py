@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm.chat import chat_digests, probe
-from casewright.llm.common import table
+from casewright.llm.common import table, written
 from casewright.llm.decontaminate import find_leaks
 from casewright.llm.filter_audit import filter_audit
 from casewright.llm.html_text import extract_text
@@ -41,6 +41,7 @@ def language_id_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z_-]+)", 1)
     texts = extract_text(pages.select("page_id", F.struct("url", declared.alias("declared")).alias("url"), "html"))
+    texts = written(texts, "texts")  # identify reads them several times, and each reading would parse every page again
     host, domain, suffix = host_parts(F.col("url.url"))
     return identify(texts, declared=F.col("url.declared"), host=host, domain=domain, suffix=suffix, id_col="page_id")
 

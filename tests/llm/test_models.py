@@ -281,3 +281,25 @@ def test_equally_likely_languages(spark):
     rows += [(100, "abc abd", None, None)]
     got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), declared=F.col("lang"), host=F.col("source")).collect()}
     assert got[100].text_lang == "xx" and got[100].lang_id == "xx"
+
+
+def test_pages_are_parsed_once_for_their_language(spark, tmp_path, monkeypatch):
+    from casewright.llm import queries
+
+    words = {"en": "the house and the garden were quiet", "de": "das Haus und der Garten waren still"}
+    page = lambda i, lang: (i, f"https://a.{lang}/{i}", f"<html lang='{lang}'><body><p>{words[lang]} {i}</p></body></html>")
+    spark.createDataFrame([page(i, ("en", "de")[i % 2]) for i in range(20)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    parsed, plain = spark.sparkContext.accumulator(0), queries.extract_text
+
+    def counted(pages):
+        def count(batches):
+            for b in batches:
+                parsed.add(b.num_rows)
+                yield b
+
+        texts = plain(pages)
+        return texts.mapInArrow(count, texts.schema)
+
+    monkeypatch.setattr(queries, "extract_text", counted)
+    got = {r.page_id: r.lang_id for r in queries.language_id_of_pages(spark, str(tmp_path)).collect()}
+    assert got == {i: ("en", "de")[i % 2] for i in range(20)} and parsed.value == 20
