@@ -31,15 +31,29 @@ def _runs(marked: DataFrame, keys: list[str], scope: list[str], place: Column, t
     return got.select(*([c for c in keys if c not in scope]), *((F.col(f"_first.{c}").alias(c) if c in others else F.col(c)) for c in columns), "run_rows")
 
 
-def merge_runs(rows: DataFrame, scope: list[str], order: list[str], text_fields: tuple[str, ...] = TEXT_FIELDS) -> DataFrame:
+def _by_scope(rows: DataFrame, scope: list[str], order: list[str], tasks: int | None) -> tuple[DataFrame, Column]:
+    """``rows`` dealt to ``tasks`` by scope, if a number is given, and whether a row goes on with the run of the one before."""
+    w = Window.partitionBy(*scope).orderBy(*order)
+    same = F.coalesce((F.lag("test_id").over(w) == F.col("test_id")) & (F.col("test_id") != ""), F.lit(False))
+    return (rows.repartition(tasks, *scope) if tasks else rows), same
+
+
+def run_starts(rows: DataFrame, scope: list[str], order: list[str], tasks: int | None = None) -> DataFrame:
+    """scope, order and test_id of the rows of :func:`merge_runs`: the first row of each run, without making the runs."""
+    dealt, same = _by_scope(rows.select(*dict.fromkeys([*scope, *order, "test_id"])), scope, order, tasks)
+    return dealt.withColumn("_same", same).where("NOT _same").drop("_same")
+
+
+def merge_runs(rows: DataFrame, scope: list[str], order: list[str], text_fields: tuple[str, ...] = TEXT_FIELDS, tasks: int | None = None) -> DataFrame:
     """Adjacent rows of one non-empty test_id, in ``order`` within ``scope``, become the first of them.
 
     Their text fields are the non-blank values joined by line feeds.  Adds run_rows, the rows that went into each.  A scope
-    is ordered in one task; see :func:`merge_runs_in_ranges` for large ones.
+    is ordered in one task; see :func:`merge_runs_in_ranges` for large ones.  Many small scopes may share a task: give ``tasks``
+    by the number of rows, and the memory of one does not grow with the table.
     """
     w = Window.partitionBy(*scope).orderBy(*order)
-    same = F.coalesce((F.lag("test_id").over(w) == F.col("test_id")) & (F.col("test_id") != ""), F.lit(False))
-    marked = rows.withColumn("_starts", (~same).cast("int")).withColumns({"_run": F.sum("_starts").over(w), "_rows": F.lit(1).cast("long")})
+    dealt, same = _by_scope(rows, scope, order, tasks)
+    marked = dealt.withColumn("_starts", (~same).cast("int")).withColumns({"_run": F.sum("_starts").over(w), "_rows": F.lit(1).cast("long")})
     return _runs(marked, [*scope, "_run"], scope, F.struct(*order), text_fields, rows.columns).drop("_run")
 
 

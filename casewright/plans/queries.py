@@ -13,7 +13,7 @@ from casewright.operators import ledger, merge, prep, replies, report, sections,
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
 from casewright.sources import clustered, files, pages, sinks, words
-from casewright.sources.work import kept, shared_folder
+from casewright.sources.work import kept, shared_folder, tasks_for
 from casewright.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,7 +149,8 @@ def merge_runs(spark, sf_dir):
 
 
 def _merged_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_runs(views.merge_rows(spark, sf_dir), ["l_orderkey"], LINE_ORDER)
+    rows = views.merge_rows(spark, sf_dir)
+    return merge.merge_runs(rows, ["l_orderkey"], LINE_ORDER, tasks=tasks_for(rows))
 
 
 @query
@@ -164,7 +165,9 @@ def scattered_duplicates(spark, sf_dir):
 
 @query
 def scattered_warnings(spark, sf_dir):
-    got = merge.scattered_warnings(_merged_lineitem(spark, sf_dir), ["l_orderkey"], LINE_ORDER)
+    rows = views.merge_rows(spark, sf_dir)
+    starts = merge.run_starts(rows, ["l_orderkey"], LINE_ORDER, tasks_for(rows))
+    got = merge.scattered_warnings(starts, ["l_orderkey"], LINE_ORDER)
     return got.select("l_orderkey", "test_id", "n_rows", F.col("first.l_linenumber").alias("first"), "warning")
 
 

@@ -24,3 +24,12 @@ def kept(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task at most, on average, where tasks are dealt by the number of rows.
+TASK_ROWS = 400_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """In how many tasks ``rows``, which are counted, stay within TASK_ROWS; no fewer than there are cores."""
+    return max(rows.count() // TASK_ROWS + 1, rows.sparkSession.sparkContext.defaultParallelism)

@@ -9,6 +9,7 @@ from casewright.functions import text as X
 from casewright.operators import merge, prep, replies, report, sections, template
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs
+from casewright.sources import work
 
 SAMPLE = """Sample Test Plan
 # Table of Contents
@@ -151,6 +152,17 @@ def test_merging_over_ranges_equals_the_model(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_warnings_need_no_texts_and_tasks_follow_the_rows(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = cases(spark, [(rnd.choice(["A", "B", "", None]), "x") for _ in range(300)]).withColumn("doc_id", F.col("n") % 9)
+    told = lambda df: sorted((r.doc_id, r.test_id, r.n_rows, r.first.n) for r in merge.scattered_warnings(df, ["doc_id"], ["n"]).collect())
+    starts = merge.run_starts(rows, ["doc_id"], ["n"], 7)
+    assert starts.columns == ["doc_id", "n", "test_id"] and "hashpartitioning(doc_id#" in (plan := starts._jdf.queryExecution().toString()) and ", 7)" in plan
+    assert told(starts) == told(merge.merge_runs(rows, ["doc_id"], ["n"])) == told(merge.merge_runs(rows, ["doc_id"], ["n"], tasks=5)) != []
+    monkeypatch.setattr(work, "TASK_ROWS", 10)
+    assert work.tasks_for(rows) == 31 and work.tasks_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
+
+
 def test_jobs_over_a_request_and_whole_documents(spark):
     two = docs(spark, "## Case TC_1_A\nfirst\nSteps:\n1 | go", "## Case TC_1_A\nsecond\nSteps:\n2 | stop\n## Case TC_2_B\nlast\nSteps:\n3 | x")
     assert jobs.by_template(two).cases.count() == 3
