@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 from casewright.sources.work import kept
 
 
+def dealt_in_ranges(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """As :func:`in_ranges`, not held yet: for one reading, whose result has to be."""
+    by = [*keys, *order]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+
+
 def in_ranges(rows: DataFrame, keys: list[str], order: list[Column | str], drop: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Adds _range and _place: rows dealt in ranges of (keys, order), and their place; a key may take many ranges.
 
     Ranges are drawn from a sample and places are counted as the rows come, so ``keep`` has to hold them: it writes and
     rereads.  ``drop``: columns that are needed for the order alone.
     """
-    by = [*keys, *order]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_range": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
-    return keep(dealt.drop(*drop))
+    return keep(dealt_in_ranges(rows, keys, order).drop(*drop))
 
 
 def at_borders(placed: DataFrame, keys: list[str]) -> DataFrame:

@@ -163,6 +163,23 @@ def test_warnings_need_no_texts_and_tasks_follow_the_rows(spark, monkeypatch):
     assert work.tasks_for(rows) == 31 and work.tasks_for(rows.limit(0)) == spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_merging_in_ranges_over_arrow_batches(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rnd = random.Random(batch)
+        rows = [("A" if 40 < i < 90 else rnd.choice(["A", "B", "", None]), rnd.choice(["x", " ", "", "y\n", "\u2003", "ü"])) for i in range(150)]
+        scoped = cases(spark, rows).withColumn("doc_id", F.when(F.col("n") > 20, F.col("n").cast("int") / 50).cast("int"))
+        scoped = scoped.withColumns({"preconditions": F.nullif("preconditions", F.lit("x")), "more": F.array("n")})
+        got, plain = (sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr) for df in (merge.merge_runs_in_ranges(scoped, ["doc_id"], ["n"]), merge.merge_runs(scoped, ["doc_id"], ["n"])))
+        assert got == plain and len(got) < 120
+        placed = []
+        merge.merge_runs_in_ranges(scoped, ["doc_id"], ["n"], keep=lambda df: placed.append(df) or work.kept(df))
+        assert "MapInArrow" in placed[0]._jdf.queryExecution().executedPlan().toString() and "Window" not in placed[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_jobs_over_a_request_and_whole_documents(spark):
     two = docs(spark, "## Case TC_1_A\nfirst\nSteps:\n1 | go", "## Case TC_1_A\nsecond\nSteps:\n2 | stop\n## Case TC_2_B\nlast\nSteps:\n3 | x")
     assert jobs.by_template(two).cases.count() == 3
