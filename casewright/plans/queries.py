@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import text as X
-from casewright.functions.schemas import CASE_FIELDS
+from casewright.functions.schemas import CASE_FIELDS, TEXT_FIELDS
 from casewright.operators import ledger, merge, prep, replies, report, sections, template
 from casewright.operators.lines import to_lines, with_headings
 from casewright.plans import jobs, views
@@ -171,19 +171,20 @@ def scattered_warnings(spark, sf_dir):
     return got.select("l_orderkey", "test_id", "n_rows", F.col("first.l_linenumber").alias("first"), "warning")
 
 
-def _merged_request(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.merge_rows(spark, sf_dir).withColumn("request", F.lit(1))
-    return kept(merge.merge_runs_in_ranges(rows, ["request"], ["l_orderkey", *LINE_ORDER]))
+def _merged_request(spark: SparkSession, sf_dir: str, *text_fields: str) -> DataFrame:
+    """All rows merged as one request, with these of the text fields; made of tables that are written, so it may be read again."""
+    rows = views.merge_rows(spark, sf_dir).select("l_orderkey", *LINE_ORDER, *text_fields).withColumn("request", F.lit(1))
+    return merge.merge_runs_in_ranges(rows, ["request"], ["l_orderkey", *LINE_ORDER], text_fields)
 
 
 @query
 def merge_runs_request(spark, sf_dir):
-    return _merged_request(spark, sf_dir)
+    return _merged_request(spark, sf_dir, *TEXT_FIELDS)
 
 
 @query
 def scattered_request(spark, sf_dir):
-    rows = _merged_request(spark, sf_dir)
+    rows = _merged_request(spark, sf_dir, "description")
     return merge.flag_scattered_in_ranges(rows, ["request"], rows.count()).select("l_orderkey", "l_linenumber", "l_partkey", "test_id", "description")
 
 
