@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PATTERNS = ["^## Check item", "VZ_TC_A_", "^# Area [0-9]+$"]
 TRUNCATE_AT = 120_000
+#: Words of a task: their searches hold several orders of them at once.
+PAGE_WORDS = 150_000
 LINE_ORDER = ["l_linenumber", "l_partkey", "test_id"]
 
 
@@ -376,7 +378,8 @@ def page_assembly(spark, sf_dir):
 
 @query
 def page_words(spark, sf_dir):
-    return pages.page_texts(words.word_blocks(*views.page_words(spark, sf_dir)))
+    said, tables, sizes = views.page_words(spark, sf_dir)
+    return pages.page_texts(words.word_blocks(said, tables, sizes, tasks_for(said, PAGE_WORDS)))
 
 
 @query

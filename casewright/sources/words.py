@@ -20,7 +20,11 @@ def _placed(rows: DataFrame) -> DataFrame:
     return known.withColumns({c: F.col(c).cast("double") for c in _BOX}).where("x0 <= x1 AND top <= bottom")
 
 
-def bands(tables: DataFrame, sizes: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    return rows.repartition(tasks, *PAGE) if tasks else rows.repartition(*PAGE)
+
+
+def bands(tables: DataFrame, sizes: DataFrame, tasks: int | None = None) -> DataFrame:
     """The bands of each page that has tables, in reading order: doc_id, page, width, place, start, end and the table below.
 
     Band n ends where table n begins, in order of rounded places, and starts at the lowest edge of all tables before it;
@@ -28,8 +32,8 @@ def bands(tables: DataFrame, sizes: DataFrame) -> DataFrame:
     to it.  A page without a size has no end.
     """
     inf = F.lit(float("inf"))
-    known = sizes.groupBy(*PAGE).agg(F.max("width").cast("double").alias("width"), F.max("height").cast("double").alias("height"))
-    boxes = _placed(tables).join(known, list(PAGE), "left").withColumns({"width": F.coalesce("width", inf), "height": F.coalesce("height", inf)})
+    known = _dealt(sizes, tasks).groupBy(*PAGE).agg(F.max("width").cast("double").alias("width"), F.max("height").cast("double").alias("height"))
+    boxes = _dealt(_placed(tables), tasks).join(known, list(PAGE), "left").withColumns({"width": F.coalesce("width", inf), "height": F.coalesce("height", inf)})
     cut = lambda c: F.greatest(F.lit(0.0), F.least(F.col(c), F.col("height")))
     order = Window.partitionBy(*PAGE).orderBy(F.round("top", 2), F.round("x0", 2), "table_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -39,7 +43,7 @@ def bands(tables: DataFrame, sizes: DataFrame) -> DataFrame:
     return upper.unionByName(last.withColumn("cells", F.lit(None).cast(found.schema["cells"].dataType)))
 
 
-def _by_band(words: DataFrame, gaps: DataFrame) -> DataFrame:
+def _by_band(words: DataFrame, gaps: DataFrame, tasks: int | None) -> DataFrame:
     """Each word of (doc_id, page, x0, top, x1, bottom, word_no, text) once in every band that it touches, with its place; ``top`` is cut to the band.
 
     Bands do not overlap and are in order, so a word's bands are those from the first that ends at or below its top to
@@ -55,7 +59,8 @@ def _by_band(words: DataFrame, gaps: DataFrame) -> DataFrame:
     as_bands = open_.select(*PAGE, F.lit(0).alias("is_word"), F.col("start").alias("at"), F.col("end").alias("until"), "place", "band", none("double").alias("width"), empty)
     as_pages = pages.select(*PAGE, F.lit(2).alias("is_word"), none("double").alias("at"), none("double").alias("until"), none("long").alias("place"), none("int").alias("band"), "width", empty)
     page = Window.partitionBy(*PAGE)
-    rows = as_words.unionByName(as_bands).unionByName(as_pages).repartition(*PAGE)
+    rows = as_words.unionByName(as_bands).unionByName(as_pages)
+    rows = _dealt(rows, tasks)
     rows = rows.withColumn("width", F.max("width").over(page))
     rows = rows.withColumn("to", F.max("band").over(page.orderBy("at", "is_word").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.withColumn("from", F.min("band").over(page.orderBy(F.desc("until"), "is_word").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -78,18 +83,19 @@ def band_texts(placed: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE, "place").agg(joined(F.col("said"), "nth").alias("text"))
 
 
-def word_blocks(words: DataFrame, tables: DataFrame, sizes: DataFrame) -> DataFrame:
+def word_blocks(words: DataFrame, tables: DataFrame, sizes: DataFrame, tasks: int | None = None) -> DataFrame:
     """Blocks as ``pages.page_texts`` takes them, of pages given by their words and tables.
 
     ``words``: doc_id, page, x0, top, x1, bottom, word_no, text; ``tables``: the same box, table_no and cells; ``sizes``:
     doc_id, page, width, height.  On a page with tables the text between them is taken over the whole width, cut to the
     page; words that lie beside a table and touch no band are left out, a word that reaches into two bands stands in
     both.  A page without tables is one text.  Left out are blank words and what has no whole box.  Ties go to word_no and
-    table_no.  Pages are dealt, never documents, so a document of any length is no one task.
+    table_no.  Pages are dealt, never documents, so a document of any length is no one task.  Give ``tasks``,
+    to which pages are dealt, by the number of words, and the memory of one does not grow with the table.
     """
     said = _placed(words).withColumn("text", X.strip(F.col("text"))).where("text <> ''")
-    gaps = bands(tables, sizes)
-    texts = band_texts(_by_band(said, gaps))
+    gaps = bands(tables, sizes, tasks)
+    texts = band_texts(_by_band(said, gaps, tasks))
     cells = gaps.where("cells IS NOT NULL").select(*PAGE, (F.col("place") + 1).alias("place"), F.lit("table").alias("kind"), F.lit(None).cast("string").alias("text"), "cells")
     texts = texts.select(*PAGE, "place", F.lit("text").alias("kind"), "text", F.lit(None).cast(gaps.schema["cells"].dataType).alias("cells"))
     at = lambda c: c.cast("double")

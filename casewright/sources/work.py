@@ -30,6 +30,6 @@ def kept(df: DataFrame) -> DataFrame:
 TASK_ROWS = 400_000
 
 
-def tasks_for(rows: DataFrame) -> int:
-    """In how many tasks ``rows``, which are counted, stay within TASK_ROWS; no fewer than there are cores."""
-    return max(rows.count() // TASK_ROWS + 1, rows.sparkSession.sparkContext.defaultParallelism)
+def tasks_for(rows: DataFrame, most: int | None = None) -> int:
+    """In how many tasks ``rows``, which are counted, stay within ``most`` (or TASK_ROWS); no fewer than there are cores."""
+    return max(rows.count() // (most or TASK_ROWS) + 1, rows.sparkSession.sparkContext.defaultParallelism)

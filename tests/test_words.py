@@ -56,3 +56,11 @@ def test_nulls_blanks_and_pages_without_room(spark):
 
 def test_empty_tables_give_no_pages(spark):
     assert texts(spark, [], [], []) == {}
+
+
+def test_pages_are_dealt_to_as_many_tasks_as_are_asked_for(spark):
+    said = [(d, 0, 1.0, 5.0, 2.0, 6.0, n, f"w{n}") for d in range(20) for n in range(3)]
+    frames = [spark.createDataFrame(rows, kind) for rows, kind in ((said, WORD), ([], TABLE), ([], SIZE))]
+    blocks = words.word_blocks(*frames, tasks=9)
+    assert ", 9)" in blocks._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.page_text) for r in pages.page_texts(blocks).collect()} == {(d, "w0 w1 w2") for d in range(20)}
