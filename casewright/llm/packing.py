@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -13,22 +13,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import sub_batches, written
-from casewright.llm.token_count import ODD, PIECE_CACHE, Counter, read_vocabulary
+from casewright.llm.token_count import Counter, read_vocabulary
 from casewright.operators.scan import running_sums
 
-#: A piece starts where white space follows other characters, or one of .,;:!? a letter: no byte-level token crosses these places.
-PIECE = re.compile(r"\s*(?:[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?\s]|$)|\S+)|\s+")
+#: By byte: whether it is ASCII white space, and whether an ASCII letter.
+SPACE, LETTER = (np.isin(np.arange(256), list(x)) for x in (b"\t\n\x0b\x0c\r ", string.ascii_letters.encode()))
+#: Distinct pieces whose ids a task remembers.
+PIECE_CACHE = 1_000_000
 #: Pieces of text that are longer are not remembered.
 LONG = 64
 #: Pieces that are encoded as one text.
 BESIDE = 2000
+#: Bytes of text whose pieces are told apart together.
+TOGETHER = 8 << 20
 #: Rounds of the fit, and patterns that may enter in one.
 ROUNDS, ENTER = 40, 256
 
 
+def piece_starts(data: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where pieces start in UTF-8 bytes: at one of ``stops`` after a letter, and at white space among them after what is none.
+
+    ``stops`` are ASCII characters but letters.  No byte-level token crosses these places.  After U+0080 to U+00BF, U+0800
+    to U+303F, and U+E000 and above, some of which are white space, no piece starts.
+    """
+    at = np.flatnonzero(stops[data])
+    one, two, three = (data.take(at - k, mode="clip") for k in (1, 2, 3))  # bytes from 0xC2 are the first ones of characters
+    letter = LETTER[one] | (two == 0xC3) & (one != 0x97) & (one != 0xB7)  # U+00C0 to U+00FF but the two signs among them
+    solid = (one > 0x20) & (one < 0x7F) | (two >= 0xC3) & (two <= 0xDF) | (three >= 0xE4) & (three <= 0xED) | (three == 0xE3) & (two > 0x80)
+    return at[letter | solid & SPACE[data[at]]]
+
+
 class Ids(Counter):
     """The ids of texts as little-endian unsigned 32-bit integers; pieces of text are encoded once as long as they are remembered.
 
+    NumPy cuts the texts and Arrow finds the distinct pieces, so that Python handles each once however often it occurs.
     Pieces that are not remembered are encoded as one text where they may stand side by side, and cut apart by the bytes of
     their tokens.  What was used since half of the memory was filled stays remembered when the other half is.
     """
@@ -48,7 +66,11 @@ class Ids(Counter):
             t.no_truncation()
             t.no_padding()
             self.encode = lambda texts: [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch_fast(texts, add_special_tokens=False)]
-            added = {i: len(a.content.encode()) for i, a in t.get_added_tokens_decoder().items()}
+            own = t.get_added_tokens_decoder()
+            self.whole |= any(a.rstrip or a.single_word for a in own.values())  # these look at what follows
+            # what added tokens hold is no stop, for they may be found anywhere
+            self.stops = ~LETTER & ~np.isin(np.arange(256), [*range(128, 256), *"".join(a.content for a in own.values()).encode()])
+            added = {i: len(a.content.encode()) for i, a in own.items()}
             sizes = {i: len(token) for token, i in t.get_vocab().items()} | added  # a character of a byte-level token is a byte
             self.bytes_of = np.zeros(max(sizes) + 1, np.int64)
             self.bytes_of[list(sizes)] = list(sizes.values())
@@ -71,20 +93,33 @@ class Ids(Counter):
     def of(self, texts: list[str]) -> list[bytes]:
         if self.whole:
             return [self.encode([t])[0] if t else b"" for t in texts]
-        cut = [[t] if ODD.search(t) else PIECE.findall(t) for t in texts]
+        _, offsets, data = pa.array(texts, pa.large_string()).buffers()
+        rows = np.frombuffer(offsets, np.int64, len(texts) + 1)
+        starts = np.zeros(rows[-1] + 1, bool)
+        starts[piece_starts(np.frombuffer(data or b"", np.uint8, rows[-1]), self.stops)] = True
+        starts[rows] = True
+        cuts = np.flatnonzero(starts)
+        cut = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), data).dictionary_encode()
+        distinct, nth = cut.dictionary.to_numpy(zero_copy_only=False).tolist(), cut.indices.to_numpy()
         if len(self) > PIECE_CACHE // 2:
             self.before = dict(self)
             self.clear()
-        missing = set().union(*cut).difference(self)
-        known = missing & self.before.keys()
-        self.update(zip(known, map(self.before.__getitem__, known)))
-        new = list(missing - known)
+        found = list(map(self.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        self.update((p, self.before[p]) for p in map(distinct.__getitem__, missing) if p in self.before)
+        new = [p for p in map(distinct.__getitem__, missing) if p not in self]
         self.learn(new)
-        out = [b"".join(map(self.__getitem__, c)) for c in cut]
+        for i in missing:
+            found[i] = self[distinct[i]]
         for p in new:
             if len(p) > LONG:
                 del self[p]
-        return out
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = (np.cumsum(size) - size)[nth], size[nth]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[np.searchsorted(cuts, rows)]).tolist()
+        return list(map(ids.__getitem__, map(slice, stops, stops[1:])))
 
 
 #: Of a worker's tasks the latest vocabulary with its pieces.
@@ -109,7 +144,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, *, end: int = 2, limit: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _ids(tokenizer_file, content.value)
-        for b in sub_batches(batches, "text"):
+        for b in sub_batches(batches, "text", TOGETHER):
             row, number, start, length, crc = [], [], [], [], []
             for i, got in enumerate(ids.of([t or "" for t in b.column(1).to_pylist()])):
                 whole = memoryview(got + last)

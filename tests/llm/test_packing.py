@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from casewright.llm import packing
 
@@ -31,6 +31,41 @@ def test_memory_of_two_halves(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in ids.of(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(max_codepoint=0xFF), st.sampled_from(" \n'$.|<>tsreéß×÷\u1680\u2003\u2028\u202f\u205f\u3000\ufeff、日가߿😀")), max_size=40), max_size=4))
+def test_ids_of_any_characters(texts):
+    texts = [*texts, *(t + "<|endoftext|>" + t for t in texts)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in IDS.of(texts)] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_repeated_pieces_are_looked_up_once():
+    looked = []
+
+    class Watched(packing.Ids):
+        def get(self, *key):
+            looked.append(key)
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    texts = ["one two, three$$$ four\n" * 3000] * 3
+    got = Watched(FILE, packing.read_vocabulary(FILE)).of(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in PLAIN.encode_batch(texts, add_special_tokens=False)]
+    assert len(looked) < 30
+
+
+@pytest.mark.parametrize("token", [AddedToken("[A. b]"), AddedToken("<x>", rstrip=True), AddedToken("<x>", lstrip=True), AddedToken("two", single_word=True)])
+def test_added_tokens_are_not_cut(tmp_path, token):
+    plain = Tokenizer.from_file(FILE)
+    plain.add_tokens([token])
+    plain.save(file := str(tmp_path / "own.json"))
+    texts = ["one<x>  three <x> a\n<x>\t b", "two.two twotwo,two two", "x[A. b] [A. b]\n[A.", " b] [A", ". b]"]
+    got = packing.Ids(file, packing.read_vocabulary(file)).of(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def plain_best_fit(counts):
     limit = len(counts) - 1
     gaps, used = [], 0
