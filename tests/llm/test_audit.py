@@ -82,3 +82,21 @@ def test_micro_batches_and_the_empty_table(spark, tmp_path):
     assert {(r.mask, r.n) for r in counts.collect() if r.n} == {(1, 1), (17, 5)}
     write(spark, str(tmp_path / "none"), [[]])
     assert fa.filter_audit(spark, str(tmp_path / "none"), labels).collect() == []
+
+
+def test_shares_of_the_state_follow_the_root_of_the_table(spark, tmp_path, monkeypatch):
+    folders = []
+    monkeypatch.setattr(fa, "shared_dir", lambda spark: folders.append(str(tmp_path / "shared")) or folders[-1])
+    rows = [(i, f"text {i % 700}", "en") for i in range(1500)]
+    write(spark, str(tmp_path / "docs"), [rows[::2], rows[1::2]])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = told(fa.filter_audit(spark, str(tmp_path / "docs"), spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute(rows, [])
+    shares = [p.name for p in (tmp_path / "shared" / "checkpoint" / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(shares) == 3
+    assert [fa.state_shares(n) for n in (0, 1, 100, 10_000, 1 << 40)] == [1, 1, 6, 51, fa.SHARES]
