@@ -8,13 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm.common import BROADCAST_ROWS, short_batches, small, sub_batches, written
 
-#: Declared rows of each language that the text likelihoods are fitted on at most: the smallest by a hash of their id.
-FIT_ROWS = 512
 #: Languages whose likelihoods are held, sent and computed together; there may be any number of such groups.
 GROUP = 64
 #: Hash buckets of three-byte sequences.
@@ -56,33 +54,45 @@ def log_likelihood(text: str | None, model: list[np.ndarray]) -> np.ndarray | No
     return np.concatenate(total) * WEIGHT if n else None
 
 
-def fit_text_model(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
-    """The languages, and in groups of them log probabilities of every bucket in each and in none, from (id, text, declared).
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, declared) to declared, bucket, n: sums of at most GROUP languages are held at once."""
+    total: dict[str, np.ndarray] = {}
+    short: dict[str, list[np.ndarray]] = {}  # stretches that are counted together
 
-    Every language that is declared for a text with letters is fitted; the fewer sequences it has, the nearer it is to the shared counts.
-    The hash of an id is as good as drawn at random, so only ids in the first part of its range, by the language's number
-    of ids twice as many as are wanted, are dealt by language to find the smallest ones.
-    """
-    declared_rows = docs.where("declared IS NOT NULL AND id IS NOT NULL")
-    order = Window.partitionBy("declared").orderBy("h", "id")
-    counts = declared_rows.groupBy("declared").agg(F.approx_count_distinct("id").alias("n"))
-    place = F.xxhash64("id") / F.lit(float(1 << 64)) + 0.5
-    ids = declared_rows.select("id", "declared", F.xxhash64("id").alias("h"), place.alias("place")).join(small(counts), "declared").where(F.col("place") * F.col("n") <= 2 * FIT_ROWS)
-    ids = ids.select("id", "declared", "h").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= FIT_ROWS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        for b in batches:
-            for declared, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x in sequences(text):
-                    total.setdefault(declared, np.zeros(BUCKETS, np.int64))
-                    total[declared] += np.bincount(x, minlength=BUCKETS)
+    def add() -> None:
+        for declared, each in short.items():
+            total[declared] += np.bincount(np.concatenate(each), minlength=BUCKETS)
+        short.clear()
+
+    def told() -> Iterator[pa.RecordBatch]:
         for declared, t in total.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([declared] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["declared", "bucket", "n"])
 
-    ids = small(written(ids.select("id", "declared").distinct(), "fit"))
-    found = written(declared_rows.join(ids, ["id", "declared"]).select("declared", "text").mapInArrow(count, "declared string, bucket int, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "sequences")
+    for b in sub_batches(batches, "text"):
+        for text, declared in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for x in sequences(text):
+                if len(total) >= GROUP and declared not in total:
+                    add()
+                    yield from told()
+                    total.clear()
+                total.setdefault(declared, np.zeros(BUCKETS, np.int64))
+                if len(x) >= BUCKETS:
+                    total[declared] += np.bincount(x, minlength=BUCKETS)
+                else:
+                    short.setdefault(declared, []).append(x)
+        add()
+    yield from told()
+
+
+def fit_text_model(docs: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """The languages, and in groups of them log probabilities of every bucket in each and in none, from (text, declared).
+
+    Every declared row counts, with its whole text.  Every language that is declared for a text with letters is fitted; the
+    fewer sequences it has, the nearer it is to the shared counts.
+    """
+    counted = docs.where("declared IS NOT NULL").select("text", "declared").mapInArrow(_counted, "declared string, bucket int, n long")
+    found = written(counted.groupBy("declared", "bucket").agg(F.sum("n").alias("n")), "sequences")
     languages = sorted(r[0] for r in found.select("declared").distinct().collect())
     if not languages:
         return [], [np.zeros((BUCKETS, 1), np.float32)]
@@ -127,7 +137,7 @@ def identify(docs: DataFrame, *, keep: tuple[str, ...] = (), declared: Column |
     none = F.lit(None).cast("string")
     text = lambda c: none if c is None else c.cast("string")
     base = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{c}") for c in keep), F.col(text_col).alias("text"), primary(text(declared)).alias("declared"), text(host).alias("host"), text(domain).alias("domain"), text(suffix).alias("suffix"))
-    languages, model = fit_text_model(base.select("id", "text", "declared"))
+    languages, model = fit_text_model(base.select("text", "declared"))
     groups = [docs.sparkSession.sparkContext.broadcast(m) for m in model]
     carried = [c for c in base.columns if c != "text"]
 

@@ -303,3 +303,31 @@ def test_pages_are_parsed_once_for_their_language(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "extract_text", counted)
     got = {r.page_id: r.lang_id for r in queries.language_id_of_pages(spark, str(tmp_path)).collect()}
     assert got == {i: ("en", "de")[i % 2] for i in range(20)} and parsed.value == 20
+
+
+def test_all_declared_rows_are_fitted(spark):
+    """Counts of every declared row, repeated rows and rows without id included, against a plain count in Python."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    rows = [(i // 2 if i % 7 else None, prose(rnd, ("en", "de")[i % 2], rnd.randint(1, 12)), ("en", "de")[i % 2]) for i in range(2400)]
+    rows += [(1, prose(rnd, "fr", 20_000), "fr"), (2, None, "fr"), (3, "1 2", "xx"), (4, prose(rnd, "fr", 5), None)]
+    df = spark.createDataFrame(rows, "id long, text string, declared string")
+    names, model = language.fit_text_model(df)
+    assert names == ["de", "en", "fr"]
+    counts = np.zeros((language.BUCKETS, 3))
+    for _, text, declared in rows:
+        for x in language.sequences(text):
+            if declared in names:
+                np.add.at(counts[:, names.index(declared)], x, 1)
+    size = counts.sum(0)
+    sure = size / (size + language.ALPHA)
+    share = (counts / size * sure).sum(1) / sure.sum() * 0.9 + 0.1 / language.BUCKETS
+    assert np.allclose(model[0][:, :3], np.log((counts + language.ALPHA * share[:, None]) / (size + language.ALPHA)), atol=1e-4)
+    many = [{"text": f"word{i % 5} and more", "declared": f"{i % 200:03d}"} for i in range(400)]  # more languages than are held at once
+    got = {}
+    for b in language._counted(iter([pa.RecordBatch.from_pylist(many)])):
+        for r in b.to_pylist():
+            got[r["declared"]] = got.get(r["declared"], 0) + r["n"]
+    assert got == {f"{i:03d}": sum(len(x) for r in many[i::200] for x in language.sequences(r["text"])) for i in range(200)}
